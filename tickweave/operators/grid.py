@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tickweave import schemas
 from tickweave.functions import quotes as Q
+from tickweave.session import spread
 
 KEYS = ("symbol", "day")
 QUOTE_COLS = ("bid_px", "bid_sz", "ask_px", "ask_sz")
@@ -159,7 +160,7 @@ def snapshots(quotes, trades=None, depth=None, funding=None, *, grid_ms, keys=KE
         states["_f"] = ("_of", ("funding_rate",))
     flow = ("signed_volume", "abs_volume", "trade_count")
 
-    filled = sparse.select(
+    filled = spread(sparse, *keys).select(
         *keys,
         "tick",
         *[carried(flag, cols).alias(name) for name, (flag, cols) in states.items()],

@@ -1,3 +1,3 @@
 """Registered queries over the driver tables, with their reference SQL."""
 
-from tickweave.plans import market  # noqa: F401
+from tickweave.plans import checks, market, slabs  # noqa: F401

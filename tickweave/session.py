@@ -69,3 +69,13 @@ def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Hash partition on ``keys`` and keep the partition count as configured.
+
+    For the step before a row-multiplying operator: the shuffled bytes say little
+    about the rows to come, so the adaptive coalescing must not merge partitions.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
