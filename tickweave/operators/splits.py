@@ -127,11 +127,11 @@ def sample_windows(
     placed = positions(df, keys, order, blocks=blocks)
     sizes = slab_sizes(df, keys).where(F.col("n_total") > length + 1)
     # numbering the slabs is a window over one row per slab
-    ranked = sizes.select("*", F.row_number().over(Window.orderBy(*keys)).alias("_slab"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_k"))
-    k = sizes.agg(F.count(F.lit(1)).alias("_k"))
-    draws = spark.range(n_samples).withColumnRenamed("id", "sample_id").join(F.broadcast(k))
-    draws = draws.withColumn("_slab", (hash_mod(F.col("_k"), F.lit(seed), F.lit("slab"), F.col("sample_id")) + 1).cast("int"))
-    starts = draws.drop("_k").join(ranked, "_slab").withColumn(
+    ranked = sizes.withColumn("_slab", F.row_number().over(Window.orderBy(*keys)))
+    n_slabs = F.lit(sizes.count())
+    draws = spark.range(n_samples).withColumnRenamed("id", "sample_id")
+    draws = draws.withColumn("_slab", (hash_mod(n_slabs, F.lit(seed), F.lit("slab"), F.col("sample_id")) + 1).cast("int"))
+    starts = draws.join(ranked, "_slab").withColumn(
         "start", hash_mod(F.col("n_total") - length - 1, F.lit(seed), F.lit("start"), F.col("sample_id"))
     )
     wanted = starts.select(
