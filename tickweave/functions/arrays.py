@@ -12,9 +12,14 @@ def array_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``; inside a lambda it would run per element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def softmax(a: Column) -> Column:
-    shifted = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(shifted, lambda x: x / array_sum(shifted))
+    shifted = bind(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m)))
+    return bind(shifted, lambda e: bind(array_sum(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def normalised_entropy(probs: Column, n: int) -> Column:

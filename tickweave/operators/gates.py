@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tickweave.functions.arrays import abs_differences, argmax, array_sum
 from tickweave.operators.scan import Running, blocked, scan
@@ -96,7 +97,7 @@ def top_runs(runs: DataFrame, n: int, finished="finished", state="state", metric
     return runs.where(F.col(state) == finished).orderBy(order, F.col(run)).limit(n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def upper_tail(z: pd.Series) -> pd.Series:
     """Normal survival function; one row per candidate."""
     return z.map(lambda v: None if v is None or v != v else 0.5 * math.erfc(v / math.sqrt(2.0)))

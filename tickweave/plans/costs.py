@@ -52,7 +52,7 @@ s0 as (select *, {_init} from a), s1 as ({_steps[0]} from s0), s2 as ({_steps[1]
 
 @query(
     "walk_book_cost",
-    f"{_WALK} select order_id, side, round({_vwap},8) as price, round(greatest(side*({_vwap}-mid)/mid,0),8) as slippage, rem4>0 as exhausted from s4",
+    f"{_WALK} select order_id, side, round({_vwap},6) as price, round(greatest(side*({_vwap}-mid)/mid,0),11) as slippage, rem4>0 as exhausted from s4",
 )
 def walk_book_cost(spark, d):
     wide = grid.pivot_depth(V.depth(spark, d)).dropna(subset=["ask_depth_pct_pos_1_0"])
@@ -65,7 +65,7 @@ def walk_book_cost(spark, d):
     top = F.when(buy, F.col("ask_px")).otherwise(F.col("bid_px"))
     w = X.walk_book(F.col("side"), F.col("notional"), m, top, depth)
     return o.withColumn("w", w).select(
-        "order_id", "side", F.round("w.price", 8).alias("price"), F.round("w.slippage", 8).alias("slippage"),
+        "order_id", "side", F.round("w.price", 6).alias("price"), F.round("w.slippage", 11).alias("slippage"),
         F.col("w.exhausted").alias("exhausted"),
     )
 
@@ -143,7 +143,7 @@ i as (select *, case when abs_volume*row_mid>0 then 0.001*sqrt(notional/(abs_vol
 ff as (select *, case when book then {_mvwap} when side>0 then greatest(next_ask_px*(1+imp), next_mid) else least(next_bid_px*(1-imp), next_mid) end as raw,
   case when book then greatest(side*({_mvwap}-next_mid)/next_mid,0) else imp end as slip from i)
 select order_id, round(case when tick>0 then (case when side>0 then ceil(raw/tick) else floor(raw/tick) end)*tick else raw end,4) as price,
-  cast(0.00035 as double) as fee, round(slip,7) as slippage, book as used_book from ff""",
+  cast(0.00035 as double) as fee, round(slip,10) as slippage, book as used_book from ff""",
 )
 def market_fill(spark, d):
     s = snaps(spark, d, with_depth=True, with_rate=True)
@@ -151,7 +151,7 @@ def market_fill(spark, d):
     f = orders.market_fills(o, s, CFG)
     return f.select(
         "order_id", F.round("fill.price", 4).alias("price"), F.col("fill.fee").alias("fee"),
-        F.round("fill.slippage", 7).alias("slippage"), F.col("fill.used_book").alias("used_book"),
+        F.round("fill.slippage", 10).alias("slippage"), F.col("fill.used_book").alias("used_book"),
     )
 
 

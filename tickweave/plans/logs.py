@@ -65,11 +65,11 @@ _NAMES = dict(zip(rewards.TERMS, ["realised", "open_value", "dd", "streak_t", "f
 
 @query(
     "reward_attribution",
-    f"with {_TERMS} " + " union all ".join(f"select user_id, '{k}' as term, round(sum({v}),6)+0.0::double as total from rw group by 1" for k, v in _NAMES.items()),
+    f"with {_TERMS} " + " union all ".join(f"select user_id, '{k}' as term, round(sum({v}),9)+0.0::double as total from rw group by 1" for k, v in _NAMES.items()),
 )
 def reward_attribution(spark, d):
     out = rewards.attribution(_with_rewards(spark, d), ["user_id"])
-    return out.select("user_id", "term", (F.round("total", 6) + F.lit(0.0)).alias("total"))
+    return out.select("user_id", "term", (F.round("total", 9) + F.lit(0.0)).alias("total"))
 
 
 @query("reward_rows", f"with {_TERMS} select user_id, seq, round(reward,8) as reward from rw")
