@@ -1,3 +1,3 @@
 """Registered queries over the driver tables, with their reference SQL."""
 
-from tickweave.plans import checks, costs, logs, market, scores, slabs  # noqa: F401
+from tickweave.plans import checks, costs, logs, market, scores, slabs, streams  # noqa: F401

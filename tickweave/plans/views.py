@@ -51,7 +51,11 @@ def quotes(spark, sf_dir) -> DataFrame:
 
 
 def quotes_dirty(spark, sf_dir) -> DataFrame:
-    q = quotes(spark, sf_dir)
+    return dirty(quotes(spark, sf_dir))
+
+
+def dirty(q: DataFrame) -> DataFrame:
+    """Crossed books, zero sizes and missing prices at fixed places."""
     return q.withColumn(
         "ask_px", F.when(F.col("seq") % 97 == 0, F.col("bid_px") - F.lit(0.01)).otherwise(F.col("ask_px"))
     ).withColumns(
