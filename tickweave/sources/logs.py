@@ -54,9 +54,12 @@ def read_eval_logs(spark: SparkSession, path, multiline: bool = False) -> DataFr
 
 
 def malformed(spark: SparkSession, path, multiline: bool = False) -> DataFrame:
-    """Files with records that did not parse, and how many."""
+    """Files with records that did not parse, how many, and a run name if one was still readable.
+
+    A query on the corrupt column alone is refused by the reader, so a parsed column is read with it.
+    """
     bad = _read(spark, path, EVAL_LOG, multiline).where(F.col(CORRUPT).isNotNull())
-    return bad.groupBy("source").agg(F.count(F.lit(1)).alias("n_bad"))
+    return bad.groupBy("source").agg(F.count(F.lit(1)).alias("n_bad"), F.max("run_id").alias("run_id"))
 
 
 def episode_steps(logs: DataFrame) -> DataFrame:
