@@ -34,10 +34,7 @@ def build_features(
     schemas.require_columns(snaps, [*keys, "ts_ms", "signed_volume", "abs_volume", "micro_price"], "snapshots")
     if "funding_rate" not in snaps.columns:
         snaps = snaps.withColumn("funding_rate", F.lit(None).cast("double"))
-    df = rolling.flow_features(snaps, flow_windows, keys)
-    df = rolling.log_return(df, ticks=return_ticks, keys=keys)
-    df = rolling.realised_vol(df, vol_windows, keys=keys)
-    df = rolling.funding_features(df, ticks=funding_ticks, keys=keys)
+    df = rolling.all_features(snaps, flow_windows, vol_windows, return_ticks, funding_ticks, keys)
     df = df.withColumns(calendar_encoding(F.col("ts_ms")))
     df = schemas.fill_optional(df, schemas.MARKET_FEATURES)
     df = df.dropna(subset=list(WARMUP_COLUMNS))

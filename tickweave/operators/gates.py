@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tickweave.functions.arrays import abs_differences, argmax, array_sum
-from tickweave.operators.scan import Running, blocked, scan
+from tickweave.operators.scan import Running, blocked, positions, scan
 from tickweave.operators.splits import with_positions
 
 # Thresholds of the rubric, all strict, and the full episode length.
@@ -85,9 +85,12 @@ def rubric(summary: DataFrame, thresholds: dict[str, float] = RUBRIC) -> DataFra
 
 
 def rank_candidates(graded: DataFrame, by="candidate") -> DataFrame:
-    """Passers first, then by mean; one row per candidate goes through the ordering."""
-    w = Window.orderBy(F.col("passes_rubric").desc(), F.col("mean_reward").desc_nulls_last(), F.col(by))
-    return graded.withColumn("rank", F.row_number().over(w))
+    """Passers first, then by mean with missing means last; the rank is a position of a distributed sort."""
+    keyed = graded.withColumns(
+        {"_f": ~F.col("passes_rubric"), "_n": F.col("mean_reward").isNull(), "_m": -F.coalesce("mean_reward", F.lit(0.0))}
+    )
+    placed = positions(keyed, [], ["_f", "_n", "_m", by], "rank").drop("_f", "_n", "_m")
+    return placed.withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def top_runs(runs: DataFrame, n: int, finished="finished", state="state", metric="metric", run="run", higher=True) -> DataFrame:

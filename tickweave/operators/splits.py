@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.operators.scan import positions
 from tickweave.session import materialise
 
+MAX_CALENDAR = 1_000_000  # fold days that are broadcast; beyond, the join shuffles
 ROWS_PER_DAY = 864_000  # fixed value: ticks of a day on the 100 ms grid
 
 
@@ -102,9 +103,11 @@ def walk_forward_folds(df: DataFrame, folds, day="day") -> DataFrame:
     cal = spark.createDataFrame(rows, "fold int, split string, a string, b string").select(
         "fold", "split", F.explode(F.sequence(F.col("a").cast("date"), F.col("b").cast("date"))).alias(day)
     )
+    # calendar rows come from the argument list, so their number is known here
+    n_rows = sum((date.fromisoformat(b) - date.fromisoformat(a)).days + 1 for _, _, a, b in rows)
     bounds = [f[0] for f in folds] + [f[3] for f in folds]
     pruned = df.where(F.col(day).between(F.lit(min(bounds)).cast("date"), F.lit(max(bounds)).cast("date")))
-    return pruned.join(F.broadcast(cal) if len(folds) <= 1000 else cal, day)
+    return pruned.join(F.broadcast(cal) if n_rows <= MAX_CALENDAR else cal, day)
 
 
 def require_every_fold(counts: DataFrame, n_folds: int) -> None:
@@ -126,11 +129,10 @@ def sample_windows(
     spark = df.sparkSession
     placed = positions(df, keys, order, blocks=blocks)
     sizes = slab_sizes(df, keys).where(F.col("n_total") > length + 1)
-    # numbering the slabs is a window over one row per slab
-    ranked = sizes.withColumn("_slab", F.row_number().over(Window.orderBy(*keys)))
+    ranked = positions(sizes, [], keys, "_slab")
     n_slabs = F.lit(sizes.count())
     draws = spark.range(n_samples).withColumnRenamed("id", "sample_id")
-    draws = draws.withColumn("_slab", (hash_mod(n_slabs, F.lit(seed), F.lit("slab"), F.col("sample_id")) + 1).cast("int"))
+    draws = draws.withColumn("_slab", hash_mod(n_slabs, F.lit(seed), F.lit("slab"), F.col("sample_id")))
     starts = draws.join(ranked, "_slab").withColumn(
         "start", hash_mod(F.col("n_total") - length - 1, F.lit(seed), F.lit("start"), F.col("sample_id"))
     )

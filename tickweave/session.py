@@ -13,14 +13,23 @@ ROCKSDB_PROVIDER = (
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings that results depend on; cluster sizing is left alone."""
+    """Pin the runtime settings that results and plans depend on; cluster sizing is left alone.
+
+    Wide expression stages can generate methods above 8000 bytes, which the JVM
+    never compiles. The limit makes Spark split such stages instead.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
 def local_session(cores: str = "8", app: str = "tickweave") -> SparkSession:
-    """A local session for tests and the benchmark."""
+    """A local session for tests and the benchmark.
+
+    Call sites of single column calls are switched off: they cost several round
+    trips each when plans are wide, and the setting is static.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -28,6 +37,7 @@ def local_session(cores: str = "8", app: str = "tickweave") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -45,7 +47,10 @@ def last_quotes(quotes: DataFrame, grid_ms: int, cols, late: str = "10 minutes",
 
 
 class _FillTicks(StatefulProcessor):
-    """Repeats the last row of a key for every tick up to the next one."""
+    """Repeats the last row of a key for every tick up to the next one.
+
+    State is the newest row: its tick, the last tick already given out, its values.
+    """
 
     def __init__(self, grid_ms: int, cols: list[str], keys: list[str]):
         self.grid_ms, self.cols, self.keys = grid_ms, cols, keys
@@ -55,34 +60,47 @@ class _FillTicks(StatefulProcessor):
         fields += [T.StructField(c, T.DoubleType()) for c in self.cols]
         self.last = handle.getValueState("last", T.StructType(fields))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        names = [*self.keys, "ts_ms", *self.cols]
-        held = self.last.get() if self.last.exists() else None
-        for r in sorted(rows, key=lambda x: x["tick"]):
-            if held is not None:
-                first = held[0] if held[1] < held[0] else held[1] + self.grid_ms
-                for t in range(first, r["tick"], self.grid_ms):
-                    yield Row(**dict(zip(names, (*key, t, *held[2:]))))
-            done = r["tick"] - self.grid_ms
-            # a row exactly on its tick is final for that tick
-            if r["seen_ms"] == r["tick"]:
-                yield Row(**dict(zip(names, (*key, r["tick"], *[r[c] for c in self.cols]))))
-                done = r["tick"]
-            held = (r["tick"], done, *[r[c] for c in self.cols])
-        if held is not None:
-            self.last.update(tuple(held))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        g = self.grid_ms
+        new = _sorted(rows)
+        tick, values = new["tick"].to_numpy(np.int64), new[self.cols].to_numpy(float)
+        # a row exactly on its tick is final for that tick
+        done = np.where(new["seen_ms"].to_numpy(np.int64) == tick, tick, tick - g)
+        start = tick
+        if self.last.exists():
+            held = self.last.get()
+            tick, start = np.insert(tick, 0, held[0]), np.insert(tick, 0, held[1] + g)
+            done, values = np.insert(done, 0, held[1]), np.vstack([np.array(held[2:], float), values])
+        stop = np.append(tick[1:] - g, done[-1])
+        n = np.maximum((stop - start) // g + 1, 0)
+        at = np.repeat(np.arange(len(tick)), n)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.last.update((int(tick[-1]), int(max(done[-1], start[-1] - g)), *[None if v != v else float(v) for v in values[-1]]))
+        yield _keyed(self.keys, key, {"ts_ms": start[at] + step * g, **dict(zip(self.cols, values[at].T))})
 
     def close(self) -> None:
         pass
 
 
+def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The rows of one key in one micro-batch: one per tick, by tick."""
+    return pd.concat(list(rows), ignore_index=True).sort_values("tick", ignore_index=True)
+
+
+def _keyed(names, key, columns: dict) -> pd.DataFrame:
+    out = pd.DataFrame(columns)
+    for i, (n, k) in enumerate(zip(names, key)):
+        out.insert(i, n, [k] * len(out))
+    return out
+
+
 def fill_ticks(ticks: DataFrame, grid_ms: int, cols, by=("symbol", "day")) -> DataFrame:
     """Dense ticks per key up to the newest complete one; a key ends with its last row."""
     by = list(by)
     schema = T.StructType(
         [ticks.schema[k] for k in by] + [T.StructField("ts_ms", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in cols]
     )
-    return ticks.groupBy(*by).transformWithState(
+    return ticks.groupBy(*by).transformWithStateInPandas(
         statefulProcessor=_FillTicks(grid_ms, list(cols), by), outputStructType=schema, outputMode="Append", timeMode="None"
     )
 
@@ -98,35 +116,31 @@ class _RollingFlow(StatefulProcessor):
         self.ring = handle.getListState("ring", T.StructType(bucket))
         self.span = handle.getValueState("span", T.StructType([T.StructField("first", T.LongType()), T.StructField("next", T.LongType())]))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         g, longest = self.grid_ms, max(self.windows.values())
-        ring = [tuple(x) for x in self.ring.get()] if self.ring.exists() else []
-        first, upcoming = tuple(self.span.get()) if self.span.exists() else (None, None)
-        for r in sorted(rows, key=lambda x: x["tick"]):
-            if first is None:
-                first = upcoming = r["tick"]
-            # ticks before this bucket are final now
-            for t in range(upcoming, r["tick"], g):
-                yield self._row(key, t, ring, first)
-            upcoming = r["tick"]
-            ring = [b for b in ring if b[0] > r["tick"] - longest * g]
-            ring.append((r["tick"], float(r["signed_volume"]), float(r["abs_volume"])))
-        self.ring.put(ring)
-        if first is not None:
-            self.span.update((first, upcoming))
-
-    def _row(self, key, t: int, ring, first: int) -> Row:
-        out = {**dict(zip(self.keys, key)), "ts_ms": t}
-        n_ticks = (t - first) // self.grid_ms + 1
+        new = _sorted(rows)
+        old = [tuple(x) for x in self.ring.get()] if self.ring.exists() else []
+        tick = np.concatenate([np.array([b[0] for b in old], np.int64), new["tick"].to_numpy(np.int64)])
+        signed = np.concatenate([[b[1] for b in old], new["signed_volume"].to_numpy(float)])
+        total = np.concatenate([[b[2] for b in old], new["abs_volume"].to_numpy(float)])
+        first, begin = tuple(self.span.get()) if self.span.exists() else (int(tick[0]), int(tick[0]))
+        # ticks before the newest bucket are final now
+        t = np.arange(begin, tick[-1], g, dtype=np.int64)
+        run_signed, run_total = np.append(0.0, signed.cumsum()), np.append(0.0, total.cumsum())
+        hi = np.searchsorted(tick, t, side="right")
+        out = {"ts_ms": t}
         for name, n in self.windows.items():
-            if n_ticks < n:
-                out[f"ofi_{name}"] = out[f"trade_flow_imb_{name}"] = None
-                continue
-            inside = [b for b in ring if t - n * self.grid_ms < b[0] <= t]
-            signed, total = sum(b[1] for b in inside), sum(b[2] for b in inside)
-            out[f"ofi_{name}"] = float(signed)
-            out[f"trade_flow_imb_{name}"] = signed / total if total > 0 else 0.0
-        return Row(**out)
+            lo = np.searchsorted(tick, t - n * g, side="right")
+            full = (t - first) // g + 1 >= n
+            s, a = run_signed[hi] - run_signed[lo], run_total[hi] - run_total[lo]
+            busy = (hi > lo) & (a > 0)
+            out[f"ofi_{name}"] = np.where(full, s, np.nan)
+            out[f"trade_flow_imb_{name}"] = np.where(full, np.divide(s, a, out=np.zeros_like(s), where=busy), np.nan)
+        keep = tick > tick[-1] - longest * g
+        self.ring.put(list(zip(tick[keep].tolist(), signed[keep].tolist(), total[keep].tolist())))
+        self.span.update((first, int(tick[-1])))
+        frame = _keyed(self.keys, key, out)
+        yield frame.astype(object).where(frame.notna(), None).astype({"ts_ms": "int64"})
 
     def close(self) -> None:
         pass
@@ -138,13 +152,14 @@ def rolling_flow(flow: DataFrame, grid_ms: int, windows: dict[str, int], by=("sy
     fields = [flow.schema[k] for k in by] + [T.StructField("ts_ms", T.LongType())]
     for name in windows:
         fields += [T.StructField(f"ofi_{name}", T.DoubleType()), T.StructField(f"trade_flow_imb_{name}", T.DoubleType())]
-    return flow.groupBy(*by).transformWithState(
-        statefulProcessor=_RollingFlow(grid_ms, dict(windows), by), outputStructType=T.StructType(fields), outputMode="Append", timeMode="None"
+    return flow.groupBy(*by).transformWithStateInPandas(
+        statefulProcessor=_RollingFlow(grid_ms, dict(windows), by), outputStructType=T.StructType(fields), outputMode="Append",
+        timeMode="None",
     )
 
 
 class _BreachRuns(StatefulProcessor):
-    """Flags the k-th and later values in a row above ``hi`` or below ``lo``."""
+    """Flags the k-th and later values in a row above ``hi`` or below ``lo``; state is the last k - 1 values."""
 
     def __init__(self, hi: float, lo: float, k: int, keys: list[str]):
         self.hi, self.lo, self.k, self.keys = hi, lo, k, keys
@@ -152,14 +167,15 @@ class _BreachRuns(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState("recent", T.StructType([T.StructField("value", T.DoubleType())]))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        recent = [x[0] for x in self.recent.get()] if self.recent.exists() else []
-        for r in sorted(rows, key=lambda x: x["tick"]):
-            recent = [*recent, r["value"]][-self.k:]
-            full = len(recent) == self.k
-            breach = full and (all(v > self.hi for v in recent) or all(v < self.lo for v in recent))
-            yield Row(**{**dict(zip(self.keys, key)), "tick": r["tick"], "breach": bool(breach)})
-        self.recent.put([(v,) for v in recent])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = _sorted(rows)
+        old = [x[0] for x in self.recent.get()] if self.recent.exists() else []
+        v = pd.Series(np.concatenate([old, new["value"].to_numpy(float)]))
+        above, below = ((x.rolling(self.k).sum() == self.k) for x in ((v > self.hi).astype(int), (v < self.lo).astype(int)))
+        breach = (above | below).to_numpy()[len(old):]
+        if self.k > 1:
+            self.recent.put([(float(x),) for x in v.tail(self.k - 1)])
+        yield _keyed(self.keys, key, {"tick": new["tick"], "breach": breach})
 
     def close(self) -> None:
         pass
@@ -168,7 +184,7 @@ class _BreachRuns(StatefulProcessor):
 def breach_runs(ticks: DataFrame, hi: float, lo: float, k: int, by=("symbol",)) -> DataFrame:
     by = list(by)
     schema = T.StructType([ticks.schema[c] for c in by] + [T.StructField("tick", T.LongType()), T.StructField("breach", T.BooleanType())])
-    return ticks.groupBy(*by).transformWithState(
+    return ticks.groupBy(*by).transformWithStateInPandas(
         statefulProcessor=_BreachRuns(hi, lo, k, by), outputStructType=schema, outputMode="Append", timeMode="None"
     )
 
