@@ -64,6 +64,15 @@ def test_table_round_trip_prunes_days_and_columns(spark, tmp_path):
     assert t.count() == 9 and t.where("bid_px = 9").select("day").distinct().count() == 1
 
 
+def test_named_symbols(spark, tmp_path):
+    path = str(tmp_path / "quotes")
+    stored(spark, path)
+    t = tables.read_table(spark, path, schemas.QUOTES)
+    assert tables.select_symbols(t, ["X"]).count() == 9
+    with pytest.raises(FileNotFoundError, match="GONE"):
+        tables.select_symbols(t, ["X", "GONE"])
+
+
 def test_missing_tables(spark, tmp_path):
     gone = str(tmp_path / "gone")
     with pytest.raises(FileNotFoundError):

@@ -39,6 +39,15 @@ def between_days(df: DataFrame, start: str | None = None, end: str | None = None
     return df
 
 
+def select_symbols(df: DataFrame, symbols, key: str = "symbol") -> DataFrame:
+    """The slabs of the named symbols; a symbol without rows is an error. The names are an argument list."""
+    found = {r[0] for r in df.where(F.col(key).isin(list(symbols))).select(key).distinct().collect()}
+    gone = [s for s in symbols if s not in found]
+    if gone:
+        raise FileNotFoundError(f"no slab for {gone}")
+    return df.where(F.col(key).isin(list(symbols)))
+
+
 def columns(df: DataFrame, wanted) -> DataFrame:
     """Only what is needed; the scan reads no other column."""
     return df.select(*wanted)
