@@ -12,7 +12,7 @@ from tickweave.session import new_path
 from tickweave.sources import raw, tables, worklist
 
 _EXISTING = """ex as (select distinct symbol, day, 'quotes' as stream from ev
-  union select distinct symbol, day, 'trades' from ev where event_id%2=0 and user_id%7=0)"""
+  union select distinct symbol, day, 'trades' from ev where value > 90)"""
 
 
 @query(
@@ -26,9 +26,8 @@ def task_plan_pending(spark, d):
     e = V.events(spark, d)
     dim = worklist.asset_dimension(spark, {"c": "click", "v": "view"}, {"click": "2024-01-05", "view": "2023-06-01"})
     plan = worklist.task_plan(e, ["quotes", "trades", "depth"], "2023-12-28", "2024-02-04", dim)
-    some = (F.col("event_id") % 2 == 0) & (F.col("user_id") % 7 == 0)
     done = e.select("symbol", "day", F.lit("quotes").alias("stream")).unionByName(
-        e.where(some).select("symbol", "day", F.lit("trades").alias("stream"))
+        e.where(F.col("value") > 90).select("symbol", "day", F.lit("trades").alias("stream"))
     )
     return worklist.pending(plan, done).select("symbol", day_text(), "stream")
 
