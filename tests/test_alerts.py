@@ -22,7 +22,7 @@ def test_account_alerts(spark):
     df = spark.createDataFrame([(1, 1000 * i, i, p) for i, p in enumerate(pnl)], "u int, ts_ms long, seq int, pnl double")
     for n in (1, 4):
         b = blocked(df, ["u"], ["ts_ms", "seq"], n)
-        log = ledger.with_loss_streak(ledger.with_nav(b, ["u"], ["ts_ms", "seq"], F.col("pnl")), ["u"], ["ts_ms", "seq"], F.col("pnl"))
+        log = ledger.with_account(b, ["u"], ["ts_ms", "seq"], F.col("pnl"))
         out = alerts.account_alerts(log, ["u"], ["ts_ms", "seq"], losses=3, cooldown_ms=2000, trailing=0.025).orderBy("seq").collect()
         assert [r.loss_pause for r in out] == [False, False, False, True, True, True, False]
         # the stop holds after the value has recovered

@@ -25,7 +25,7 @@ def per_user(p, fn):
 @pytest.mark.parametrize("blocks", [1, 11])
 def test_nav_drawdown_and_streak(spark, log, blocks):
     b = blocked(spark.createDataFrame(log), KEYS, ORDER, blocks)
-    out = ledger.with_loss_streak(ledger.with_nav(b, KEYS, ORDER, F.col("pnl"), weight=0.5), KEYS, ORDER, F.col("pnl"))
+    out = ledger.with_account(b, KEYS, ORDER, F.col("pnl"), weight=0.5)
     got = out.toPandas().sort_values("seq")
     nav = per_user(log, lambda g: (1 + g.pnl * 0.5).cumprod())
     peak = per_user(log, lambda g: (1 + g.pnl * 0.5).cumprod().cummax().clip(lower=1.0))
@@ -45,9 +45,9 @@ def test_nav_drawdown_and_streak(spark, log, blocks):
 def test_a_first_loss_is_a_drawdown_and_total_loss_stops(spark):
     df = spark.createDataFrame([(1, 1, -0.1), (1, 2, 0.05)], "user int, seq int, pnl double")
     b = blocked(df, KEYS, ORDER)
-    assert ledger.with_nav(b, KEYS, ORDER, F.col("pnl")).orderBy("seq").first().drawdown == pytest.approx(0.1)
+    assert ledger.with_account(b, KEYS, ORDER, F.col("pnl")).orderBy("seq").first().drawdown == pytest.approx(0.1)
     with pytest.raises(Exception, match="compounded"):
-        ledger.with_nav(b, KEYS, ORDER, F.lit(-1.5)).collect()
+        ledger.with_account(b, KEYS, ORDER, F.lit(-1.5)).collect()
 
 
 @pytest.mark.parametrize("blocks", [1, 11])

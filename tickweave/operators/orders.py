@@ -10,6 +10,7 @@ from tickweave.functions import execution as X
 from tickweave.operators.grid import ceil_tick
 from tickweave.operators.scan import BLOCK, Running, blocked, scan
 from tickweave.operators.splits import hash_mod
+from tickweave.session import materialise
 
 _NAMES = list(schemas.DEPTH_LEVELS.values())
 BID_DEPTH = [c for c in _NAMES if c.startswith("bid")]
@@ -102,7 +103,7 @@ def superseded(orders: DataFrame, keys=("symbol",), order=("issue_tick", "order_
     keys, order = list(keys), list(order)
     rows = blocked(orders, keys, order, blocks, "orders")
     mkt = F.col("is_market")
-    turn = scan(rows, keys, order, Running("_turn", "count", F.when(mkt, 1)))
+    turn = materialise(scan(rows, keys, order, Running("_turn", "count", F.when(mkt, 1))), "turns")
     held = scan(turn, [*keys, "_turn"], order, Running("_leaves", "max", F.col("execute_tick"))).drop(BLOCK)
     clears = turn.where(mkt).select(
         *keys, (F.col("_turn") - 1).alias("_turn"), F.col("issue_tick").alias("cleared_tick"), F.col("order_id").alias("cleared_by")

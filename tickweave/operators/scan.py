@@ -28,16 +28,19 @@ BLOCK = "_block"
 
 @dataclass(frozen=True)
 class Running:
-    """One running value: ``kind`` is sum, count, max, min or last.
+    """One running value: ``kind`` is sum, count, max, min, last or peak.
 
-    ``exclusive`` looks at earlier rows only. ``last`` takes the newest
-    non-null value; wrap the input in a struct to keep inner nulls.
+    ``exclusive`` looks at earlier rows only. ``last`` takes the newest non-null
+    value; wrap the input in a struct to keep inner nulls. ``peak`` is the highest
+    ``at`` plus the running sum of ``value``, over the rows where ``at`` is not
+    null; it saves a second scan over the result of a first.
     """
 
     name: str
     kind: str
     value: Column
     exclusive: bool = False
+    at: Column | None = None
 
 
 def blocked(df: DataFrame, keys, order, blocks: int | None = None, label: str = "blocks") -> DataFrame:
@@ -85,24 +88,42 @@ def scan(df: DataFrame, keys, order, *running: Running) -> DataFrame:
 
     ``order`` are column names that make the order total within ``keys``. Scans
     can be chained: the block column stays, and a later scan may use finer keys
-    as long as they grow with the same order.
+    as long as they grow with the same order. A later scan evaluates the earlier
+    one twice, so longer chains should be written out in between.
     """
     keys, order = list(keys), list(order)
+    plain, peaks = [r for r in running if r.kind != "peak"], [r for r in running if r.kind == "peak"]
     inner = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    scanned = df.withColumns({f"_h_{r.name}": _frame_value(r, inner) for r in running})
-
-    totals = df.groupBy(*keys, BLOCK).agg(*[_block_total(r, order).alias(f"_t_{r.name}") for r in running])
-    earlier = Window.partitionBy(*keys).orderBy(BLOCK)
-    carry = (
-        totals.withColumns(
-            {f"_c_{r.name}": _carry(r, earlier.rowsBetween(Window.unboundedPreceding, -1)) for r in running}
-        )
-        .withColumn("_nth", F.row_number().over(earlier))
-        .where(F.col("_nth") > 1)
-        .select(*keys, BLOCK, *[f"_c_{r.name}" for r in running])
+    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+
+    sums = {f"_s_{r.name}": F.sum(r.value).over(upto) for r in peaks}
+    heights = {r.name: r.at + F.coalesce(F.col(f"_s_{r.name}"), F.lit(0)) for r in peaks}
+    local = df.withColumns({**{f"_h_{r.name}": _frame_value(r, inner) for r in plain}, **sums})
+    scanned = local.withColumns({f"_h_{n}": F.max(h).over(upto) for n, h in heights.items()}) if peaks else local
+
+    aggs = [_block_total(r, order).alias(f"_t_{r.name}") for r in plain]
+    for r in peaks:
+        aggs += [F.sum(r.value).alias(f"_ts_{r.name}"), F.max(heights[r.name]).alias(f"_t_{r.name}")]
+    totals = (df.withColumns(sums) if peaks else df).groupBy(*keys, BLOCK).agg(*aggs)
+
+    blocks = Window.partitionBy(*keys).orderBy(BLOCK)
+    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.withColumns(
+        {
+            **{f"_c_{r.name}": _carry(r, earlier) for r in plain},
+            **{f"_cs_{r.name}": F.coalesce(F.sum(f"_ts_{r.name}").over(earlier), F.lit(0)) for r in peaks},
+            "_nth": F.row_number().over(blocks),
+        }
     )
+    if peaks:
+        carry = carry.withColumns({f"_c_{r.name}": F.max(F.col(f"_t_{r.name}") + F.col(f"_cs_{r.name}")).over(earlier) for r in peaks})
+    kept = [f"_c_{r.name}" for r in running] + [f"_cs_{r.name}" for r in peaks]
+    carry = carry.where(F.col("_nth") > 1).select(*keys, BLOCK, *kept)
+
     joined = scanned.join(F.broadcast(carry), [*keys, BLOCK], "left")
-    return joined.select(*df.columns, *[_combine(r).alias(r.name) for r in running])
+    lifted = {r.name: F.col(f"_h_{r.name}") + F.coalesce(F.col(f"_cs_{r.name}"), F.lit(0)) for r in peaks}
+    out = {r.name: _combine(r) for r in plain} | {n: F.greatest(c, F.col(f"_c_{n}")) for n, c in lifted.items()}
+    return joined.select(*df.columns, *[out[r.name].alias(r.name) for r in running])
 
 
 def positions(df: DataFrame, keys, order, name: str = "pos", blocks: int | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from tickweave.plans import sqlviews as S
 from tickweave.plans import views as V
 from tickweave.plans.market import GRID_MS, day_text, r, snaps
 from tickweave.plans.registry import query
+from tickweave.session import materialise
 
 SEED = 3
 CFG = X.CostConfig(tick_sizes={"click": 0.5, "view": 0.05, "purchase": 0.01})
@@ -203,7 +204,7 @@ def _user_log(spark, d):
     """Events of a user in order, with their position, ready for running columns."""
     e = V.events(spark, d).select("user_id", "ts_ms", "seq", "value")
     b = blocked(e, ["user_id"], ["ts_ms", "seq"], label="users")
-    return scan(b, ["user_id"], ["ts_ms", "seq"], Running("pos", "count", F.lit(1), exclusive=True))
+    return materialise(scan(b, ["user_id"], ["ts_ms", "seq"], Running("pos", "count", F.lit(1), exclusive=True)), "user-log")
 
 
 _UPOS = f"with {S.EV}, u as (select user_id, ts_ms, seq, value, row_number() over (partition by user_id order by ts_ms, seq)-1 as pos from ev)"
@@ -242,10 +243,10 @@ def position_state(spark, d):
     u = _user_log(spark, d).withColumn("pid", F.floor(F.col("pos") / 20))
     keys, order = ["user_id", "pid"], ["ts_ms", "seq"]
     # the entry price is the first value of the position
-    u = scan(u, keys, order, Running("_first", "min", F.struct("ts_ms", "seq", "value")))
+    u = scan(u, keys, order, Running("entry", "last", F.when(F.col("pos") % 20 == 0, F.col("value"))))
     side = F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1)
     rate = X.funding_per_tick(F.lit(0.0001) * (F.col("seq") % 7 - 3), 480)
-    gross = X.gross_pnl(side, F.col("value"), F.col("_first.value"), 6.0)
+    gross = X.gross_pnl(side, F.col("value"), F.col("entry"), 6.0)
     out = ledger.with_position_state(u, keys, order, gross, rate, side).drop(BLOCK)
     return out.select(
         "user_id", "seq", "pid", "hold_ticks", *r(["cum_funding"], 10), *r(["unrealised", "peak_unrealised", "give_back"])

@@ -25,7 +25,7 @@ n3 as (select *, greatest((peak_nav-nav)/peak_nav,0) as drawdown from n2)"""
 
 def nav_rows(spark, d):
     b = blocked(V.nav_log(spark, d), KEYS, ORDER, label="nav")
-    return ledger.with_nav(b, KEYS, ORDER, F.col("pnl"))
+    return ledger.with_account(b, KEYS, ORDER, F.col("pnl"))
 
 
 @query(
@@ -38,8 +38,7 @@ def nav_drawdown(spark, d):
 
 @query("loss_streaks", f"with {_NAV} select user_id, seq, streak from n3")
 def loss_streaks(spark, d):
-    b = blocked(V.nav_log(spark, d), KEYS, ORDER, label="nav")
-    return ledger.with_loss_streak(b, KEYS, ORDER, F.col("pnl")).select("user_id", "seq", "streak")
+    return nav_rows(spark, d).select("user_id", "seq", "streak")
 
 
 _TERMS = f"""{_NAV}, t as (select *, opened or cancels=0 as has_position, pnl*3 as unreal, abs(pnl)/7 as fund, greatest(pnl*3,0)+0.004 as peak from n3),
@@ -51,7 +50,8 @@ rw as (select *, greatest(realised+open_value+dd+streak_t+funding+entry+churn+gi
 
 
 def _with_rewards(spark, d):
-    rows = ledger.with_loss_streak(nav_rows(spark, d), KEYS, ORDER, F.col("pnl"), name="losses_in_row")
+    # the term takes the name "streak", so the count needs another
+    rows = nav_rows(spark, d).withColumnRenamed("streak", "losses_in_row")
     c = F.col
     return rewards.with_rewards(
         rows, pnl=c("pnl"), unrealised=c("pnl") * 3, has_position=c("opened") | (c("cancels") == 0), drawdown=c("drawdown"),

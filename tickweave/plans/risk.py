@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickweave.operators import alerts, ledger
+from tickweave.operators import alerts
 from tickweave.plans import logs as L
 from tickweave.plans import sqlviews as S
 from tickweave.plans import views as V
@@ -33,8 +33,7 @@ def risk_price_alerts(spark, d):
 select user_id, seq, coalesce(ts_ms-loss_at<=86400000,false) as loss_pause, fell>0 as drawdown_stop from a""",
 )
 def risk_account_alerts(spark, d):
-    log = ledger.with_loss_streak(L.nav_rows(spark, d), L.KEYS, L.ORDER, F.col("pnl"))
-    out = alerts.account_alerts(log, L.KEYS, L.ORDER, losses=3, cooldown_ms=86_400_000, trailing=0.01)
+    out = alerts.account_alerts(L.nav_rows(spark, d), L.KEYS, L.ORDER, losses=3, cooldown_ms=86_400_000, trailing=0.01)
     return out.select("user_id", "seq", "loss_pause", "drawdown_stop")
 
 
