@@ -72,19 +72,19 @@ def limit_lifetimes(orders: DataFrame, snaps: DataFrame, grid_ms: int, max_age:
 
     ``orders`` has ``order_id``, the keys, ``side``, ``post_tick`` and
     ``post_price``. Each order asks for its next ``max_age`` ticks by equi-join and
-    keeps the first that trades through.
+    keeps the first that trades through; one aggregate brings the order back whole.
     """
-    cols = ["order_id", *keys, "side", "post_tick", "post_price"] + ([resting] if resting else [])
-    tick = F.col("post_tick") + F.col("_age") * grid_ms
     ages = F.explode(F.sequence(F.lit(1), F.lit(max_age))).alias("_age")
-    probes = orders.select(*cols, ages).withColumn("ts_ms", tick)
-    seen = probes.join(snaps.select(*keys, "ts_ms", "bid_px", "ask_px", "abs_volume"), [*keys, "ts_ms"])
+    probes = orders.select("*", ages).withColumn("ts_ms", F.col("post_tick") + F.col("_age") * grid_ms).drop("_age")
+    book = snaps.select(
+        *keys, "ts_ms", F.col("bid_px").alias("_bid"), F.col("ask_px").alias("_ask"), F.col("abs_volume").alias("_volume")
+    )
+    seen = probes.join(book, [*keys, "ts_ms"], "left")
     hit = X.trade_through(
-        F.col("side"), F.col("post_price"), F.col("bid_px"), F.col("ask_px"), F.col("abs_volume"),
-        F.col(resting) if resting else None,
+        F.col("side"), F.col("post_price"), F.col("_bid"), F.col("_ask"), F.col("_volume"), F.col(resting) if resting else None
     )
-    first = seen.where(hit).groupBy("order_id").agg(F.min("ts_ms").alias("fill_tick"))
-    return orders.join(first, "order_id", "left").withColumns(
+    out = seen.groupBy(*orders.columns).agg(F.min(F.when(hit, F.col("ts_ms"))).alias("fill_tick"))
+    return out.withColumns(
         {
             "filled": F.col("fill_tick").isNotNull(),
             "age": ((F.coalesce("fill_tick", F.col("post_tick") + max_age * grid_ms) - F.col("post_tick")) / grid_ms).cast("int"),

@@ -167,14 +167,13 @@ select p.order_id, side, post_tick, round(post_price,6) as post_price, fill_tick
   cast((coalesce(fill_tick, post_tick+600000)-post_tick)//60000 as integer) as age from p left join h using (order_id)""",
 )
 def limit_fill_lifetime(spark, d):
-    s = snaps(spark, d, with_rate=True)
+    # two steps read the snapshots, so they are stored first
+    s = materialise(snaps(spark, d, with_rate=True), "snapshots")
     o = orders.schedule(V.orders_x(spark, d), GRID_MS, SEED, CFG)
     at = orders.lookup(o, s)
-    posted = at.withColumns(
-        {
-            "post_tick": F.col("execute_tick") + GRID_MS,
-            "post_price": F.when(F.col("side") > 0, F.col("next_bid_px")).otherwise(F.col("next_ask_px")),
-        }
+    posted = at.select(
+        "order_id", "symbol", "day", "side", (F.col("execute_tick") + GRID_MS).alias("post_tick"),
+        F.when(F.col("side") > 0, F.col("next_bid_px")).otherwise(F.col("next_ask_px")).alias("post_price"),
     )
     out = orders.limit_lifetimes(posted, s, GRID_MS, CFG.limit_max_age)
     return out.select("order_id", "side", "post_tick", *r(["post_price"]), "filled", "age")
