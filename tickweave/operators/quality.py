@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickweave.schemas import missing_columns
+from tickweave.session import materialise
 
 BLOCK_ROWS = 1 << 20
 
@@ -268,8 +269,12 @@ def failing(issues: DataFrame, keys=("symbol", "day")) -> DataFrame:
 
 
 def gate(df: DataFrame, issues: DataFrame, keys=("symbol", "day")) -> tuple[DataFrame, DataFrame]:
-    """Rows of passing days, and the quarantined rest."""
-    bad = failing(issues, keys)
+    """Rows of passing days, and the quarantined rest.
+
+    The failing keys are written out, so both joins know their real size and the
+    rows are not shuffled while that is small.
+    """
+    bad = materialise(failing(issues, keys), "failing")
     return df.join(bad, list(keys), "left_anti"), df.join(bad, list(keys), "left_semi")
 
 

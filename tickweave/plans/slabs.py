@@ -9,6 +9,7 @@ from tickweave.plans import sqlviews as S
 from tickweave.plans import views as V
 from tickweave.plans.market import r, snaps
 from tickweave.plans.registry import query
+from tickweave.session import materialise
 
 _POS = f"""with {S.QUOTES}, x as (
   select *, row_number() over (partition by symbol order by ts_ms, seq)-1 as pos, count(*) over (partition by symbol) as n from q)"""
@@ -204,7 +205,8 @@ select symbol, cast(day as varchar) as day, ts_ms, pos from x""",
 def grid_positions(spark, d):
     from tickweave.operators.scan import grid_positions as place
 
-    s = snaps(spark, d, quotes_only=True).select("symbol", "day", "ts_ms")
+    # counted and numbered, so stored first
+    s = materialise(snaps(spark, d, quotes_only=True).select("symbol", "day", "ts_ms"), "ticks")
     return place(s, "symbol", "day", "ts_ms").select("symbol", F.col("day").cast("string").alias("day"), "ts_ms", F.col("pos").cast("long").alias("pos"))
 
 
@@ -215,7 +217,7 @@ b as (select symbol, max(ts_ms) filter (tr) as first_end_ms, min(ts_ms) filter (
 select symbol, first_end_ms, second_start_ms, second_start_ms <= first_end_ms as violated from b""",
 )
 def split_order_violations(spark, d):
-    b = splits.split_bounds(splits.chrono_split(V.quotes(spark, d), 0.8))
+    b = materialise(splits.split_bounds(splits.chrono_split(V.quotes(spark, d), 0.8)), "bounds")
     bad = splits.order_violations(b).select("symbol", F.lit(True).alias("violated"))
     wide = b.groupBy("symbol").agg(
         F.max(F.when(F.col("split") == "train", F.col("end_ms"))).alias("first_end_ms"),
