@@ -46,6 +46,19 @@ def test_one_bad_file_fails_alone(spark, tmp_path):
     assert raw.parse(spark, "trades", [good, bad, str(broken)]).count() == 1
 
 
+def test_ingest_stores_by_symbol_and_day(spark, tmp_path):
+    paths = []
+    for sym, day, text in (("X", "2024-01-01", "1,10.0,2.0,1,1,1000,true\n"), ("X", "2024-01-02", "junk\n"), ("Y", "2024-01-01", "1,5.0,1.0,1,1,7,false\n")):
+        folder = tmp_path / sym / "trades"
+        folder.mkdir(parents=True, exist_ok=True)
+        paths.append(put(folder / f"{sym}-trades-{day}.csv", text))
+    target = str(tmp_path / "out")
+    report = raw.ingest(spark, "trades", paths, target)
+    assert sorted(r.status[:3] for r in report.collect()) == ["ERR", "ok", "ok"]
+    got = tables.read_table(spark, target, schemas.TRADES)
+    assert sorted((r.symbol, str(r.day), r.signed_qty) for r in got.collect()) == [("X", "2024-01-01", -2.0), ("Y", "2024-01-01", 1.0)]
+
+
 def stored(spark, path, days=("2024-01-01", "2024-01-02", "2024-01-03"), value=1.0):
     df = spark.createDataFrame([(1000 + i, value, 1.0, 2.0, 1.0, "X", date.fromisoformat(d)) for d in days for i in range(3)], tables.keyed(schemas.QUOTES))
     tables.write_table(df, path)

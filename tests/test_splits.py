@@ -157,3 +157,19 @@ def test_manifest_and_fingerprint(spark):
     a = stats.fingerprint(df, ["x", "seq"]).first()
     assert a == stats.fingerprint(df.repartition(5).orderBy(F.rand()), ["x", "seq"]).first()
     assert a.fingerprint != stats.fingerprint(df.withColumn("x", F.when(F.col("seq") == 4, 0.0).otherwise(F.col("x"))), ["x", "seq"]).first().fingerprint
+
+
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_non_increasing(spark, blocks):
+    rows = [("X", 1, i, 10 * i) for i in range(20)] + [("Y", 1, i, 10 * i) for i in range(20)]
+    rows[25] = ("Y", 1, 5, 40)  # repeats the one before
+    df = spark.createDataFrame(rows, "symbol string, day int, seq int, ts_ms long")
+    assert [tuple(r) for r in splits.non_increasing(df, blocks=blocks).collect()] == [("Y", 1)]
+
+
+def test_version_contract(spark):
+    df = spark.createDataFrame([(schemas.FEATURE_VERSION,)] * 3, "feature_version string")
+    assert schemas.require_version(df) is df
+    for bad in ("0.0.9", None):
+        with pytest.raises(schemas.ContractError):
+            schemas.require_version(df.union(spark.createDataFrame([(bad,)], "feature_version string")))

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.operators.scan import positions
+from tickweave.operators.scan import Running, blocked, positions, scan
 from tickweave.session import materialise
 
 MAX_CALENDAR = 1_000_000  # fold days that are broadcast; beyond, the join shuffles
@@ -158,6 +158,14 @@ def order_violations(bounds: DataFrame, first: str = "train", second: str = "eva
     return wide.where(F.col("second_start_ms") <= F.col("first_end_ms"))
 
 
+def non_increasing(df: DataFrame, keys=("symbol",), order=("day", "seq"), ts: str = "ts_ms", blocks=None) -> DataFrame:
+    """Keys whose time stamp does not strictly increase in the given order, and how often."""
+    keys, order = list(keys), list(order)
+    stamped = blocked(df.select(*dict.fromkeys([*keys, *order, ts])), keys, order, blocks, "order")
+    seen = scan(stamped, keys, order, Running("_before", "last", F.struct(F.col(ts).alias("t")), exclusive=True))
+    return seen.where(F.col(ts) <= F.col("_before.t")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_bad"))
+
+
 def concat_dedupe(frames: list[DataFrame], keys=("symbol", "ts_ms"), seq="seq") -> DataFrame:
     """Union by name, then the row with the lowest ``seq`` per key.
 

@@ -96,3 +96,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     fix = {c: F.when(~F.isnan(c), F.col(c)) for c in floats}
     return df.withColumns(fix) if fix else df
+
+
+def require_version(df: DataFrame, version: str = FEATURE_VERSION, column: str = "feature_version") -> DataFrame:
+    """Every row must carry the current version; reads one row that does not, if any."""
+    other = df.where(~F.col(column).eqNullSafe(F.lit(version))).select(column).limit(1).collect()
+    if other:
+        raise ContractError(f"feature version {other[0][0]!r}, expected {version!r}")
+    return df

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tickweave import schemas
 from tickweave.functions.quotes import signed_quantity
+from tickweave.sources.tables import write_table
 
 CORRUPT = "_corrupt_record"
 FILE = "_file"
@@ -132,3 +133,22 @@ def parse_report(spark: SparkSession, stream: str, paths: list[str]) -> DataFram
     return joined.select(
         "path", status.alias("status"), *[F.coalesce(c, zero).alias(c) for c in ("n_rows", "n_kept", "n_bad_time", "n_bad_value")]
     )
+
+
+# symbol, then any folders, then the day in the file name
+PATH_PATTERN = r"/([^/]+)/[^/]+/[^/]*?(\d{4}-\d{2}-\d{2})[^/]*$"
+
+
+def ingest(spark: SparkSession, stream: str, paths: list[str], target: str, pattern: str = PATH_PATTERN) -> DataFrame:
+    """Parse all paths in one job, store them by symbol and day, and return the per-file report.
+
+    Symbol and day come from the path. Days without a good row are left as they were.
+    """
+    s = STREAMS[stream]
+    rows = s.read(spark, paths).where(_complete(s)).select(
+        *s.schema.names,
+        F.regexp_extract(FILE, pattern, 1).alias("symbol"),
+        F.regexp_extract(FILE, pattern, 2).try_cast("date").alias("day"),
+    )
+    write_table(rows.where((F.col("symbol") != "") & F.col("day").isNotNull()), target)
+    return parse_report(spark, stream, paths)
