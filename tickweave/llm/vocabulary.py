@@ -45,6 +45,23 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words; those of a to z alone are joined, as each of them ends with a word-end token."""
+        plain = [w for w in words if w.isascii() and w.islower() and w.isalpha()]
+        rows = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        rows += [[w] for w in words if not (w.isascii() and w.islower() and w.isalpha())]
+        for i in range(0, len(rows), 512):
+            part = rows[i : i + 512]
+            texts = [" ".join(row) for row in part]
+            for row, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                cuts = [0, len(ids)] if len(row) == 1 else [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+                for w, a, b in zip(row, cuts[:-1], cuts[1:], strict=True):
+                    self.known[w] = ids[a:b].tobytes()
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the borders of the texts; a null text is empty."""
@@ -59,10 +76,7 @@ class WordIds:
         if len(known) + len(new) > self.keep:
             known.clear()
             new = distinct
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
+        self.learn(new)
         held = [known[w] for w in distinct]
         flat = np.frombuffer(b"".join(held), np.uint32)
         sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
