@@ -1,6 +1,6 @@
 """Imports every module that registers a query of this subpackage."""
 
-from tickweave.llm import decontam, exact_dedup, line_dedup, ngram_join, packing, pii, tokens, toxicity, warc
+from tickweave.llm import decontam, exact_dedup, line_dedup, ngram_join, packing, pii, suffix, tokens, toxicity, warc
 from tickweave.llm.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "decontam", "exact_dedup", "line_dedup", "ngram_join", "packing", "pii", "tokens", "toxicity", "warc"]
+__all__ = ["QUERIES", "SQL", "decontam", "exact_dedup", "line_dedup", "ngram_join", "packing", "pii", "suffix", "tokens", "toxicity", "warc"]
