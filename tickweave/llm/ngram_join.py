@@ -9,7 +9,8 @@ the shingles that it sends, and the candidates to verify, of which there are at
 
 Small lists give their candidate pairs at once. In a large list every class is paired with
 one head; after components of what was verified, only classes outside the head's component
-meet the other components of the list. Links inside a component can't change the result.
+meet the other components of its lists. Links inside a component can't change the result.
+Before any text is fetched, bit maps of the sets bound how similar two candidates can be.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.llm import hashing
@@ -54,6 +55,33 @@ def class_id(own: np.ndarray) -> int:
     return int(max(mixed[0], np.uint64(1)))
 
 
+def signature(own: np.ndarray) -> np.ndarray:
+    """A map with at least three bits a shingle, a power of two long, as 64-bit words."""
+    size = 64
+    while size < 3 * len(own):
+        size *= 2
+    bits = np.zeros(size, bool)
+    # the place in a map half as long is the place here without its highest bit
+    bits[(own & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Bits that two signatures differ in, at the length of the shorter one: no more than the sets differ by."""
+    half = lambda s: (F.size(s) / 2).cast("int")
+    fold = lambda s: F.zip_with(F.slice(s, 1, half(s)), F.slice(s, half(s) + 1, half(s)), lambda x, y: x.bitwiseOR(y))
+    count = lambda s, t: F.aggregate(
+        F.zip_with(s, t, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
+    )
+    return F.when(F.size(a) == F.size(b), count(a, b)).when(F.size(a) > F.size(b), count(fold(a), b)).otherwise(count(a, fold(b)))
+
+
+def may_be_similar(n: Column, a: Column, m: Column, b: Column, num: int, den: int) -> Column:
+    """By sizes and signatures; similar sets are near enough in size that their maps differ by one halving at most."""
+    sizes = den * F.least(n, m) >= num * F.greatest(n, m)
+    return F.when(sizes, (num + den) * (n + m - differing(a, b)) >= 2 * num * (n + m)).otherwise(False)
+
+
 def cells(value: np.ndarray) -> np.ndarray:
     return (value >> np.uint64(43)).astype(np.int64)
 
@@ -119,7 +147,7 @@ class _Join:
         self.docs, self.num, self.den = docs, num, den
 
     def scan(self) -> tuple[DataFrame, np.ndarray]:
-        """``doc_id, th, n, x`` of every document, and the counts of all cells of shingles."""
+        """``doc_id, th, n, x, sig`` of every document, and the counts of all cells of shingles."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = np.zeros(CELLS, np.uint32)
@@ -134,18 +162,21 @@ class _Join:
                         batch.column("th"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(ids),
+                        pa.array([signature(s) for s in sets], pa.list_(pa.int64())),
                         pa.nulls(n, pa.int32()),
                         pa.nulls(n, pa.binary()),
                     ],
-                    ["doc_id", "th", "n", "x", "slice", "part"],
+                    ["doc_id", "th", "n", "x", "sig", "slice", "part"],
                 )
             part = slices(count)
-            nothing = [pa.nulls(part.num_rows, pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([*nothing, *part.columns], ["doc_id", "th", "n", "x", "slice", "part"])
+            nothing = [*[pa.nulls(part.num_rows, pa.int64())] * 4, pa.nulls(part.num_rows, pa.list_(pa.int64()))]
+            names = ["doc_id", "th", "n", "x", "sig", "slice", "part"]
+            yield pa.RecordBatch.from_arrays([*nothing, *part.columns], names)
 
-        table = materialise(self.docs.mapInArrow(run, f"doc_id long, th long, n long, x long, {SUMMARY}"), "sets")
+        schema = f"doc_id long, th long, n long, x long, sig array<long>, {SUMMARY}"
+        table = materialise(self.docs.mapInArrow(run, schema), "sets")
         count = merged(table.where(F.col("slice").isNotNull()), CELLS, np.uint32, np.add)
-        return table.where(F.col("slice").isNull()).select("doc_id", "th", "n", "x"), count
+        return table.where(F.col("slice").isNull()).select("doc_id", "th", "n", "x", "sig"), count
 
     def lists(self, count: np.ndarray) -> DataFrame:
         """Pairs ``x, y, shared, need`` of small lists, and ``x, key, n, at, need`` of large ones."""
@@ -196,12 +227,16 @@ class _Join:
         schema = "x long, y long, shared long, need long, key long, n long, at long"
         return materialise(dealt.applyInArrow(pairs, schema), "shingle-lists")
 
-    def verify(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """The similar ones of pairs of classes, as edges ``u, v``."""
+    def verify(self, pairs: DataFrame, facts: DataFrame) -> DataFrame:
+        """The similar ones of pairs of classes, as edges ``u, v``; ``facts`` has ``x, n, th, sig``."""
         num, den = self.num, self.den
-        held = materialise(pairs.select("x", "y").distinct(), "pairs")
+        one = facts.select("x", "n", "sig")
+        two = facts.select(F.col("x").alias("y"), F.col("n").alias("m"), F.col("sig").alias("gis"))
+        held = pairs.select("x", "y").distinct().join(one, "x").join(two, "y")
+        held = held.where(may_be_similar(F.col("n"), F.col("sig"), F.col("m"), F.col("gis"), num, den))
+        held = materialise(held.select("x", "y"), "pairs")
         needed = held.select("x").unionByName(held.select(F.col("y").alias("x"))).distinct()
-        needed = materialise(needed.join(classes, "x").select("x", "th"), "needed")
+        needed = materialise(needed.join(facts, "x").select("x", "th"), "needed")
         wanted = Bloom.of(needed.select("th"))
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,45 +267,45 @@ class _Join:
         both = held.join(texts, "x").join(other, "y").select(F.col("x").alias("u"), F.col("y").alias("v"), "s", "t")
         return materialise(both.mapInArrow(check, "u long, v long"), "links")
 
-    def links(self, count: np.ndarray, classes: DataFrame) -> DataFrame:
+    def links(self, count: np.ndarray, table: DataFrame) -> DataFrame:
         num, den = self.num, self.den
         lists = self.lists(count)
-        large = materialise(lists.where(F.col("key").isNotNull()).drop("y", "shared"), "large-lists")
+        used = lists.select("x").unionByName(lists.select(F.col("y").alias("x"))).where("x is not null").distinct()
+        # one row of each class; members of a class agree in all but the text's spelling
+        facts = table.join(used, "x").groupBy("x").agg(*[F.first(c).alias(c) for c in ("n", "th", "sig")])
+        facts = materialise(facts, "facts")
+        large = materialise(lists.where(F.col("key").isNotNull()).select("x", "key"), "large-lists")
         pairs = (
             lists.where(F.col("key").isNull())
             .groupBy("x", "y")
             .agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
         )
         if large.isEmpty():
-            return self.verify(pairs.where("shared >= need"), classes)
+            return self.verify(pairs.where("shared >= need"), facts)
         # shingles in large lists are not counted by pair: they may all be shared
-        hidden = large.groupBy("x").agg(F.count("*").alias("hx"))
+        hidden = materialise(large.groupBy("x").agg(F.count("*").alias("hx")), "hidden")
         theirs = hidden.select(F.col("x").alias("y"), F.col("hx").alias("hy"))
         pairs = pairs.join(hidden, "x", "left").join(theirs, "y", "left")
         pairs = pairs.where("shared + coalesce(least(hx, hy), 0) >= need")
         # the head has the most shingles of large lists: what a group has in common is most of it
-        ranked = large.join(hidden, "x")
         head = F.min(F.struct((-F.col("hx")).alias("hx"), "x")).alias("head")
-        heads = ranked.groupBy("key").agg(head).select("key", F.col("head.x").alias("y"))
-        star = large.join(heads, "key").where("x <> y").groupBy("x", "y").agg(F.count("*").alias("times"))
+        heads = large.join(hidden, "x").groupBy("key").agg(head).select("key", F.col("head.x").alias("y"))
+        # a family is what meets a head in any list; it holds every pair of each of these lists
+        family = materialise(large.join(heads, "key").groupBy("y", "x").agg(F.count("*").alias("times")), "families")
         best = F.max(F.struct("times", "y")).alias("best")
-        star = star.groupBy("x").agg(best).select("x", F.col("best.y").alias("y"))
-        links = self.verify(pairs.select("x", "y").unionByName(star), classes)
+        star = family.where("x <> y").groupBy("x").agg(best).select("x", F.col("best.y").alias("y"))
+        links = self.verify(pairs.select("x", "y").unionByName(star), facts)
         comp = materialise(components(links), "components").withColumnsRenamed({"node": "x"})
-        placed = large.join(comp, "x", "left").withColumn("root", F.coalesce("root", "x"))
-        placed = materialise(placed, "placed-lists")
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        placed = family.select("y", "x").join(facts.select("x", "n", "sig"), "x").join(comp, "x", "left")
+        placed = placed.withColumn("root", F.coalesce("root", "x"))
         rooted = comp.select(F.col("x").alias("y"), F.col("root").alias("head_root"))
-        heads = mixed.select("key").join(heads, "key").join(rooted, "y", "left")
-        heads = heads.select("key", F.coalesce("head_root", "y").alias("head_root"))
-        members = placed.join(heads, "key")
-        mine = [F.col(c).alias(f"my_{c}") for c in ("x", "n", "at", "root")]
-        outside = members.where("root <> head_root").select("key", *mine)
-        meet = outside.join(members, "key").where("root <> my_root and (root = head_root or x < my_x)")
-        room = F.least("at", "my_at") + 1 + F.least(F.col("n") - 1 - F.col("at"), F.col("my_n") - 1 - F.col("my_at"))
-        meet = meet.where((den * F.least("n", "my_n") >= num * F.greatest("n", "my_n")))
-        meet = meet.where((num + den) * room >= num * (F.col("n") + F.col("my_n")))
-        more = self.verify(meet.select(F.col("my_x").alias("x"), F.col("x").alias("y")), classes)
+        placed = placed.join(rooted, "y", "left").withColumn("head_root", F.coalesce("head_root", "y"))
+        placed = materialise(placed, "placed-families")
+        mine = [F.col(c).alias(f"my_{c}") for c in ("x", "n", "sig", "root")]
+        outside = placed.where("root <> head_root").select("y", *mine)
+        meet = outside.join(placed, "y").where("root <> my_root and (root = head_root or x < my_x)")
+        meet = meet.where(may_be_similar(F.col("n"), F.col("sig"), F.col("my_n"), F.col("my_sig"), num, den))
+        more = self.verify(meet.select(F.col("my_x").alias("x"), F.col("x").alias("y")), facts)
         return links.unionByName(more)
 
 
@@ -293,9 +328,8 @@ def near_duplicates(
     )
     join = _Join(small_batches(slim), num, den)
     table, count = join.scan()
-    classes = table.where("x <> 0").groupBy("x").agg(F.min("th").alias("th"), F.min("doc_id").alias("low"))
-    classes = materialise(classes, "classes")
-    comp = components(join.links(count, classes.select("x", "th"))).withColumnsRenamed({"node": "x"})
+    classes = materialise(table.where("x <> 0").groupBy("x").agg(F.min("doc_id").alias("low")), "classes")
+    comp = components(join.links(count, table)).withColumnsRenamed({"node": "x"})
     rooted = classes.join(comp, "x", "left").withColumn("root", F.coalesce("root", "x"))
     rooted = materialise(rooted.select("x", "root", "low"), "rooted")
     names = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
