@@ -43,7 +43,33 @@ def test_one_bad_file_fails_alone(spark, tmp_path):
     r = {x.path.rsplit("/", 1)[-1]: x for x in raw.parse_report(spark, "trades", [good, bad, str(broken)]).collect()}
     assert (r["good.csv"].status, r["good.csv"].n_kept, r["good.csv"].n_bad_time, r["good.csv"].n_bad_value) == ("ok", 1, 1, 1)
     assert r["bad.csv"].status.startswith("ERR:") and r["broken.csv.gz"].status.startswith("ERR:")
-    assert raw.parse(spark, "trades", [good, bad, str(broken)]).count() == 1
+    assert raw.parse(spark, "trades", [good, bad]).count() == 1
+    with pytest.raises(Exception):
+        raw.parse(spark, "trades", [good, str(broken)]).count()
+
+
+def test_every_file_has_its_own_header(spark, tmp_path):
+    a = put(tmp_path / "a.csv", "best_bid_price,best_bid_qty,best_ask_price,best_ask_qty,transaction_time\n1,2,3,4,1000\n")
+    b = put(tmp_path / "b.csv", 'event_time,"best_ask_price",best_ask_qty,best_bid_qty,best_bid_price\n2000,3,4,2,1\n')
+    got = sorted(map(tuple, raw.parse(spark, "quotes", [a, b]).collect()))
+    assert got == [(1000, 1.0, 2.0, 3.0, 4.0), (2000, 1.0, 2.0, 3.0, 4.0)]
+    t = put(tmp_path / "t.csv", "quantity,price,is_buyer_maker,transact_time\n2,10,false,5\n1,2\n")
+    assert [tuple(r)[:3] for r in raw.parse(spark, "trades", t).collect()] == [(5, 10.0, 2.0)]
+
+
+def test_truncated_file_is_an_error_and_stores_nothing(spark, tmp_path):
+    folder = tmp_path / "X" / "trades"
+    folder.mkdir(parents=True)
+    whole = put(folder / "X-trades-2024-01-01.csv.gz", "".join(f"{i},10.0,2.0,1,1,{1000 + i},true\n" for i in range(50_000)))
+    cut = folder / "X-trades-2024-01-02.csv.gz"
+    data = open(whole, "rb").read()
+    cut.write_bytes(data[: len(data) // 2])
+    target = str(tmp_path / "out")
+    report = {r.path: r for r in raw.ingest(spark, "trades", [whole, str(cut)], target).collect()}
+    assert report[whole].status == "ok" and report[whole].n_kept == 50_000
+    assert report[str(cut)].status.startswith("ERR:") and report[str(cut)].n_rows == 0
+    days = tables.read_table(spark, target, schemas.TRADES).groupBy("day").count().collect()
+    assert [(str(r.day), r["count"]) for r in days] == [("2024-01-01", 50_000)]
 
 
 def test_ingest_stores_by_symbol_and_day(spark, tmp_path):
@@ -64,6 +90,11 @@ def stored(spark, path, days=("2024-01-01", "2024-01-02", "2024-01-03"), value=1
     tables.write_table(df, path)
 
 
+def test_rewards_without_lengths(spark, tmp_path):
+    p = put(tmp_path / "r.json", json.dumps({"policy": "p", "seed": 1, "rewards": [1.0, 2.0]}))
+    assert [(r.reward, r.length) for r in logs.read_rewards(spark, p).collect()] == [(1.0, None), (2.0, None)]
+
+
 def test_table_round_trip_prunes_days_and_columns(spark, tmp_path):
     path = str(tmp_path / "quotes")
     stored(spark, path)

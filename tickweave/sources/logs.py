@@ -93,16 +93,17 @@ def observations(logs: DataFrame, width: int, max_rows: int | None = None) -> Da
 def read_rewards(spark: SparkSession, path, multiline: bool = True, check: bool = True) -> DataFrame:
     """Reward files to rows ``(source, policy, seed, episode, reward, length)``.
 
-    A file without rewards is an error.
+    A file without rewards is an error. Lengths are looked up by place: a file without
+    them, or with fewer of them, has null lengths.
     """
     files = _read(spark, path, REWARDS, multiline)
     if check:
         empty = files.where(F.col(CORRUPT).isNotNull() | F.coalesce(F.size("rewards") <= 0, F.lit(True))).select("source").limit(5).collect()
         if empty:
             raise ContractError(f"missing or empty rewards in {[r.source for r in empty]}")
-    pairs = F.posexplode(F.arrays_zip(F.col("rewards").alias("reward"), F.col("episode_lengths").alias("length")))
-    return files.select("source", "policy", "seed", pairs.alias("episode", "x")).select(
-        "source", "policy", "seed", "episode", "x.reward", "x.length"
+    each = files.select("source", "policy", "seed", "episode_lengths", F.posexplode("rewards").alias("episode", "reward"))
+    return each.select(
+        "source", "policy", "seed", "episode", "reward", F.get("episode_lengths", F.col("episode")).alias("length")
     )
 
 

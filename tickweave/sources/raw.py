@@ -1,19 +1,28 @@
-"""Raw archive files (CSV, gzip CSV) to typed streams, with a per-file report."""
+"""Raw archive files (CSV, gzip CSV) to typed streams, with a per-file report.
+
+Every file is read by its own header: its names are matched to places file by file, so
+files of one job may order their columns differently. A damaged file is an error of its
+own; none of its rows are stored.
+"""
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickweave import schemas
 from tickweave.functions.quotes import signed_quantity
+from tickweave.session import materialise
 from tickweave.sources.tables import write_table
 
-CORRUPT = "_corrupt_record"
 FILE = "_file"
+BAD = "_bad"
 
 # Column order of trade files without a header, and quote column names.
 TRADE_COLUMNS = (
@@ -24,22 +33,34 @@ QUOTE_NAMES = {
 }
 
 
-def _text_schema(names) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
+def _names(line: Column) -> Column:
+    """The fields of a header line, lower case and bare."""
+    return F.transform(F.split(F.lower(F.translate(line, '"﻿\r', "")), ","), lambda x: F.trim(x))
 
 
-def _read(spark: SparkSession, paths, names, header: bool) -> DataFrame:
-    reader = (
-        spark.read.schema(_text_schema(names)).option("header", header).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT).option("ignoreCorruptFiles", True)
-    )
-    return reader.csv(paths).withColumn(FILE, F.col("_metadata.file_path"))
+def _read(spark: SparkSession, paths, needed: tuple[str, ...], wanted: tuple[str, ...], default=None) -> DataFrame:
+    """Text columns ``wanted`` of all files, by each file's own header; ``_bad`` marks lines of another width.
+
+    A header is a line that holds all ``needed`` names. Without one, ``default`` gives the
+    order of the columns; with neither, all lines of the file are bad.
+    """
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias(FILE)).where(F.trim("value") != "")
+    is_header = F.forall(F.array(*[F.lit(n) for n in needed]), lambda n: F.array_contains(_names(F.col("value")), n))
+    # cheap first test, so that most lines are not split for it
+    is_header = F.instr(F.lower("value"), needed[0]).cast("boolean") & is_header
+    headers = lines.where(is_header).groupBy(FILE).agg(F.min("value").alias("_header"))
+    joined = lines.where(~is_header).join(headers, FILE, "left")
+    names = F.when(F.col("_header").isNotNull(), _names(F.col("_header")))
+    if default is not None:
+        names = F.coalesce(names, F.array(*[F.lit(n) for n in default]))
+    rows = joined.select(FILE, names.alias("_names"), F.split(F.translate("value", '"\r', ""), ",").alias("_fields"))
+    bad = F.coalesce(F.size("_names") != F.size("_fields"), F.lit(True))
 
+    def field(name: str) -> Column:
+        place = F.array_position("_names", name).cast("int")
+        return F.when(~bad & (place > 0), F.get("_fields", place - 1)).alias(name)
 
-def header_names(spark: SparkSession, paths) -> list[str]:
-    """Column names of the first file, lower case and trimmed; reads one line."""
-    first = paths if isinstance(paths, str) else paths[0]
-    return [c.strip().lower() for c in spark.read.option("header", True).csv(first).columns]
+    return rows.select(*[field(n) for n in wanted], bad.alias(BAD), FILE)
 
 
 def _number(name: str) -> Column:
@@ -50,37 +71,32 @@ def _number(name: str) -> Column:
 
 def read_quotes(spark: SparkSession, paths) -> DataFrame:
     """Quote files with a header; time is the transaction time, else the event time."""
-    names = header_names(spark, paths)
-    df = _read(spark, paths, names, header=True).withColumnsRenamed(QUOTE_NAMES)
-    ts = "transaction_time" if "transaction_time" in names else "event_time"
-    schemas.require_columns(df, [ts, *QUOTE_NAMES.values()], "quotes")
-    return df.select(
-        _number(ts).cast("long").alias("ts_ms"), *[_number(c).alias(c) for c in ("bid_px", "bid_sz", "ask_px", "ask_sz")], CORRUPT, FILE
+    times = ("transaction_time", "event_time")
+    df = _read(spark, paths, tuple(QUOTE_NAMES), (*QUOTE_NAMES, *times)).withColumnsRenamed(QUOTE_NAMES)
+    ts = F.coalesce(*times)
+    return df.withColumn("_ts", ts).select(
+        _number("_ts").cast("long").alias("ts_ms"), *[_number(c).alias(c) for c in ("bid_px", "bid_sz", "ask_px", "ask_sz")], BAD, FILE
     )
 
 
 def read_trades(spark: SparkSession, paths) -> DataFrame:
-    """Trade files with or without a header line; a header is a row whose first field is no number."""
-    df = _read(spark, paths, TRADE_COLUMNS, header=False)
-    is_header = F.trim(F.lower("agg_trade_id")).isin(TRADE_COLUMNS[0], "a", "id") | (
-        F.trim("agg_trade_id").try_cast("long").isNull() & (F.trim(F.lower("price")) == "price")
-    )
-    df = df.where(~F.coalesce(is_header, F.lit(False)))
+    """Trade files with a header in any order, or without one in the fixed order."""
+    wanted = ("price", "quantity", "transact_time", "is_buyer_maker")
+    df = _read(spark, paths, wanted, wanted, TRADE_COLUMNS)
     maker = F.trim("is_buyer_maker").try_cast("boolean")
     qty = _number("quantity")
     return df.select(
         _number("transact_time").cast("long").alias("ts_ms"), _number("price").alias("price"), qty.alias("quantity"),
-        maker.alias("is_buyer_maker"), signed_quantity(qty, maker).alias("signed_qty"), CORRUPT, FILE,
+        maker.alias("is_buyer_maker"), signed_quantity(qty, maker).alias("signed_qty"), BAD, FILE,
     )
 
 
 def read_depth(spark: SparkSession, paths) -> DataFrame:
     """Depth files with a header and a text time stamp, read as UTC."""
-    names = header_names(spark, paths)
-    df = _read(spark, paths, names, header=True)
-    schemas.require_columns(df, ["timestamp", "percentage", "depth", "notional"], "depth")
+    wanted = ("timestamp", "percentage", "depth", "notional")
+    df = _read(spark, paths, wanted, wanted)
     ts = F.unix_millis(F.trim("timestamp").try_cast("timestamp"))
-    return df.select(ts.alias("ts_ms"), *[_number(c).alias(c) for c in ("percentage", "depth", "notional")], CORRUPT, FILE)
+    return df.select(ts.alias("ts_ms"), *[_number(c).alias(c) for c in wanted[1:]], BAD, FILE)
 
 
 @dataclass(frozen=True)
@@ -98,41 +114,96 @@ STREAMS = {
 
 
 def _complete(stream: Stream) -> Column:
-    ok = F.col(CORRUPT).isNull()
+    ok = ~F.col(BAD)
     for f in stream.schema.names:
         ok = ok & F.col(f).isNotNull()
     return ok
 
 
 def parse(spark: SparkSession, stream: str, paths) -> DataFrame:
-    """Complete rows of one stream over all paths, as one job."""
+    """Complete rows of one stream over all paths, as one job. A damaged file stops it; see :func:`readable`."""
     s = STREAMS[stream]
     return s.read(spark, paths).where(_complete(s)).select(*s.schema.names)
 
 
-def parse_report(spark: SparkSession, stream: str, paths: list[str]) -> DataFrame:
-    """One row per path: rows read, kept and dropped by cause; a file without a good row is ``ERR:``.
+def _gzip_error(data: bytes) -> str | None:
+    """What is wrong with a gzip file of one or more members, read in pieces."""
+    view, at, size = memoryview(data), 0, 1 << 20
+    if not data:
+        return None
+    try:
+        while at < len(view):
+            unzip = zlib.decompressobj(31)
+            while not unzip.eof:
+                if at >= len(view):
+                    return "file ends inside the compressed data"
+                piece = view[at : at + size]
+                unzip.decompress(piece)
+                at += len(piece)
+            at -= len(unzip.unused_data)
+    except zlib.error as e:
+        return str(e)
+    return None
+
+
+def readable(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, error`` of every path; ``error`` is null for a sound file. Only compressed files are read."""
+    asked = spark.createDataFrame([(p, p.rsplit("/", 1)[-1]) for p in paths], "path string, name string")
+    packed = [p for p in paths if p.endswith(".gz")]
+    if not packed:
+        return asked.select("path", F.lit(None).cast("string").alias("error"))
+
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"file": frame["path"], "error": [_gzip_error(x) for x in frame["content"]]})
+
+    files = spark.read.format("binaryFile").load(packed).select("path", "content")
+    seen = files.mapInPandas(check, "file string, error string").where("error is not null")
+    # a file's URI ends with the path that was asked for
+    bare = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
+    hit = F.expr("endswith(file, regexp_replace(path, '^[a-z0-9]+:/+', '/'))")
+    return asked.join(seen, hit & bare.isNotNull(), "left").select("path", "error")
+
+
+def _report(paths_errors: list, counts: DataFrame, spark: SparkSession) -> DataFrame:
+    asked = spark.createDataFrame([(p, p.rsplit("/", 1)[-1], e) for p, e in paths_errors], "path string, name string, error string")
+    joined = asked.join(counts, F.expr("endswith(_file, regexp_replace(path, '^[a-z0-9]+:/+', '/'))"), "left")
+    status = (
+        F.when(F.col("error").isNotNull(), F.concat(F.lit("ERR: "), "name", F.lit(": "), "error"))
+        .when(F.coalesce("n_kept", F.lit(0)) > 0, "ok")
+        .otherwise(F.concat(F.lit("ERR: no usable row in "), F.col("name")))
+    )
+    return joined.select(
+        "path", status.alias("status"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_rows", "n_kept", "n_bad_time", "n_bad_value")]
+    )
 
-    A broken file fails alone: its rows are dropped, the rest of the job goes on.
-    """
-    s = STREAMS[stream]
-    rows = s.read(spark, paths)
-    ok = _complete(s)
-    counts = rows.groupBy(FILE).agg(
+
+def _flagged(spark: SparkSession, s: Stream, paths: list[str]) -> tuple[DataFrame | None, list[tuple[str, str | None]]]:
+    """All rows of the sound files with ``_ok``, and the error of each path. The paths are an argument, so they are few."""
+    checked = [(r.path, r.error) for r in readable(spark, paths).collect()]
+    good = [p for p, e in checked if e is None]
+    return (s.read(spark, good).withColumn("_ok", _complete(s)) if good else None), checked
+
+
+def _counts(spark: SparkSession, rows: DataFrame | None) -> DataFrame:
+    if rows is None:
+        return spark.createDataFrame([], f"{FILE} string, n_rows long, n_kept long, n_bad_time long, n_bad_value long")
+    ok = F.col("_ok")
+    return rows.groupBy(FILE).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count(F.when(ok, 1)).alias("n_kept"),
         F.count(F.when(~ok & F.col("ts_ms").isNull(), 1)).alias("n_bad_time"),
         F.count(F.when(~ok & F.col("ts_ms").isNotNull(), 1)).alias("n_bad_value"),
     )
-    asked = spark.createDataFrame([(p, p.rsplit("/", 1)[-1]) for p in paths], "path string, name string")
-    counts = counts.withColumn("name", F.element_at(F.split(FILE, "/"), -1))
-    joined = asked.join(counts, "name", "left")
-    kept = F.coalesce("n_kept", F.lit(0))
-    status = F.when(kept > 0, "ok").otherwise(F.concat(F.lit("ERR: no usable row in "), F.col("name")))
-    zero = F.lit(0)
-    return joined.select(
-        "path", status.alias("status"), *[F.coalesce(c, zero).alias(c) for c in ("n_rows", "n_kept", "n_bad_time", "n_bad_value")]
-    )
+
+
+def parse_report(spark: SparkSession, stream: str, paths: list[str]) -> DataFrame:
+    """One row per path: rows read, kept and dropped by cause.
+
+    ``ERR:`` marks a damaged file, whose rows don't count, and one without a good row.
+    """
+    rows, checked = _flagged(spark, STREAMS[stream], paths)
+    return _report(checked, _counts(spark, rows), spark)
 
 
 # symbol, then any folders, then the day in the file name
@@ -140,15 +211,24 @@ PATH_PATTERN = r"/([^/]+)/[^/]+/[^/]*?(\d{4}-\d{2}-\d{2})[^/]*$"
 
 
 def ingest(spark: SparkSession, stream: str, paths: list[str], target: str, pattern: str = PATH_PATTERN) -> DataFrame:
-    """Parse all paths in one job, store them by symbol and day, and return the per-file report.
+    """Parse all sound files once, store them by symbol and day, and return the per-file report.
 
-    Symbol and day come from the path. Days without a good row are left as they were.
+    Symbol and day come from the path. Days without a good row, and those of damaged files,
+    are left as they were.
     """
     s = STREAMS[stream]
-    rows = s.read(spark, paths).where(_complete(s)).select(
-        *s.schema.names,
-        F.regexp_extract(FILE, pattern, 1).alias("symbol"),
-        F.regexp_extract(FILE, pattern, 2).try_cast("date").alias("day"),
-    )
-    write_table(rows.where((F.col("symbol") != "") & F.col("day").isNotNull()), target)
-    return parse_report(spark, stream, paths)
+    rows, checked = _flagged(spark, s, paths)
+    if rows is not None:
+        rows = materialise(
+            rows.select(
+                *s.schema.names,
+                F.regexp_extract(FILE, pattern, 1).alias("symbol"),
+                F.regexp_extract(FILE, pattern, 2).try_cast("date").alias("day"),
+                FILE,
+                "_ok",
+            ),
+            "parsed",
+        )
+        kept = rows.where("_ok and symbol <> '' and day is not null")
+        write_table(kept.select(*s.schema.names, "symbol", "day"), target)
+    return _report(checked, _counts(spark, rows), spark)
