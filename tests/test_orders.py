@@ -130,9 +130,31 @@ def test_lookup_takes_volume_from_its_row_and_prices_from_the_next(spark):
     )
     o = spark.createDataFrame([(1, "X", d, 130, 1, 100.0), (2, "X", d, 395, 1, 100.0)], "order_id long, symbol string, day date, ts_ms long, side int, notional double")
     cfg = X.CostConfig(latency_min=1, latency_max=1)
-    got = orders.lookup(orders.schedule(o, 100, 0, cfg), s).collect()
-    # the second order runs past the last row
-    assert [(r.order_id, r.issue_tick, r.execute_tick, r.row_volume, r.next_bid_px) for r in got] == [(1, 200, 300, 3.0, 14.0)]
+    got = orders.lookup(orders.schedule(o, 100, 0, cfg), s, 100).orderBy("order_id").collect()
+    # the second order runs past the last row and stays unfilled
+    assert [(r.order_id, r.issue_tick, r.execute_tick, r.row_volume, r.next_bid_px, r.status) for r in got] == [
+        (1, 200, 300, 3.0, 14.0, "filled"), (2, 400, None, None, None, "unfilled"),
+    ]
+
+
+def test_midnight_is_no_border(spark):
+    import datetime as dt
+
+    days = [dt.date(2024, 1, 1 + i) for i in range(4)]
+    ticks = {0: [0, 100, 200], 1: [1000], 3: [3000, 3100]}  # the third day has no row
+    rows = [("X", days[i], t, t + 0.5, t + 1.0, t + 0.75, float(t), 0.0) for i, ts in ticks.items() for t in ts]
+    s = spark.createDataFrame(
+        rows, "symbol string, day date, ts_ms long, bid_px double, ask_px double, mid double, abs_volume double, funding_rate double"
+    )
+    o = [(1, days[0], 150), (2, days[0], 250), (3, days[1], 1000), (4, days[2], 2000), (5, days[3], 3001)]
+    o = spark.createDataFrame([(i, "X", d, t, 1, 1.0) for i, d, t in o], "order_id long, symbol string, day date, ts_ms long, side int, notional double")
+    cfg = X.CostConfig(latency_min=1, latency_max=1)
+    got = orders.lookup(orders.schedule(o, 100, 0, cfg), s, 100).orderBy("order_id").collect()
+    assert [(r.execute_tick, r.next_tick, r.status) for r in got] == [
+        (1000, 3000, "filled"), (3000, 3100, "filled"), (3000, 3100, "filled"), (3100, None, "unfilled"), (None, None, "unfilled"),
+    ]
+    ahead = {r.ts_ms: [x and x.ts_ms for x in r._ahead] for r in orders.with_ahead(s, ["mid"], 3).collect()}
+    assert ahead[200] == [1000, 3000, 3100] and ahead[1000] == [3000, 3100, None] and ahead[0] == [100, 200, 1000]
 
 
 def test_latency_is_repeatable_and_covers_its_range(spark):
@@ -155,7 +177,7 @@ def test_limit_lifetime(spark):
         [(1, "X", d, 1, 0, 10.0), (2, "X", d, 1, 500, 10.0), (3, "X", d, 1, 400, 9.0), (4, "X", d, -1, 0, 11.0)],
         "order_id long, symbol string, day date, side int, post_tick long, post_price double",
     )
-    got = {r.order_id: (r.filled, r.age) for r in orders.limit_lifetimes(o, s, 100, 10).collect()}
+    got = {r.order_id: (r.filled, r.age) for r in orders.limit_lifetimes(o, s, 10).collect()}
     # the pricing row itself never fills; order 2 is posted on the dip and waits in vain
     assert got == {1: (True, 5), 2: (False, 10), 3: (False, 10), 4: (True, 1)}
 
@@ -165,7 +187,8 @@ def test_position_pnl(spark):
         [(1, True, 1, 100.0, 0.001, 0.002, 0.0), (1, False, 1, 110.0, 0.001, 0.003, 0.0005), (2, True, -1, 100.0, 0.0, 0.0, 0.0)],
         "pid long, is_open boolean, side int, price double, fee double, slippage double, funding double",
     )
-    (r,) = orders.position_pnl(legs, ["pid"], leverage=6).collect()
+    r, left = orders.position_pnl(legs, ["pid"], leverage=6).orderBy("pid").collect()
+    assert (left.status, left.gross_pnl, left.net_pnl) == ("open", None, None) and r.status == "closed"
     assert r.gross_pnl == pytest.approx(0.6) and r.net_pnl == pytest.approx(0.6 - 0.002 - 0.005 - 0.0005)
-    (r,) = orders.position_pnl(legs, ["pid"], leverage=6, include_slippage=False).collect()
+    r, _ = orders.position_pnl(legs, ["pid"], leverage=6, include_slippage=False).orderBy("pid").collect()
     assert r.net_pnl == pytest.approx(0.6 - 0.002 - 0.0005)

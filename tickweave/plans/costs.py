@@ -47,16 +47,18 @@ _init, _steps, _vwap = _walk_sql("mid", "bid_px", "ask_px", ["d1", "d2", "d3", "
 _WALK = f"""with {S.QUOTES}, {S.TRADES}, {S.DEPTH}, {S.ORDERS}, {S.WIDE.split(",\nwide as")[0]},
 a as (select o.order_id, o.side, o.notional, q.bid_px, q.ask_px, (q.bid_px+q.ask_px)/2 as mid,
   {", ".join(f"{c} as d{i}" for i, c in enumerate(_DEPTH_SQL, 1))}
-  from o join q on o.order_id=q.seq join w0 on w0.symbol=q.symbol and w0.day=q.day and w0.ts_ms=q.ts_ms where w0.ask_depth_pct_pos_1_0 is not null),
-s0 as (select *, {_init} from a), s1 as ({_steps[0]} from s0), s2 as ({_steps[1]} from s1), s3 as ({_steps[2]} from s2), s4 as ({_steps[3]} from s3)"""
+  from o join q on o.order_id=q.seq join w0 on w0.symbol=q.symbol and w0.day=q.day and w0.ts_ms=q.ts_ms ),
+s0 as (select *, {_init}, d1 is not null and d2 is not null and d3 is not null and d4 is not null as whole from a), s1 as ({_steps[0]} from s0), s2 as ({_steps[1]} from s1), s3 as ({_steps[2]} from s2), s4 as ({_steps[3]} from s3)"""
 
 
 @query(
     "walk_book_cost",
-    f"{_WALK} select order_id, side, round({_vwap},6) as price, round(greatest(side*({_vwap}-mid)/mid,0),11) as slippage, rem4>0 as exhausted from s4",
+    f"""{_WALK} select order_id, side, case when whole then round({_vwap},6) end as price,
+  case when whole then round(greatest(side*({_vwap}-mid)/mid,0),11) end as slippage, case when whole then rem4>0 end as exhausted, whole as complete_book from s4""",
 )
 def walk_book_cost(spark, d):
-    wide = grid.pivot_depth(V.depth(spark, d)).dropna(subset=["ask_depth_pct_pos_1_0"])
+    """Orders against an incomplete book stay without a price and are flagged: they go by impact instead."""
+    wide = grid.pivot_depth(V.depth(spark, d))
     o = V.orders_x(spark, d).join(wide, ["symbol", "day", "ts_ms"])
     q = V.quotes(spark, d).select(F.col("seq").alias("order_id"), "bid_px", "ask_px")
     o = o.join(q, "order_id")
@@ -64,10 +66,11 @@ def walk_book_cost(spark, d):
     buy = F.col("side") > 0
     depth = [F.when(buy, F.col(a)).otherwise(F.col(b)) for a, b in zip(orders.ASK_DEPTH, orders.BID_DEPTH)]
     top = F.when(buy, F.col("ask_px")).otherwise(F.col("bid_px"))
-    w = X.walk_book(F.col("side"), F.col("notional"), m, top, depth)
-    return o.withColumn("w", w).select(
+    whole = depth[0].isNotNull() & depth[1].isNotNull() & depth[2].isNotNull() & depth[3].isNotNull()
+    w = F.when(whole, X.walk_book(F.col("side"), F.col("notional"), m, top, depth))
+    return o.withColumn("w", w).withColumn("complete_book", whole).select(
         "order_id", "side", F.round("w.price", 6).alias("price"), F.round("w.slippage", 11).alias("slippage"),
-        F.col("w.exhausted").alias("exhausted"),
+        F.col("w.exhausted").alias("exhausted"), "complete_book",
     )
 
 
@@ -107,24 +110,31 @@ _SCHED = f"""{S.ORDERS}, so as (
   select o.*, (ts_ms+59999)//60000*60000 as issue_tick,
     cast('0x'||substr(md5('{SEED}|'||order_id),1,15) as bigint)%5+1 as latency from o),
 sc as (select *, issue_tick+latency*60000 as execute_tick from so)"""
-_NEXT = """nx as (select *, lead(bid_px) over w as next_bid_px, lead(ask_px) over w as next_ask_px, lead(mid) over w as next_mid,
-  lead(funding_rate) over w as next_funding_rate, {} from snaps window w as (partition by symbol, day order by ts_ms))"""
-_NEXT_DEPTH = ", ".join(f"lead({c}) over w as next_{c}" for c in [*orders.ASK_DEPTH, *orders.BID_DEPTH])
+_COLS = ["bid_px", "ask_px", "mid", "funding_rate", *orders.ASK_DEPTH, *orders.BID_DEPTH]
+
+
+def _next(cols) -> str:
+    """Rows numbered along the slab with the values of the next one, and orders at the row of their execution."""
+    leads = ", ".join(f"lead({c}) over w as next_{c}" for c in ["ts_ms", *cols])
+    return f"""nx as (select *, row_number() over w as pos, {leads} from snaps window w as (partition by symbol order by ts_ms)),
+ip as (select so.*, nx.pos+latency as at from so asof left join nx on so.symbol=nx.symbol and so.issue_tick<=nx.ts_ms)"""
 
 
 @query(
     "order_latency_lookup",
-    S.SNAPS + f""", {_SCHED}, {_NEXT.format("1 as one")}
-select order_id, sc.symbol, issue_tick, latency, execute_tick, round(mid,6) as row_mid, abs_volume as row_volume, next_bid_px,
-  round(next_ask_px,6) as next_ask_px, round(next_mid,6) as next_mid, round(next_funding_rate,8) as next_funding_rate
-from sc join nx on sc.symbol=nx.symbol and sc.day=nx.day and sc.execute_tick=nx.ts_ms where next_mid is not null""",
+    S.SNAPS + f""", {_SCHED}, {_next(_COLS[:4])}
+select order_id, ip.symbol, issue_tick, latency, nx.ts_ms as execute_tick, round(mid,6) as row_mid, abs_volume as row_volume, next_bid_px,
+  round(next_ask_px,6) as next_ask_px, round(next_mid,6) as next_mid, round(next_funding_rate,8) as next_funding_rate,
+  case when next_mid is not null then 'filled' else 'unfilled' end as status
+from ip left join nx on ip.symbol=nx.symbol and ip.at=nx.pos""",
 )
 def order_latency_lookup(spark, d):
-    s = snaps(spark, d, with_rate=True)
+    # two steps read the snapshots, so they are stored first
+    s = materialise(snaps(spark, d, with_rate=True), "snapshots")
     o = orders.schedule(V.orders_x(spark, d), GRID_MS, SEED, CFG)
-    return orders.lookup(o, s).select(
+    return orders.lookup(o, s, GRID_MS).select(
         "order_id", "symbol", "issue_tick", "latency", "execute_tick", *r(["row_mid"]), "row_volume", "next_bid_px",
-        *r(["next_ask_px", "next_mid"]), *r(["next_funding_rate"], 8),
+        *r(["next_ask_px", "next_mid"]), *r(["next_funding_rate"], 8), "status",
     )
 
 
@@ -134,48 +144,50 @@ _minit, _msteps, _mvwap = _walk_sql("next_mid", "next_bid_px", "next_ask_px", ["
 
 @query(
     "market_fill",
-    S.SNAPS + f""", {_SCHED}, {_NEXT.format(_NEXT_DEPTH)},
-m as (select order_id, side, notional, sc.symbol, mid as row_mid, abs_volume, next_mid, next_bid_px, next_ask_px, {_TICK_CASE.replace("symbol", "sc.symbol")} as tick,
+    S.SNAPS + f""", {_SCHED}, {_next(_COLS)},
+m as (select order_id, side, notional, ip.symbol, mid as row_mid, abs_volume, next_mid, next_bid_px, next_ask_px, {_TICK_CASE.replace("symbol", "ip.symbol")} as tick,
   {", ".join(f"{c} as d{i}" for i, c in enumerate(_ncols, 1))}
-  from sc join nx on sc.symbol=nx.symbol and sc.day=nx.day and sc.execute_tick=nx.ts_ms where next_mid is not null),
+  from ip left join nx on ip.symbol=nx.symbol and ip.at=nx.pos),
 s0 as (select *, {_minit}, coalesce(d1>=0 and d2>=0 and d3>=0 and d4>=0 and (d1>0 or d2>0 or d3>0 or d4>0), false) as book from m),
 s1 as ({_msteps[0]} from s0), s2 as ({_msteps[1]} from s1), s3 as ({_msteps[2]} from s2), s4 as ({_msteps[3]} from s3),
 i as (select *, case when abs_volume*row_mid>0 then 0.001*sqrt(notional/(abs_volume*row_mid)) else 0 end as imp from s4),
 ff as (select *, case when book then {_mvwap} when side>0 then greatest(next_ask_px*(1+imp), next_mid) else least(next_bid_px*(1-imp), next_mid) end as raw,
   case when book then greatest(side*({_mvwap}-next_mid)/next_mid,0) else imp end as slip from i)
-select order_id, round(case when tick>0 then (case when side>0 then ceil(raw/tick) else floor(raw/tick) end)*tick else raw end,4) as price,
-  cast(0.00035 as double) as fee, round(slip,10) as slippage, book as used_book from ff""",
+select order_id, case when next_mid is not null then 'filled' else 'unfilled' end as status,
+  round(case when tick>0 then (case when side>0 then ceil(raw/tick) else floor(raw/tick) end)*tick else raw end,4) as price,
+  case when next_mid is not null then cast(0.00035 as double) end as fee, case when next_mid is not null then round(slip,10) end as slippage,
+  next_mid is not null and book as used_book from ff""",
 )
 def market_fill(spark, d):
-    s = snaps(spark, d, with_depth=True, with_rate=True)
+    s = materialise(snaps(spark, d, with_depth=True, with_rate=True), "snapshots")
     o = orders.schedule(V.orders_x(spark, d), GRID_MS, SEED, CFG)
-    f = orders.market_fills(o, s, CFG)
+    f = orders.market_fills(o, s, GRID_MS, CFG)
     return f.select(
-        "order_id", F.round("fill.price", 4).alias("price"), F.col("fill.fee").alias("fee"),
-        F.round("fill.slippage", 10).alias("slippage"), F.col("fill.used_book").alias("used_book"),
+        "order_id", "status", F.round("fill.price", 4).alias("price"), F.col("fill.fee").alias("fee"),
+        F.round("fill.slippage", 10).alias("slippage"), F.coalesce("fill.used_book", F.lit(False)).alias("used_book"),
     )
 
 
 @query(
     "limit_fill_lifetime",
-    S.SNAPS + f""", {_SCHED}, {_NEXT.format("1 as one")},
-p as (select order_id, side, sc.symbol, sc.day, execute_tick+60000 as post_tick, {_side("next_bid_px", "next_ask_px")} as post_price
-  from sc join nx on sc.symbol=nx.symbol and sc.day=nx.day and sc.execute_tick=nx.ts_ms where next_mid is not null),
-h as (select p.order_id, min(s.ts_ms) as fill_tick from p join snaps s on s.symbol=p.symbol and s.day=p.day
-  and s.ts_ms>p.post_tick and s.ts_ms<=p.post_tick+600000 where case when side>0 then s.ask_px<=post_price else s.bid_px>=post_price end group by 1)
-select p.order_id, side, post_tick, round(post_price,6) as post_price, fill_tick is not null as filled,
-  cast((coalesce(fill_tick, post_tick+600000)-post_tick)//60000 as integer) as age from p left join h using (order_id)""",
+    S.SNAPS + f""", {_SCHED}, {_next(_COLS[:4])},
+p as (select order_id, side, ip.symbol, nx.next_ts_ms as post_tick, ip.at+1 as post_pos, {_side("next_bid_px", "next_ask_px")} as post_price
+  from ip left join nx on ip.symbol=nx.symbol and ip.at=nx.pos),
+h as (select p.order_id, min(n.pos)-any_value(post_pos) as age from p join nx n on n.symbol=p.symbol
+  and n.pos>p.post_pos and n.pos<=p.post_pos+10 where case when side>0 then n.ask_px<=post_price else n.bid_px>=post_price end group by 1)
+select p.order_id, side, post_tick, round(post_price,6) as post_price, h.age is not null as filled,
+  case when post_tick is not null then cast(coalesce(h.age, 10) as integer) end as age from p left join h using (order_id)""",
 )
 def limit_fill_lifetime(spark, d):
     # two steps read the snapshots, so they are stored first
     s = materialise(snaps(spark, d, with_rate=True), "snapshots")
     o = orders.schedule(V.orders_x(spark, d), GRID_MS, SEED, CFG)
-    at = orders.lookup(o, s)
+    at = orders.lookup(o, s, GRID_MS)
     posted = at.select(
-        "order_id", "symbol", "day", "side", (F.col("execute_tick") + GRID_MS).alias("post_tick"),
+        "order_id", "symbol", F.to_date(F.timestamp_millis("next_tick")).alias("day"), "side", F.col("next_tick").alias("post_tick"),
         F.when(F.col("side") > 0, F.col("next_bid_px")).otherwise(F.col("next_ask_px")).alias("post_price"),
     )
-    out = orders.limit_lifetimes(posted, s, GRID_MS, CFG.limit_max_age)
+    out = orders.limit_lifetimes(posted, s, CFG.limit_max_age)
     return out.select("order_id", "side", "post_tick", *r(["post_price"]), "filled", "age")
 
 
@@ -214,7 +226,8 @@ _UPOS = f"with {S.EV}, u as (select user_id, ts_ms, seq, value, row_number() ove
     f"""{_UPOS}, l as (select user_id, pos//2 as pid, pos%2=0 as is_open, case when seq%2=0 then 1 else -1 end as side, value as price from u),
 p as (select user_id, pid, max(side) filter (is_open) as side, max(price) filter (is_open) as entry_price, max(price) filter (not is_open) as exit_price from l group by 1,2)
 select user_id, pid, side, entry_price, exit_price, round(side*(exit_price-entry_price)/entry_price*6,6) as gross_pnl,
-  round(side*(exit_price-entry_price)/entry_price*6 - 2*0.00035 - 2*0.0001 - 0.00002,6) as net_pnl from p where exit_price is not null""",
+  round(side*(exit_price-entry_price)/entry_price*6 - 2*0.00035 - 2*0.0001 - 0.00002,6) as net_pnl,
+  case when exit_price is null then 'open' else 'closed' end as status from p""",
 )
 def position_pnl(spark, d):
     u = _user_log(spark, d)
@@ -224,7 +237,7 @@ def position_pnl(spark, d):
         F.lit(0.00035).alias("fee"), F.lit(0.0001).alias("slippage"), F.lit(0.00001).alias("funding"),
     )
     return orders.position_pnl(legs, ["user_id", "pid"]).select(
-        "user_id", "pid", "side", "entry_price", "exit_price", *r(["gross_pnl", "net_pnl"])
+        "user_id", "pid", "side", "entry_price", "exit_price", *r(["gross_pnl", "net_pnl"]), "status"
     )
 
 
