@@ -39,10 +39,12 @@ def score_summary(
 ) -> DataFrame:
     """Mean, population deviation, exact quantiles, range, survival and length figures.
 
-    Quantiles come from sorted positions, so no group is held in one buffer.
+    Quantiles come from sorted positions, so no group is held in one buffer. Rows without
+    a value count in none of the figures; rows without a length not in those of lengths.
     """
     by = list(by)
-    placed = with_positions(df.where(F.col(value).isNotNull()), by, [value, tie], blocks)
+    scored = df.where(F.col(value).isNotNull())
+    placed = with_positions(scored, by, [value, tie], blocks)
     x = F.col(value)
     out = placed.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_episodes"),
@@ -59,8 +61,9 @@ def score_summary(
     )
     if not length:
         return out
-    mid = with_positions(df.select(*by, length, tie), by, [length, tie], blocks)
-    return out.join(mid.groupBy(*by).agg(*quantile_columns(length, {"median_length": 0.5})), by)
+    known = scored.where(F.col(length).isNotNull()).select(*by, length, tie)
+    mid = with_positions(known, by, [length, tie], blocks)
+    return out.join(mid.groupBy(*by).agg(*quantile_columns(length, {"median_length": 0.5})), by, "left")
 
 
 def positive_rate(df: DataFrame, by=("candidate",), value="reward") -> DataFrame:

@@ -120,7 +120,7 @@ def scan(df: DataFrame, keys, order, *running: Running) -> DataFrame:
     kept = [f"_c_{r.name}" for r in running] + [f"_cs_{r.name}" for r in peaks]
     carry = carry.where(F.col("_nth") > 1).select(*keys, BLOCK, *kept)
 
-    joined = scanned.join(F.broadcast(carry), [*keys, BLOCK], "left")
+    joined = scanned.join(carry, [*keys, BLOCK], "left")
     lifted = {r.name: F.col(f"_h_{r.name}") + F.coalesce(F.col(f"_cs_{r.name}"), F.lit(0)) for r in peaks}
     out = {r.name: _combine(r) for r in plain} | {n: F.greatest(c, F.col(f"_c_{n}")) for n, c in lifted.items()}
     return joined.select(*df.columns, *[out[r.name].alias(r.name) for r in running])

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tickweave.operators.scan import Running, blocked, positions, scan
 from tickweave.session import materialise
 
-MAX_CALENDAR = 1_000_000  # fold days that are broadcast; beyond, the join shuffles
 ROWS_PER_DAY = 864_000  # fixed value: ticks of a day on the 100 ms grid
 
 
@@ -103,11 +102,9 @@ def walk_forward_folds(df: DataFrame, folds, day="day") -> DataFrame:
     cal = spark.createDataFrame(rows, "fold int, split string, a string, b string").select(
         "fold", "split", F.explode(F.sequence(F.col("a").cast("date"), F.col("b").cast("date"))).alias(day)
     )
-    # calendar rows come from the argument list, so their number is known here
-    n_rows = sum((date.fromisoformat(b) - date.fromisoformat(a)).days + 1 for _, _, a, b in rows)
     bounds = [f[0] for f in folds] + [f[3] for f in folds]
     pruned = df.where(F.col(day).between(F.lit(min(bounds)).cast("date"), F.lit(max(bounds)).cast("date")))
-    return pruned.join(F.broadcast(cal) if n_rows <= MAX_CALENDAR else cal, day)
+    return pruned.join(cal, day)
 
 
 def require_every_fold(counts: DataFrame, n_folds: int) -> None:
@@ -166,13 +163,23 @@ def non_increasing(df: DataFrame, keys=("symbol",), order=("day", "seq"), ts: st
     return seen.where(F.col(ts) <= F.col("_before.t")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_bad"))
 
 
-def concat_dedupe(frames: list[DataFrame], keys=("symbol", "ts_ms"), seq="seq") -> DataFrame:
-    """Union by name, then the row with the lowest ``seq`` per key.
+SEQ_SPAN = 10**19  # above every 64-bit sequence number
 
-    An aggregate with a map-side combine, so copies of one key never meet in full.
+
+def concat_dedupe(frames: list[DataFrame], keys=("symbol", "ts_ms"), seq="seq", day: str | None = "day") -> DataFrame:
+    """Union by name, then the first row by ``(day, seq)`` per key; of equal ones that of the earliest frame.
+
+    An aggregate with a map-side combine, so copies of one key never meet in full. The
+    order is one decimal: as a number it stays in a hash aggregate, as a struct it would sort.
     """
-    every = frames[0]
-    for f in frames[1:]:
-        every = every.unionByName(f)
-    rest = [c for c in every.columns if c not in (*keys, seq)]
-    return every.groupBy(*keys).agg(F.min(seq).alias(seq), *[F.min_by(c, seq).alias(c) for c in rest])
+    every = frames[0].withColumn("_frame", F.lit(0))
+    for i, f in enumerate(frames[1:], 1):
+        every = every.unionByName(f.withColumn("_frame", F.lit(i)))
+    wide = "decimal(38,0)"
+    turn = (F.col(seq).cast(wide) + SEQ_SPAN // 2) * len(frames) + F.col("_frame")
+    if day in every.columns:
+        turn = F.unix_date(day).cast("decimal(8,0)") * F.lit(SEQ_SPAN * len(frames)).cast(wide) + turn
+    turn = turn.cast(wide)
+    every = every.withColumn("_turn", turn)
+    rest = [c for c in every.columns if c not in (*keys, "_frame", "_turn")]
+    return every.groupBy(*keys).agg(*[F.min_by(c, "_turn").alias(c) for c in rest])

@@ -197,9 +197,21 @@ def moments(df: DataFrame, cols, by=("symbol",)) -> DataFrame:
     return df.groupBy(*by).agg(*aggs)
 
 
-def live_zscore(df: DataFrame, wide_stats: DataFrame, features, clip: float, by=("symbol",)) -> DataFrame:
-    """Stream-static join with the statistics table, then z-score and clip."""
-    joined = df.join(wide_stats, list(by))
+def live_zscore(df: DataFrame, wide_stats: DataFrame, features, clip: float, by=("symbol",), known: str | None = None) -> DataFrame:
+    """Stream-static join with the statistics table, then z-score and clip.
+
+    A row of a key without statistics stops the query. With ``known`` it stays instead,
+    with missing features and ``false`` in the column of that name, for a reject sink.
+    """
+    found = F.lit(True).alias("_known")
+    joined = df.join(wide_stats.select("*", found), list(by), "left")
+    if known is None:
+        missing = F.raise_error(F.concat_ws(" ", F.lit("no statistics for"), *[F.col(c).cast("string") for c in by]))
+        first = features[0]
+        joined = joined.withColumn(first, F.when(F.col("_known"), F.col(first)).otherwise(missing.cast("double")))
+    else:
+        joined = joined.withColumn(known, F.coalesce("_known", F.lit(False)))
+        df = joined.select(*df.columns, known)
     cols = {f: zscore(F.col(f), F.col(f"mean_{f}"), F.col(f"std_{f}"), clip) for f in features}
     return joined.withColumns(cols).select(*df.columns)
 
