@@ -4,9 +4,10 @@ A byte goes when a string of ``length`` bytes that covers it starts at any other
 A suffix array of a whole corpus can't be built in one task, so the corpus is first dealt
 out by content. In every string of ``length`` bytes the smallest of its ``gram``-byte hashes,
 the leftmost on ties, is its anchor; equal strings have equal anchors. An anchor's context
-holds every such string around it. Only contexts of anchors that occur more than once can
-hold a repeat; contexts that are equal in full are settled by their count. The others meet
-in buckets by anchor, and each bucket builds the suffix array of its contexts:
+is the run of text that its strings cover, so every string lies in one context. Only contexts
+of anchors that occur more than once can hold a repeat; contexts that are equal in full are
+settled by their count. The others meet in buckets by anchor, and each bucket sorts the
+suffixes of its contexts that start a string:
 
 * suffixes smaller than their successors are sorted directly, to the length that matters,
 * the rest is induced by one scan over the buckets of first bytes,
@@ -30,6 +31,10 @@ from tickweave.llm.blobs import BLOCKS, Bloom, Dealer, records, runs
 from tickweave.llm.registry import query
 from tickweave.llm.shared import documents, materialise, partitions, shards, small_batches
 
+#: Bytes of text that one vectorised step works on, few enough for a processor's cache.
+STEP = 512 << 10
+#: Bytes of contexts that meet in one bucket, about.
+BUCKET = 256 << 10
 RECORD = np.dtype([("key", "<u8"), ("c", "<u8"), ("n", "<u4")])
 
 
@@ -43,73 +48,89 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Anchors:
-    """Anchors of a batch of texts: document, place, hash and context of each."""
+    """Anchors of a batch of texts: document, hash, context and the bytes ``left:right`` of each."""
 
     def __init__(self, column: pa.Array, length: int, gram: int):
         self.data, self.borders = data, borders = hashing.buffer(column)
-        empty = np.zeros(0, np.int64)
-        self.at = self.doc = self.left = self.right = empty
+        self.doc = self.left = self.right = np.zeros(0, np.int64)
         self.key = self.context = np.zeros(0, np.uint64)
-        if len(data) < length:
+        size = np.diff(borders)
+        has = size >= length
+        if not has.any():
             return
         sums = hashing.prefix_sums(data)
-        every = np.arange(len(data) - gram + 1)
-        h = hashing.span_hash(sums, every, every + gram)
-        low = window_minimum((h & np.uint64(0xFFFFFFFF00000000)) | every.astype(np.uint64), length - gram + 1)
-        size = np.diff(borders)
+        order = hashing.raw_hashes(sums, gram)
+        order &= np.uint64(0xFFFFFFFF00000000)
+        order |= np.arange(len(order), dtype=np.uint64)
+        low = window_minimum(order, length - gram + 1)
         inside = np.zeros(len(data) + 1, np.int8)
-        has = size >= length
-        np.add.at(inside, borders[:-1][has], 1)
+        inside[borders[:-1][has]] += 1
         np.add.at(inside, borders[1:][has] - length + 1, -1)
-        starts = np.flatnonzero(np.cumsum(inside[: len(low)]))
-        self.at = at = np.unique((low[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64))
-        self.doc = doc = np.searchsorted(borders, at, "right") - 1
-        self.key = h[at]
-        self.left = np.maximum(borders[doc], at - (length - gram))
-        self.right = np.minimum(borders[doc + 1], at + length)
+        starts = np.flatnonzero(np.cumsum(inside[: len(low)], dtype=np.int8))
+        at = (low[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        first, count = runs(at)
+        at, self.left, self.right = at[first], starts[first], starts[first + count - 1] + length
+        self.doc = np.searchsorted(borders, at, "right") - 1
+        self.key = hashing.span_hash(sums, at, at + gram)
         whole = hashing.span_hash(sums, self.left, self.right)
         self.context = hashing.mix(whole + (at - self.left).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of all suffixes of ``text`` (bytes), in order of their first ``depth`` bytes."""
-    n = len(text)
-    if n == 0:
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Places of the ``wanted`` suffixes of ``text`` (bytes; all if not given), in order of their first ``depth`` bytes."""
+    if len(text) == 0:
         return np.zeros(0, np.int64)
-    # a suffix is small if it is less than the one after it; the last one is not
+    text = np.r_[text, np.uint8(0)]
+    n = len(text)
+    # a suffix is small if it is less than the one after it; the added last one stands for the end
     step = np.sign(np.diff(text.astype(np.int16), append=-1))
+    step[-1] = 1
     far = np.where(step != 0, np.arange(n), n - 1)
     small = step[np.minimum.accumulate(far[::-1])[::-1]] > 0
-    order = np.flatnonzero(small)
+    if wanted is None:
+        need = np.ones(n, bool)
+    else:
+        # a large suffix is induced from the one after it, so the run up to the next small one is needed too
+        need = np.r_[wanted, False]
+        ends = np.flatnonzero(need[:-1] & ~need[1:]) + 1
+        stop = np.flatnonzero(small)[np.searchsorted(np.flatnonzero(small), ends - 1)]
+        for k in range(int((stop - ends).max(initial=-1)) + 1):
+            more = ends + k
+            need[more[more <= stop]] = True
+    place = np.flatnonzero(need)
+    kind = small[place]
+    order = place[kind]
     wide = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     head = np.zeros(len(order), np.uint64)
     for i in range(8):
         head = (head << np.uint64(8)) | wide[order + i]
     by = np.argsort(head, kind="stable")
     order, head = order[by], head[by]
-    raw = text.tobytes()
+    raw = text[:-1].tobytes()
     first, count = runs(head)
     for a, k in zip(first[count > 1].tolist(), count[count > 1].tolist(), strict=True):
-        order[a : a + k] = sorted(order[a : a + k].tolist(), key=lambda i: raw[i + 8 : i + depth])
+        order[a : a + k] = sorted(order[a : a + k].tolist(), key=lambda i: raw[i : i + depth])
+    # the added end is smaller than all that starts with the same byte
+    if need[-1]:
+        order = np.r_[n - 1, order[order != n - 1]]
     # in a bucket of one first byte the large suffixes come before the small ones
-    total, of_small = np.bincount(text, minlength=256), np.bincount(text[order], minlength=256)
+    total, of_small = np.bincount(text[place], minlength=256), np.bincount(text[order], minlength=256)
     ends = np.cumsum(total)
-    array = np.full(n, -1, np.int64)
+    array = np.full(len(place), -1, np.int64)
     rank = np.arange(len(order)) - (np.cumsum(of_small) - of_small)[text[order]]
-    array[(ends - of_small)[text[order]] + rank] = order
-    before = np.full(n, -1, np.int64)
-    before[1:] = np.where(small[:-1], -1, text[:-1].astype(np.int64))
+    array[(ends - of_small)[text[order]] + rank] = np.searchsorted(place, order)
+    before = np.full(len(place), -1, np.int64)
+    induced = (np.diff(place) == 1) & ~kind[:-1]
+    before[1:][induced] = text[place[:-1][induced]]
     free, code, out = (ends - total).tolist(), before.tolist(), array.tolist()
-    last = int(text[-1])
-    out[free[last]] = n - 1
-    free[last] += 1
-    for j in range(n):
+    for j in range(len(out)):
         i = out[j]
         b = code[i]
         if b >= 0:
             out[free[b]] = i - 1
             free[b] += 1
-    return np.array(out)
+    array = place[np.array(out)]
+    return array[array < n - 1] if wanted is None else array[wanted[np.minimum(array, n - 2)] & (array < n - 1)]
 
 
 def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
@@ -126,36 +147,28 @@ def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int)
     return held
 
 
-def repeats(contexts: list[bytes], places: np.ndarray, twice: np.ndarray, length: int) -> list[np.ndarray]:
+def repeats(contexts: list[bytes], twice: np.ndarray, length: int) -> list[np.ndarray]:
     """For each context the starts of its strings of ``length`` bytes that occur elsewhere.
 
-    ``places`` names where a context's first byte stands, so that a string seen through two
-    contexts of one text counts once; ``twice`` marks contexts that occur more than once.
+    Contexts are distinct; ``twice`` marks those that occur more than once.
     """
     sizes = np.array([len(x) for x in contexts], np.int64)
     text = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
     first = np.cumsum(sizes + 1) - (sizes + 1)
-    array = suffix_array(text, length)
+    edge = np.zeros(len(text) + 1, np.int64)
+    edge[first] += 1
+    edge[first + sizes - length + 1] -= 1
+    array = suffix_array(text, length, np.cumsum(edge)[:-1] > 0)
     owner = np.searchsorted(first, array, "right") - 1
-    offset = array - first[owner]
-    fits = offset + length <= sizes[owner]
-    array, owner, offset = array[fits], owner[fits], offset[fits]
-    starts: list = [[] for _ in contexts]
-    if len(array) == 0:
-        return [np.zeros(0, np.int64) for _ in contexts]
     joined = common_prefixes(text, array[:-1], array[1:], length) >= length
     begin = np.flatnonzero(np.r_[True, ~joined])
-    place = places[owner] + offset.astype(np.uint64)
-    differ = np.minimum.reduceat(place, begin) != np.maximum.reduceat(place, begin)
-    many = np.logical_or.reduceat(twice[owner], begin) | differ
-    many = np.repeat(many, np.diff(np.r_[begin, len(array)]))
-    owner, offset = owner[many], offset[many]
+    size = np.diff(np.r_[begin, len(array)])
+    many = np.repeat((size > 1) | np.logical_or.reduceat(twice[owner], begin), size)
+    owner, offset = owner[many], (array - first[owner])[many]
     by = np.lexsort((offset, owner))
     owner, offset = owner[by], offset[by]
     cuts = np.searchsorted(owner, np.arange(len(contexts) + 1))
-    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        starts[i] = offset[a:b]
-    return starts
+    return [offset[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def spans(starts: np.ndarray, length: int) -> np.ndarray:
@@ -176,32 +189,20 @@ def covered(pieces: np.ndarray) -> np.ndarray:
 
 
 def _facts(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``doc_id, th, at, c`` of the documents with anchors: places and contexts in arrays."""
+    """``doc_id, th, at, size, key, c`` of the documents with anchors: places, sizes and names of contexts in arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shards(batches, "text"):
+        for batch in shards(batches, "text", STEP):
             a = Anchors(batch.column("text"), length, gram)
-            cuts = np.searchsorted(a.doc, np.arange(batch.num_rows + 1))
-            lists = lambda v, cuts=cuts: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(v, pa.int64()))
+            cuts = pa.array(np.searchsorted(a.doc, np.arange(batch.num_rows + 1)), pa.int32())
+            parts = (a.left - a.borders[a.doc], a.right - a.left, a.key.view(np.int64), a.context.view(np.int64))
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(v, pa.int64())) for v in parts]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("th"),
-                    lists(a.at - a_start(a)),
-                    lists(a.key.view(np.int64)),
-                    lists(a.context.view(np.int64)),
-                ],
-                ["doc_id", "th", "at", "key", "c"],
+                [batch.column("doc_id"), batch.column("th"), *lists], ["doc_id", "th", "at", "size", "key", "c"]
             )
 
-    return materialise(
-        docs.mapInArrow(run, "doc_id long, th long, at array<long>, key array<long>, c array<long>").where("size(c) > 0"),
-        "anchors",
-    )
-
-
-def a_start(a: Anchors) -> np.ndarray:
-    return a.borders[a.doc]
+    longs = "at array<long>, size array<long>, key array<long>, c array<long>"
+    return materialise(docs.mapInArrow(run, f"doc_id long, th long, {longs}").where("size(c) > 0"), "anchors")
 
 
 def _shared(facts: DataFrame) -> DataFrame:
@@ -248,11 +249,12 @@ def _found(docs: DataFrame, shared: DataFrame, length: int, gram: int) -> DataFr
     if open_.isEmpty():
         return settled
     wanted = Bloom.of(open_.select("c"))
-    buckets = 8 * partitions(docs.sparkSession)
+    # a context is about one and a half strings long
+    buckets = max(partitions(docs.sparkSession), open_.count() * 3 * length // (2 * BUCKET))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in shards(batches, "text"):
+        for batch in shards(batches, "text", STEP):
             a = Anchors(batch.column("text"), length, gram)
             context = a.context.view(np.int64)
             rows = []
@@ -261,39 +263,26 @@ def _found(docs: DataFrame, shared: DataFrame, length: int, gram: int) -> DataFr
                     seen.add(int(context[i]))
                     rows.append(i)
             raw = a.data.tobytes()
-            th = batch.column("th").to_numpy(zero_copy_only=False).view(np.uint64)
-            place = hashing.mix(th[a.doc[rows]]) + (a.left[rows] - a.borders[a.doc[rows]]).astype(np.uint64)
-            key = a.key[rows]
-            bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            bucket = ((a.key[rows] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            text = [raw[x:y] for x, y in zip(a.left[rows].tolist(), a.right[rows].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket.astype(np.int32)),
-                    pa.array(context[rows]),
-                    pa.array(place.view(np.int64)),
-                    pa.array((a.at[rows] - a.left[rows]).astype(np.int64)),
-                    pa.array([raw[x:y] for x, y in zip(a.left[rows].tolist(), a.right[rows].tolist(), strict=True)], pa.binary()),
-                ],
-                ["bucket", "c", "place", "before", "bytes"],
+                [pa.array(bucket.astype(np.int32)), pa.array(context[rows]), pa.array(text, pa.binary())],
+                ["bucket", "c", "bytes"],
             )
 
     def search(table: pa.Table) -> pa.Table:
-        c = table.column("c").to_numpy()
-        _, one = np.unique(c, return_index=True)
+        _, one = np.unique(table.column("c").to_numpy(), return_index=True)
         table = table.take(pa.array(one))
         twice = table.column("twice").to_numpy(zero_copy_only=False).astype(bool)
-        place = table.column("place").to_numpy().view(np.uint64)
-        before = table.column("before").to_numpy()
-        found = repeats(table.column("bytes").to_pylist(), place, twice, length)
-        own = [None if t else (spans(s, length) - b) for s, t, b in zip(found, twice, before, strict=True)]
+        found = repeats(table.column("bytes").to_pylist(), twice, length)
+        own = [None if t else spans(s, length) for s, t in zip(found, twice, strict=True)]
         keep = [i for i, s in enumerate(own) if s is None or len(s)]
-        return pa.table(
-            {"c": table.column("c").take(pa.array(keep, pa.int64())), "runs": pa.array([own[i] for i in keep], pa.list_(pa.int64()))}
-        )
+        c = table.column("c").take(pa.array(keep, pa.int64()))
+        return pa.table({"c": c, "runs": pa.array([own[i] for i in keep], pa.list_(pa.int64()))})
 
-    schema = "bucket int, c long, place long, before long, bytes binary"
-    met = docs.mapInArrow(fetch, schema).join(open_, "c").select("bucket", "c", "place", "before", "bytes", "twice")
-    found = materialise(met.groupBy("bucket").applyInArrow(search, "c long, runs array<long>"), "repeats")
-    return settled.unionByName(found)
+    met = docs.mapInArrow(fetch, "bucket int, c long, bytes binary").join(open_, "c")
+    found = met.select("bucket", "c", "bytes", "twice").groupBy("bucket").applyInArrow(search, "c long, runs array<long>")
+    return settled.unionByName(materialise(found, "repeats"))
 
 
 def remove_repeats(
@@ -313,9 +302,9 @@ def remove_repeats(
     )
     facts = _facts(slim, length, gram)
     found = _found(slim, _shared(facts), length, gram)
-    each = facts.select("doc_id", "th", F.explode(F.arrays_zip("at", "c")).alias("a"))
-    each = each.select("doc_id", "th", F.col("a.at").alias("at"), F.col("a.c").alias("c")).join(found, "c")
-    each = each.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "runs")).alias("hits"))
+    each = facts.select("doc_id", "th", F.explode(F.arrays_zip("at", "size", "c")).alias("a"))
+    each = each.select("doc_id", "th", *[F.col(f"a.{x}").alias(x) for x in ("at", "size", "c")]).join(found, "c")
+    each = each.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "size", "runs")).alias("hits"))
     hits = materialise(each, "hits")
     touched = Bloom.of(hits.select("th"))
 
@@ -329,7 +318,7 @@ def remove_repeats(
                 for hit in own or ():
                     at = hit["at"]
                     if hit["runs"] is None:
-                        pieces.append((max(0, at - (length - gram)), min(len(raw), at + length)))
+                        pieces.append((at, at + hit["size"]))
                     else:
                         r = hit["runs"]
                         pieces += [(at + x, at + y) for x, y in zip(r[::2], r[1::2], strict=True)]
