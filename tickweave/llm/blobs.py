@@ -50,6 +50,25 @@ def merged(parts: DataFrame, size: int, dtype: type, join: Callable) -> np.ndarr
     return out
 
 
+class Tally:
+    """Counts how often each of ``cells`` numbers occurs; many small additions are counted in one go."""
+
+    def __init__(self, cells: int, held: int = 1 << 22):
+        self.total, self.limit, self.held, self.size = np.zeros(cells, np.uint32), held, [], 0
+
+    def add(self, numbers: np.ndarray) -> None:
+        self.held.append(numbers.astype(np.int32))
+        self.size += len(numbers)
+        if self.size >= self.limit:
+            self.counts()
+
+    def counts(self) -> np.ndarray:
+        for numbers in self.held and [np.concatenate(self.held)]:
+            self.total += np.bincount(numbers, minlength=len(self.total)).astype(np.uint32)
+        self.held, self.size = [], 0
+        return self.total
+
+
 class Bloom:
     """A set of 64-bit values with false positives but no misses, of fixed size whatever its content."""
 

@@ -7,9 +7,10 @@ counts of fixed size (any one order keeps the join exact; a rarer start makes it
 Two sets with a Jaccard similarity of ``s`` share two words among their first
 ``n - ceil(s n) + 2``. If the rarest word they share is rare, it alone is their key; else
 the two rarest are. Classes that share a key are candidates if their sizes and the places
-of the key's first word leave room for enough common words. Small groups give their
+of the key's first word, taken as the rarest they share, leave room for enough common words. Small groups give their
 candidate pairs at once. In a large group every class is first compared with the earliest
-one; only classes that stay unresolved meet the earlier rest of the group.
+one; only classes that stay unresolved meet the earlier rest of the group. A 64-bit map of
+each line's words rules out most false candidates before any text is fetched.
 
 A line is removed when its class or a similar one has an earlier line. Candidates are
 verified on their words, which are fetched for candidate classes only.
@@ -21,19 +22,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tickweave.llm import hashing
-from tickweave.llm.blobs import BLOCKS, SUMMARY, Bloom, Dealer, merged, records, runs, slices
+from tickweave.llm.blobs import BLOCKS, SUMMARY, Bloom, Dealer, Tally, merged, records, runs, slices
 from tickweave.llm.registry import query
 from tickweave.llm.shared import documents, materialise, partitions, shards, small_batches
 
 CELLS = 1 << 21
-RECORD = np.dtype([("key", "<u8"), ("line", "<u8"), ("n", "<u4"), ("at", "<u4")])
+RECORD = np.dtype([("key", "<u8"), ("line", "<u8"), ("bits", "<u8"), ("n", "<u4"), ("at", "<u4")])
+BLOCK = 1 << 16
+PAIR = np.dtype([("key", "<u8"), ("y", "<u8")])
 #: Up to this many classes a key's group gives all of its candidate pairs at once.
-SMALL = 32
+SMALL = 1024
+#: A word in more lines than this is never rare, whatever the size of the corpus.
+RARE = 512
+MAP_WORDS = 4
 
 
 def line_table(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -54,32 +60,46 @@ def line_table(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return hashing.FOLD[raw], starts, ends, owner
 
 
-def class_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
-    """Hash of each line's folded bytes; 0 for a line of fewer than ``least`` words, which is left alone."""
-    ids = hashing.span_hash(hashing.prefix_sums(data), starts, ends)
-    return np.where(words >= least, np.maximum(ids, np.uint64(1)), np.uint64(0))
+def lines_and_words(column: pa.Array, least: int):
+    """The line table, class of each line, and hash and line of every word.
 
-
-def words_of_lines(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and line of every word; line breaks are white space, so no word crosses a line of one text."""
-    word, line, _ = hashing.words(data, np.r_[starts, len(data)])
-    return word, line
+    A class is the hash of a line's folded bytes; it is 0 for a line of fewer than ``least``
+    words, which is left alone. Line breaks are white space, so no word crosses a line.
+    """
+    data, starts, ends, owner = line_table(column)
+    sums = hashing.prefix_sums(data)
+    word, line, _ = hashing.words(data, np.r_[starts, len(data)], sums)
+    ids = np.maximum(hashing.span_hash(sums, starts, ends), np.uint64(1))
+    ids[np.bincount(line, minlength=len(starts)) < least] = 0
+    return data, starts, ends, owner, ids, word, line
 
 
 def keys_of(word: np.ndarray, line: np.ndarray, n_lines: int, rank: np.ndarray, rare: int, num: int, den: int):
-    """Key, line, set size and place of all keys of all lines; the similarity is ``num / den``."""
-    token = (rank[(word >> np.uint64(43)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (word >> np.uint64(8))
-    order = np.lexsort((token, line))
-    token, line = token[order], line[order]
-    new = np.r_[True, (token[1:] != token[:-1]) | (line[1:] != line[:-1])] if len(token) else np.zeros(0, bool)
-    token, line = token[new], line[new]
+    """Key, line, set size and place of all keys of all lines, and a 64-bit map of each line's words.
+
+    The similarity is ``num / den``.
+    """
+    if n_lines > BLOCK:
+        parts = []
+        for a in range(0, n_lines, BLOCK):
+            i, j = np.searchsorted(line, [a, a + BLOCK])
+            key, own, n, at, bits = keys_of(word[i:j], line[i:j] - a, min(BLOCK, n_lines - a), rank, rare, num, den)
+            parts.append((key, own + a, n, at, bits))
+        return [np.concatenate(x) for x in zip(*parts, strict=True)]
+    # 8 bits of rank and 40 of hash below the line's number: one sort of plain numbers, rare words first
+    token = (rank[(word >> np.uint64(43)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (word >> np.uint64(24))
+    both = np.sort((line.astype(np.uint64) << np.uint64(48)) | token)
+    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+    line, token = (both >> np.uint64(48)).astype(np.int64), both & np.uint64((1 << 48) - 1)
     n = np.bincount(line, minlength=n_lines)
     first = np.cumsum(n) - n
     at = np.arange(len(token)) - first[line]
     size = n[line]
+    bits = np.zeros(n_lines, np.uint64)
+    np.bitwise_or.at(bits, line, np.uint64(1) << (hashing.mix(token) >> np.uint64(58)))
     prefix = size - -(-num * size // den) + 2
     held = np.flatnonzero(at < prefix)
-    is_rare = (token >> np.uint64(56)) <= rare
+    is_rare = (token >> np.uint64(40)) <= rare
     single = held[is_rare[held] | (size[held] == 1)]
     out = [(hashing.mix(token[single]), line[single], size[single], at[single])]
     common = held[~is_rare[held]]
@@ -93,41 +113,76 @@ def keys_of(word: np.ndarray, line: np.ndarray, n_lines: int, rank: np.ndarray,
             key = hashing.mix(hashing.mix(token[common]) + token[other])
             out.append((key, line[common], size[common], at[common]))
         gap += 1
-    return [np.concatenate(x) for x in zip(*out, strict=True)]
+    return *[np.concatenate(x) for x in zip(*out, strict=True)], bits
+
+
+def few_differ(n, a, m, b, num: int, den: int):
+    """Whether sets of sizes ``n`` and ``m`` can be similar by their maps: a bit in one map only is a word in one set only."""
+    count = np.bitwise_count(a ^ b).astype(np.int64) if isinstance(a, np.ndarray) else F.bit_count(a.bitwiseXOR(b))
+    return (num + den) * (n + m - count) >= 2 * num * (n + m)
 
 
 def possible(n, at, m, bt, num: int, den: int):
-    """Whether sets of sizes ``n`` and ``m`` can be similar when words at ``at`` and ``bt`` are one; arrays or columns."""
-    least = F.least if not isinstance(n, np.ndarray) else np.minimum
-    room = least(at, bt) + 1 + least(n - 1 - at, m - 1 - bt)
+    """Whether sets of sizes ``n`` and ``m`` can be similar if the words at ``at`` and ``bt`` are the rarest they share."""
+    least = F.least if isinstance(n, Column) else np.minimum
+    room = 1 + least(n - 1 - at, m - 1 - bt)
     return (den * least(n, m) >= num * (n + m - least(n, m))) & ((num + den) * room >= num * (n + m))
 
 
 def candidates(records_: np.ndarray, small: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of classes of small groups, and the records of large groups."""
-    r = records_[np.lexsort((records_["line"], records_["key"]))]
+    r = records_[np.argsort(records_["key"])]
+    _, length = runs(r["key"])
+    r = r[np.repeat(length, length) > 1]
+    r = r[np.lexsort((r["line"], r["key"]))]
     if len(r):
         r = r[np.r_[True, (r["key"][1:] != r["key"][:-1]) | (r["line"][1:] != r["line"][:-1])]]
     _, length = runs(r["key"])
     size = np.repeat(length, length)
     large = r[size > small]
     r = r[(size > 1) & (size <= small)]
+    key, line, bits = (np.ascontiguousarray(r[f]) for f in ("key", "line", "bits"))
+    n, at = r["n"].astype(np.int64), r["at"].astype(np.int64)
     left, right = [], []
+    i = np.arange(len(r))
     for gap in range(1, small):
-        if len(r) <= gap:
-            break
-        i = np.flatnonzero(r["key"][:-gap] == r["key"][gap:])
+        i = i[i < len(r) - gap]
+        i = i[key[i] == key[i + gap]]
         if not len(i):
             break
-        a, b = r[i], r[i + gap]
-        side = lambda x, f: x[f].astype(np.int64)
-        ok = possible(side(a, "n"), side(a, "at"), side(b, "n"), side(b, "at"), num, den)
-        left.append(a["line"][ok])
-        right.append(b["line"][ok])
+        j = i + gap
+        ok = few_differ(n[i], bits[i], n[j], bits[j], num, den)
+        a, b = i[ok], j[ok]
+        ok = possible(n[a], at[a], n[b], at[b], num, den)
+        left.append(line[a[ok]])
+        right.append(line[b[ok]])
     if not left:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), large
-    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1], large
+    x, y = np.concatenate(left), np.concatenate(right)
+    by = np.lexsort((y, x))
+    x, y = x[by], y[by]
+    new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])] if len(x) else np.zeros(0, bool)
+    return x[new], y[new], large
+
+
+def places(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return hashing.mix(hashing.mix(doc.astype(np.int64).view(np.uint64)) + line.astype(np.uint64)).view(np.int64)
+
+
+def word_maps(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of distinct words of each folded line, and a map of them of ``64 * MAP_WORDS`` bits."""
+    maps, size = np.zeros((len(texts), MAP_WORDS), np.uint64), np.array([len(x) for x in texts], np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    word, line, _ = hashing.words(data, np.r_[0, np.cumsum(size)])
+    order = np.lexsort((word, line))
+    word, line = word[order], line[order]
+    if len(word):
+        new = np.r_[True, (word[1:] != word[:-1]) | (line[1:] != line[:-1])]
+        word, line = word[new], line[new]
+        place = hashing.mix(word) >> np.uint64(56)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        np.bitwise_or.at(maps, (line, (place >> np.uint64(6)).astype(np.int64)), bit)
+    return np.bincount(line, minlength=len(texts)), maps.view(np.int64)
 
 
 def _similar(a: str, b: str, num: int, den: int) -> bool:
@@ -148,12 +203,10 @@ class _Join:
         least = self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            count = np.zeros(CELLS, np.uint32)
+            count = Tally(CELLS)
             for batch in shards(batches, "text"):
-                data, starts, ends, owner = line_table(batch.column("text"))
-                word, line = words_of_lines(data, starts)
-                count += np.bincount((word >> np.uint64(43)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-                ids = class_ids(data, starts, ends, np.bincount(line, minlength=len(starts)), least)
+                _, _, _, owner, ids, word, _ = lines_and_words(batch.column("text"), least)
+                count.add(word >> np.uint64(43))
                 cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
                 own = [ids[a:b].view(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 n = batch.num_rows
@@ -167,7 +220,7 @@ class _Join:
                     ],
                     ["doc_id", "th", "ids", "slice", "part"],
                 )
-            part = slices(count)
+            part = slices(count.counts())
             n = part.num_rows
             nothing = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*nothing, *part.columns], ["doc_id", "th", "ids", "slice", "part"])
@@ -175,20 +228,18 @@ class _Join:
         table = materialise(self.docs.mapInArrow(run, f"doc_id long, th long, ids array<long>, {SUMMARY}"), "lines")
         count = merged(table.where(F.col("slice").isNotNull()), CELLS, np.uint32, np.add)
         rank = np.minimum(255, 8 * np.log2(1.0 + count)).astype(np.uint8)
-        self.rare = int(min(255, 8 * np.log2(1.0 + max(32.0, 2.0 * count.mean()))))
+        self.rare = int(min(255, 8 * np.log2(1.0 + np.clip(8.0 * count.mean(), 32.0, RARE))))
         return table.where(F.col("slice").isNull()).select("doc_id", "th", "ids"), rank
 
-    def groups(self, rank: np.ndarray) -> DataFrame:
-        """Candidate pairs ``x, y`` of small groups, and the records ``key, x, n, at`` of large ones."""
+    def groups(self, rank: np.ndarray) -> tuple[DataFrame, DataFrame]:
+        """Distinct candidate pairs ``x, y`` of small groups, and the records ``key, x, n, at, bits`` of large ones."""
         least, num, den, rare = self.least, self.num, self.den, self.rare
         buckets = 2 * partitions(self.spark)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dealer, seen = Dealer(buckets), np.zeros(0, np.uint64)
             for batch in shards(batches, "text"):
-                data, starts, ends, _ = line_table(batch.column("text"))
-                word, line = words_of_lines(data, starts)
-                ids = class_ids(data, starts, ends, np.bincount(line, minlength=len(starts)), least)
+                _, _, _, _, ids, word, line = lines_and_words(batch.column("text"), least)
                 # a class once per task
                 one, where = np.unique(ids, return_index=True)
                 new = (one != 0) & ~np.isin(one, seen, assume_unique=True)
@@ -196,82 +247,140 @@ class _Join:
                 keep = np.zeros(len(ids), bool)
                 keep[where[new]] = True
                 used = keep[line]
-                key, own, n, at = keys_of(word[used], line[used], len(ids), rank, rare, num, den)
+                key, own, n, at, bits = keys_of(word[used], line[used], len(ids), rank, rare, num, den)
                 out = np.empty(len(key), RECORD)
-                out["key"], out["line"], out["n"], out["at"] = key, ids[own], n, at
+                out["key"], out["line"], out["bits"], out["n"], out["at"] = key, ids[own], bits[own], n, at
                 yield from dealer.add(out)
             yield from dealer.rest()
 
         def pairs(table: pa.Table) -> pa.Table:
             x, y, large = candidates(records(table, RECORD), SMALL, num, den)
-            both, n, m = [pa.array(v.view(np.int64)) for v in (x, y)], len(x), len(large)
-            return pa.table(
-                {
-                    "x": pa.chunked_array([both[0], pa.array(large["line"].view(np.int64))]),
-                    "y": pa.chunked_array([both[1], pa.nulls(m, pa.int64())]),
-                    "key": pa.chunked_array([pa.nulls(n, pa.int64()), pa.array(large["key"].view(np.int64))]),
-                    "n": pa.chunked_array([pa.nulls(n, pa.int64()), pa.array(large["n"].astype(np.int64))]),
-                    "at": pa.chunked_array([pa.nulls(n, pa.int64()), pa.array(large["at"].astype(np.int64))]),
-                }
-            )
+            out = np.empty(len(x), PAIR)
+            out["key"], out["y"] = x, y
+            dealer = Dealer(buckets)
+            blocks = [*dealer.add(out), *dealer.rest()]
+            columns = {"x": "line", "key": "key", "n": "n", "at": "at", "bits": "bits"}
+            rows = {k: pa.array(large[f].astype(np.uint64).view(np.int64)) for k, f in columns.items()}
+            parts = [pa.table(rows), *[pa.Table.from_batches([b]) for b in blocks]]
+            none = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), *[(k, pa.int64()) for k in columns]])
+            return pa.concat_tables([none.empty_table(), *parts], promote_options="default")
+
+        def once(table: pa.Table) -> pa.Table:
+            r = records(table, PAIR)
+            r = r[np.lexsort((r["y"], r["key"]))]
+            r = r[np.r_[True, (r["key"][1:] != r["key"][:-1]) | (r["y"][1:] != r["y"][:-1])]]
+            return pa.table({"x": pa.array(r["key"].view(np.int64)), "y": pa.array(r["y"].view(np.int64))})
 
         dealt = self.docs.mapInArrow(run, BLOCKS).groupBy("bucket")
-        return materialise(dealt.applyInArrow(pairs, "x long, y long, key long, n long, at long"), "line-groups")
+        schema = "bucket int, block binary, x long, key long, n long, at long, bits long"
+        found = materialise(dealt.applyInArrow(pairs, schema), "line-groups")
+        # a pair shares several keys and so comes from several buckets
+        met = found.where(F.col("block").isNotNull()).groupBy("bucket").applyInArrow(once, "x long, y long")
+        return materialise(met, "met-lines"), found.where(F.col("block").isNull()).drop("bucket", "block")
+
+    def facts(self, met: DataFrame, large: DataFrame, first: DataFrame) -> DataFrame:
+        """``x, text, n, map, first`` of all classes in pairs or groups, found in the documents by a filter of fixed size."""
+        every = met.select("x").unionByName(met.select(F.col("y").alias("x"))).unionByName(large.select("x"))
+        needed = materialise(first.join(every.distinct(), "x"), "needed-lines")
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                doc = pa.compute.fill_null(batch.column(0), -1).to_numpy(zero_copy_only=False)
+                place = places(doc, batch.column(1).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array(place)], ["place"])
 
-    def verify(self, pairs: DataFrame, first: DataFrame) -> DataFrame:
-        """Of candidate pairs, the later class of every similar pair, as ``x``."""
-        num, den = self.num, self.den
-        held = materialise(pairs.distinct(), "line-pairs")
-        wanted = Bloom.of(held.select("x").unionByName(held.select(F.col("y").alias("x"))))
+        # a class is read where its first line stands
+        wanted = Bloom.of(needed.select("first.doc_id", "first.line").mapInArrow(hashed, "place long"))
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
             for batch in shards(batches, "text"):
-                data, starts, ends, _ = line_table(batch.column("text"))
-                ids = hashing.span_hash(hashing.prefix_sums(data), starts, ends)
-                ids = np.maximum(ids, np.uint64(1)).view(np.int64)
-                rows = [i for i in np.flatnonzero(wanted.find(ids)).tolist()]
-                raw, own, text = data.tobytes(), [], []
-                for i in rows:
-                    if (k := int(ids[i])) not in seen:
-                        seen.add(k)
-                        own.append(k)
-                        text.append(raw[starts[i] : ends[i]].decode())
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(text, pa.string())], ["x", "text"])
+                data, starts, ends, owner = line_table(batch.column("text"))
+                doc = pa.compute.fill_null(batch.column("doc_id"), -1).to_numpy(zero_copy_only=False)
+                line = np.arange(len(owner)) - np.searchsorted(owner, np.arange(batch.num_rows), "left")[owner]
+                rows = np.flatnonzero(wanted.find(places(doc[owner], line)))
+                raw = data.tobytes()
+                text = [raw[a:b] for a, b in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)]
+                size = np.array([len(x) for x in text], np.int64)
+                joined = np.frombuffer(b"".join(text), np.uint8)
+                edge = np.r_[0, np.cumsum(size)]
+                ids = np.maximum(hashing.span_hash(hashing.prefix_sums(joined), edge[:-1], edge[1:]), np.uint64(1))
+                n, maps = word_maps(text)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids.view(np.int64)),
+                        pa.array([x.decode() for x in text], pa.string()),
+                        pa.array(n, pa.int64()),
+                        pa.FixedSizeListArray.from_arrays(pa.array(maps.ravel()), MAP_WORDS).cast(pa.list_(pa.int64())),
+                    ],
+                    ["x", "text", "n", "map"],
+                )
+
+        found = self.docs.mapInArrow(fetch, "x long, text string, n long, map array<long>")
+        one = found.groupBy("x").agg(*[F.first(c).alias(c) for c in ("text", "n", "map")])
+        return materialise(one.join(needed, "x"), "line-facts")
+
+    def verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The classes ``x`` of pairs ``x, y`` that are similar to one of their ``y``."""
+        num, den = self.num, self.den
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = [_similar(a, b, num, den) for a, b in zip(batch["s"].to_pylist(), batch["t"].to_pylist(), strict=True)]
-                yield batch.filter(pa.array(keep, pa.bool_())).select(["x", "y"])
-
-        texts = self.docs.mapInArrow(fetch, "x long, text string").groupBy("x").agg(F.first("text").alias("s"))
-        texts = materialise(texts, "line-texts")
-        other = texts.select(F.col("x").alias("y"), F.col("s").alias("t"))
-        good = held.join(texts, "x").join(other, "y").select("x", "y", "s", "t").mapInArrow(check, "x long, y long")
-        theirs = first.select(F.col("x").alias("y"), F.col("first").alias("other"))
-        both = good.join(first, "x").join(theirs, "y")
-        later = F.when(F.col("first") > F.col("other"), F.col("x")).when(F.col("other") > F.col("first"), F.col("y"))
-        return materialise(both.select(later.alias("x")).where("x is not null").distinct(), "late-lines")
+                both = zip(batch["text"].to_pylist(), batch["other"].to_pylist(), strict=True)
+                yield batch.filter(pa.array([_similar(a, b, num, den) for a, b in both], pa.bool_())).select(["x"])
+
+        other = texts.select(F.col("x").alias("y"), F.col("text").alias("other"))
+        both = pairs.join(texts, "x").join(other, "y").select("x", "text", "other")
+        return materialise(both.mapInArrow(check, "x long").distinct(), "late-lines")
+
+    def ordered(self, pairs: DataFrame, facts: DataFrame) -> DataFrame:
+        """Pairs that finer maps of their words leave possible: ``x``, the earlier class ``y`` and its first line."""
+        one = facts.select("x", "n", "map", "first")
+        two = facts.select(F.col("x").alias("y"), *[F.col(c).alias(f"y_{c}") for c in ("n", "map", "first")])
+        both = pairs.join(one, "x").join(two, "y").where(F.col("first") != F.col("y_first"))
+        differ = F.lit(0)
+        for i in range(MAP_WORDS):
+            differ = differ + F.bit_count(F.col("map")[i].bitwiseXOR(F.col("y_map")[i]))
+        n = F.col("n") + F.col("y_n")
+        both = both.where((self.num + self.den) * (n - differ) >= 2 * self.num * n)
+        swap = F.col("first") < F.col("y_first")
+        return both.select(
+            F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"),
+            F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"),
+            F.least("first", "y_first").alias("other"),
+        )
 
     def late(self, rank: np.ndarray, first: DataFrame) -> DataFrame:
         """Classes with a similar class that has an earlier line."""
         num, den = self.num, self.den
-        groups = self.groups(rank)
-        pairs = groups.where(F.col("key").isNull()).select("x", "y")
-        large = groups.where(F.col("key").isNotNull()).drop("y").join(first, "x")
+        fits = lambda a, b: (
+            possible(F.col(f"{a}n"), F.col(f"{a}at"), F.col(f"{b}n"), F.col(f"{b}at"), num, den)
+            & few_differ(F.col(f"{a}n"), F.col(f"{a}bits"), F.col(f"{b}n"), F.col(f"{b}bits"), num, den)
+        )
+        met, large = self.groups(rank)
+        facts = self.facts(met, large, first)
+        texts = facts.select("x", "text")
+        pairs = self.ordered(met, facts)
+        large = large.join(facts.select("x", "first"), "x")
         large = materialise(large, "large-groups")
-        if large.isEmpty():
-            return self.verify(pairs, first)
-        head = F.min(F.struct("first", "x", "n", "at")).alias("head")
-        heads = large.groupBy("key").agg(head)
-        star = large.join(heads, "key").where(F.col("x") != F.col("head.x"))
-        star = star.where(possible(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at"), num, den))
-        late = self.verify(pairs.unionByName(star.select("x", F.col("head.x").alias("y"))), first)
-        rest = large.join(late, "x", "left_anti")
-        mine = [F.col(c).alias(f"my_{c}") for c in ("x", "n", "at", "first")]
-        meet = rest.select("key", *mine).join(large, "key").where(F.col("first") < F.col("my_first"))
-        meet = meet.where(possible(F.col("my_n"), F.col("my_at"), F.col("n"), F.col("at"), num, den))
-        return late.unionByName(self.verify(meet.select(F.col("my_x").alias("x"), F.col("x").alias("y")), first)).distinct()
+        some = not large.isEmpty()
+        if some:
+            heads = large.groupBy("key").agg(F.min(F.struct("first", "x", "n", "at", "bits")).alias("head"))
+            star = large.join(heads, "key").where(F.col("x") != F.col("head.x")).where(fits("", "head."))
+            star = star.select("x", F.col("head.x").alias("y")).distinct()
+            pairs = pairs.unionByName(self.ordered(star, facts))
+        pairs = materialise(pairs, "line-pairs")
+        # most classes are settled by their earliest candidate; the others meet all of theirs
+        best = materialise(pairs.groupBy("x").agg(F.min(F.struct("other", "y")).alias("b")).select("x", "b.y"), "best")
+        late = self.verify(best, texts)
+        rest = pairs.select("x", "y").distinct().join(late, "x", "left_anti").join(best, ["x", "y"], "left_anti")
+        late = late.unionByName(self.verify(rest, texts))
+        if some:
+            mine = [F.col(c).alias(f"my_{c}") for c in ("x", "n", "at", "bits", "first")]
+            open_ = large.join(late, "x", "left_anti").select("key", *mine)
+            meet = open_.join(large, "key").where(F.col("first") < F.col("my_first")).where(fits("my_", ""))
+            meet = self.ordered(meet.select(F.col("my_x").alias("x"), F.col("x").alias("y")).distinct(), facts)
+            late = late.unionByName(self.verify(meet.select("x", "y"), texts)).distinct()
+        return late
 
 
 def removed_lines(
@@ -295,25 +404,45 @@ def removed_lines(
 
 
 def dedup_lines(
-    docs: DataFrame, least: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    least: int = 5,
+    num: int = 4,
+    den: int = 5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    counts: tuple[str, str] = ("n_lines", "n_removed"),
 ) -> DataFrame:
-    """``docs`` with removed lines taken out of the text, and ``n_lines, n_removed`` (counted before).
+    """``docs`` with removed lines taken out of the text, and columns ``counts``: its lines, and those removed.
 
     A line is a run between line feeds; its set is its distinct words, A to Z lower-cased.
     It goes when a line at an earlier place (id, then line) has a similarity of at least
     ``num / den``, kept or not. A line of fewer than ``least`` words always stays. Null ids
     come first. Rows that repeat an id count as one place, so their lines don't remove each
-    other. A null text stays null and has no lines. Columns named ``n_lines`` or
-    ``n_removed`` are replaced. No document goes, even when no line of it is left.
+    other. A null text stays null and has no lines. Columns of ``docs`` with the
+    names of ``counts`` are replaced. No document goes, even when no line of it is left.
     """
     gone = removed_lines(docs, least, num, den, id_col, text_col)
-    rest = docs.drop("n_lines", "n_removed")
+    rest = docs.drop(*counts)
     # a name that no column of the input has
     tag = next(f"_r{i}" for i in range(len(rest.columns) + 1) if all(f"_r{i}" not in c for c in rest.columns))
     g = gone.select(F.col("doc_id").alias(f"{tag}d"), F.col("th").alias(f"{tag}h"), F.col("removed").alias(f"{tag}l"))
-    same = rest[id_col].cast("long").eqNullSafe(g[f"{tag}d"]) & (F.xxhash64(rest[text_col].cast("string")) == g[f"{tag}h"])
-    joined = rest.join(g, same, "left").select(*[rest[c] for c in rest.columns], f"{tag}l")
-    schema = StructType(list(rest.schema.fields)).add("n_lines", "long").add("n_removed", "long")
+    # only documents that may lose lines are shuffled; the filter has a fixed size
+    touched, names = Bloom.of(gone.select("th")), rest.columns
+    marked = small_batches(rest.withColumn(f"{tag}t", F.xxhash64(rest[text_col].cast("string"))))
+
+    def part(inside: bool) -> DataFrame:
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = touched.find(batch.column(f"{tag}t").to_numpy(zero_copy_only=False)) == inside
+                yield batch.filter(pa.array(hit)).select(names)
+
+        return marked.mapInArrow(choose, rest.schema)
+
+    dirty = part(True)
+    same = dirty[id_col].cast("long").eqNullSafe(g[f"{tag}d"]) & (F.xxhash64(dirty[text_col].cast("string")) == g[f"{tag}h"])
+    dirty = dirty.join(g, same, "left").select(*[dirty[c] for c in rest.columns], f"{tag}l")
+    joined = part(False).withColumn(f"{tag}l", F.lit(None).cast(g.schema[f"{tag}l"].dataType)).unionByName(dirty)
+    schema = StructType(list(rest.schema.fields)).add(counts[0], "long").add(counts[1], "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shards(batches, text_col):
@@ -330,7 +459,7 @@ def dedup_lines(
             names = [x for x in batch.schema.names if x != f"{tag}l"]
             columns = [pa.array(out, pa.string()) if x == text_col else batch.column(x) for x in names]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(n, pa.int64()), pa.array(m, pa.int64())], [*names, "n_lines", "n_removed"]
+                [*columns, pa.array(n, pa.int64()), pa.array(m, pa.int64())], [*names, *counts]
             )
 
     return small_batches(joined).mapInArrow(run, schema)

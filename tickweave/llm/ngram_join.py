@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.llm import hashing
-from tickweave.llm.blobs import BLOCKS, SUMMARY, Bloom, Dealer, merged, records, runs, slices
+from tickweave.llm.blobs import BLOCKS, SUMMARY, Bloom, Dealer, Tally, merged, records, runs, slices
 from tickweave.llm.components import components
 from tickweave.llm.registry import query
 from tickweave.llm.shared import documents, materialise, partitions, shards, small_batches
@@ -150,10 +150,10 @@ class _Join:
         """``doc_id, th, n, x, sig`` of every document, and the counts of all cells of shingles."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            count = np.zeros(CELLS, np.uint32)
+            count = Tally(CELLS)
             for batch in shards(batches, "text"):
                 sets = shingle_sets(batch.column("text"))
-                count += np.bincount(cells(np.concatenate(sets)), minlength=CELLS).astype(np.uint32)
+                count.add(cells(np.concatenate(sets)))
                 ids = np.array([class_id(s) for s in sets], np.uint64).view(np.int64)
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
@@ -168,7 +168,7 @@ class _Join:
                     ],
                     ["doc_id", "th", "n", "x", "sig", "slice", "part"],
                 )
-            part = slices(count)
+            part = slices(count.counts())
             nothing = [*[pa.nulls(part.num_rows, pa.int64())] * 4, pa.nulls(part.num_rows, pa.list_(pa.int64()))]
             names = ["doc_id", "th", "n", "x", "sig", "slice", "part"]
             yield pa.RecordBatch.from_arrays([*nothing, *part.columns], names)

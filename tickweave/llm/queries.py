@@ -1,6 +1,21 @@
-"""Imports every module that registers a query of this subpackage."""
+"""Imports every module that registers a query of this subpackage, and the pipeline."""
 
+import corpus_pipeline
 from tickweave.llm import decontam, exact_dedup, line_dedup, ngram_join, packing, pii, suffix, tokens, toxicity, warc
 from tickweave.llm.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "decontam", "exact_dedup", "line_dedup", "ngram_join", "packing", "pii", "suffix", "tokens", "toxicity", "warc"]
+__all__ = [
+    "QUERIES",
+    "SQL",
+    "corpus_pipeline",
+    "decontam",
+    "exact_dedup",
+    "line_dedup",
+    "ngram_join",
+    "packing",
+    "pii",
+    "suffix",
+    "tokens",
+    "toxicity",
+    "warc",
+]

@@ -13,7 +13,7 @@ from tickweave.session import materialise
 __all__ = ["documents", "materialise", "partitions", "shards", "small_batches"]
 
 #: Bytes of text that one vectorised step inside a task works on.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

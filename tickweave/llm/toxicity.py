@@ -143,7 +143,7 @@ def fit(
         for batch in batches:
             own += [np.frombuffer(x, np.int32) for x in batch.column("own").to_pylist()]
             labels += batch.column("label").to_pylist()
-        model = ftrl(own, np.array(labels, float), bits) if labels else Model(np.zeros(0, np.int32), np.zeros(0), -35.0, bits)
+        model = ftrl(own, np.array(labels, float), bits)
         yield pa.RecordBatch.from_pydict(
             {
                 "places": pa.array([model.places.tobytes()], pa.binary()),
@@ -154,17 +154,19 @@ def fit(
 
     # ids in hash order, so the rows come in the same order whatever the partitions were
     one = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "own")
+    if rows.isEmpty():
+        return Model(np.zeros(0, np.int32), np.zeros(0), -35.0, bits)
     row = one.mapInArrow(train, "places binary, weights binary, bias double").collect()[0]
     return Model(np.frombuffer(row.places, np.int32), np.frombuffer(row.weights), row.bias, bits)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``score``, the chance of label 1 from 0 to 1; null and empty texts too.
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """All rows and columns of ``docs`` with a column ``name``, the chance of label 1 from 0 to 1; null and empty texts too.
 
-    A column of ``docs`` named ``score`` is replaced.
+    A column of that name in ``docs`` is replaced.
     """
-    kept = docs.drop("score")
-    schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
+    kept = docs.drop(name)
+    schema = StructType([*kept.schema.fields, StructField(name, DoubleType())])
     used, weight, bias, bits = model.places, model.weights, model.bias, model.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +181,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             place, doc = distinct(place[keep], doc[keep], bits)
             total = np.bincount(doc, dense[place], batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(_sigmoid(bias + total))], [*batch.schema.names, "score"]
+                [*batch.columns, pa.array(_sigmoid(bias + total))], [*batch.schema.names, name]
             )
 
     return small_batches(kept).mapInArrow(run, schema)
