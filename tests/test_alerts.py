@@ -17,6 +17,16 @@ def test_price_alerts_and_cooldown(spark):
     assert [r.blocked for r in out] == [False] * 3 + [True] * 3 + [False] * 2
 
 
+def test_a_crash_before_midnight_blocks_the_next_day(spark):
+    rows = [("X", D, 1000 * i, 100.0) for i in range(3)] + [("X", D, 3000, 90.0)]
+    rows += [("X", D + dt.timedelta(days=2), 4000 + 1000 * i, m) for i, m in enumerate([90.0, 90.0, 80.0, 80.0])]
+    s = spark.createDataFrame(rows, "symbol string, day date, ts_ms long, mid double")
+    out = alerts.price_alerts(s, 1000, crash_ms=2000, cooldown_ms=1500).orderBy("ts_ms").collect()
+    # the move looks back over midnight, and the cooldown reaches over it
+    assert [r.crash for r in out] == [False] * 3 + [True, True, False, True, True]
+    assert [r.blocked for r in out] == [False] * 3 + [True, True, True, True, True]
+
+
 def test_account_alerts(spark):
     pnl = [0.02, -0.01, -0.01, -0.01, 0.01, 0.5, 0.0]
     df = spark.createDataFrame([(1, 1000 * i, i, p) for i, p in enumerate(pnl)], "u int, ts_ms long, seq int, pnl double")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickweave.operators.orders import day_table
 from tickweave.operators.scan import Running, scan
+from tickweave.session import materialise
 
 # Thresholds and cooldowns.
 JUMP, JUMP_MS = 0.01, 1_000
@@ -21,19 +23,38 @@ def price_alerts(
     snaps: DataFrame, grid_ms: int, jump=JUMP, jump_ms=JUMP_MS, crash=CRASH, crash_ms=CRASH_MS, cooldown_ms=CRASH_COOLDOWN_MS,
     price: str = "mid", keys=("symbol", "day"), order="ts_ms",
 ) -> DataFrame:
-    """``price_jump``, ``crash``, and ``blocked`` while the last crash is within the cooldown. For grid data."""
+    """``price_jump``, ``crash``, and ``blocked`` while the last crash is within the cooldown. For grid data.
+
+    Midnight is no border. A day borrows the last rows before it, as many as the longer move
+    looks back over, and the last crash is carried from day to day, one row each.
+    """
+    sym, day = keys
+    back = max(jump_ms // grid_ms, crash_ms // grid_ms, 1)
+    days = day_table(snaps, keys, order)
     w = Window.partitionBy(*keys).orderBy(order)
+    own = snaps.join(days.select(*keys, "_off", "_n"), list(keys))
+    own = own.withColumn("_pos", F.col("_off") + F.row_number().over(w) - 1)
+    ends = own.where(F.col("_pos") >= F.col("_off") + F.col("_n") - back).select(sym, "_pos", F.col(price).alias("_price"))
+    wanted = days.where("_off > 0").select(*keys, F.explode(F.sequence(F.greatest(F.col("_off") - back, F.lit(0)), F.col("_off") - 1)).alias("_pos"))
+    borrowed = wanted.join(ends, [sym, "_pos"])
+    both = own.drop("_off", "_n").withColumn("_price", F.col(price)).unionByName(borrowed, allowMissingColumns=True)
+    by_pos = Window.partitionBy(*keys).orderBy("_pos")
 
     def move(ms: int) -> Column:
-        return F.try_divide(F.col(price), F.lag(price, max(ms // grid_ms, 1)).over(w)) - 1
+        return F.try_divide(F.col("_price"), F.lag("_price", max(ms // grid_ms, 1)).over(by_pos)) - 1
 
-    out = snaps.withColumns({"_j": move(jump_ms), "_c": move(crash_ms)})
+    out = both.withColumns({"_j": move(jump_ms), "_c": move(crash_ms)}).where(F.col(order).isNotNull())
     out = out.withColumns(
         {"price_jump": F.coalesce(F.abs("_j") > jump, F.lit(False)), "crash": F.coalesce(F.col("_c") <= -crash, F.lit(False))}
     )
-    last = F.max(F.when(F.col("crash"), F.col(order))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = materialise(out.select(*snaps.columns, "price_jump", "crash"), "moves")
+    ends = out.groupBy(*keys).agg(F.max(F.when(F.col("crash"), F.col(order))).alias("_last"))
+    earlier = Window.partitionBy(sym).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, F.max("_last").over(earlier).alias("_before"))
+    here = F.max(F.when(F.col("crash"), F.col(order))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.coalesce(here, F.col("_before"))
     blocked = F.coalesce(F.col(order) - last <= cooldown_ms, F.lit(False))
-    return out.withColumn("blocked", blocked).drop("_j", "_c")
+    return out.join(carried, list(keys)).withColumn("blocked", blocked).drop("_before")
 
 
 def account_alerts(

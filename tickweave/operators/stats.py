@@ -13,7 +13,6 @@ from tickweave.session import materialise
 
 EPS = 1e-8  # fixed value: below this a deviation counts as constant
 CLIP = 10.0  # default symmetric clip
-MAX_BUNDLE = 100_000  # symbols a single bundle record may hold
 
 
 def norm_stats(train: DataFrame, features, by=("symbol",), nan_policy: str = "neutral") -> DataFrame:
@@ -116,8 +115,6 @@ def check_records(records: DataFrame, width: int, checksum: str, clip: float | N
     ).first()
     if not row.n:
         raise schemas.ContractError("bundle: no symbols")
-    if row.n > MAX_BUNDLE:
-        raise schemas.ContractError(f"bundle: {row.n} symbols do not fit one record; keep the long table")
     if row.versions != [schemas.FEATURE_VERSION]:
         raise schemas.ContractError(f"bundle: versions {row.versions}")
     if row.sums != [checksum]:
@@ -130,16 +127,15 @@ def check_records(records: DataFrame, width: int, checksum: str, clip: float | N
 
 
 def bundle(parts: list[DataFrame], features, clip: float | None = None) -> DataFrame:
-    """One record holding every symbol's statistics, after the agreement checks."""
+    """One record per symbol under a common head, after the agreement checks; ``by_symbol`` holds its statistics."""
     records = materialise(reduce(lambda a, b: a.unionByName(b), parts), "records")
     checksum = schemas.contract_checksum(names=features)
     agreed = check_records(records, len(features), checksum, clip)
-    entry = F.struct("symbol", F.struct("mean", "std", "n_train_rows"))
-    return records.agg(F.map_from_entries(F.collect_list(entry)).alias("by_symbol")).select(
+    return records.select(
         F.lit(schemas.FEATURE_VERSION).alias("feature_version"),
         F.lit(checksum).alias("feature_spec_checksum"),
         F.lit(agreed).alias("clip"),
-        "by_symbol",
+        F.create_map("symbol", F.struct("mean", "std", "n_train_rows")).alias("by_symbol"),
     )
 
 

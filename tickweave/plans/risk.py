@@ -10,19 +10,21 @@ from tickweave.plans import sqlviews as S
 from tickweave.plans import views as V
 from tickweave.plans.market import GRID_MS, day_text, snaps
 from tickweave.plans.registry import query
+from tickweave.session import materialise
 
-_W = "over (partition by symbol, day order by ts_ms)"
+_W = "over (partition by symbol order by ts_ms)"
 
 
 @query(
     "risk_price_alerts",
     f"""with {S.QUOTES}, {S.GRID}, {S.TOP},
 pa as (select *, abs(mid/nullif(lag(mid,1) {_W},0)-1) > 0.5 as j, mid/nullif(lag(mid,5) {_W},0)-1 <= -0.3 as c from top),
-pb as (select *, max(case when c then ts_ms end) over (partition by symbol, day order by ts_ms rows unbounded preceding) as last from pa)
+pb as (select *, max(case when c then ts_ms end) over (partition by symbol order by ts_ms rows unbounded preceding) as last from pa)
 select symbol, cast(day as varchar) as day, ts_ms, coalesce(j,false) as price_jump, coalesce(c,false) as crash, coalesce(ts_ms-last<=1800000,false) as blocked from pb""",
 )
 def risk_price_alerts(spark, d):
-    s = snaps(spark, d, quotes_only=True)
+    # several steps read the snapshots, so they are stored first
+    s = materialise(snaps(spark, d, quotes_only=True), "snapshots")
     out = alerts.price_alerts(s, GRID_MS, jump=0.5, jump_ms=GRID_MS, crash=0.3, crash_ms=5 * GRID_MS, cooldown_ms=1_800_000)
     return out.select("symbol", day_text(), "ts_ms", "price_jump", "crash", "blocked")
 
