@@ -120,6 +120,14 @@ def column_issue(df: DataFrame, required, stream: str) -> list[str]:
     return sorted(missing_columns(df, required))
 
 
+def schema_issues(df: DataFrame, required, stream: str, keys=("symbol", "day")) -> DataFrame:
+    """An issue row per missing column and day, so that a schema fault reaches the gate like any other."""
+    gone = column_issue(df, required, stream)
+    issues = [issue(f"missing column {c}", ERROR, F.lit(1)) for c in gone]
+    days = df.select(*keys).distinct()
+    return to_issues(days if gone else days.limit(0), issues or [issue("missing column", ERROR, F.lit(1))], stream, keys)
+
+
 def empty_days(expected: DataFrame, df: DataFrame, stream: str, severity: str, keys=("symbol", "day")) -> DataFrame:
     """Expected days without a single row."""
     have = df.select(*keys).distinct()

@@ -1,3 +1,3 @@
 """Registered queries over the driver tables, with their reference SQL."""
 
-from tickweave.plans import checks, costs, files, logs, market, risk, scores, slabs, streams  # noqa: F401
+from tickweave.plans import checks, costs, files, logs, market, risk, scores, slabs, stores, streams  # noqa: F401
