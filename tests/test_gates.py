@@ -97,3 +97,19 @@ def test_parity(spark):
     assert not gates.parity_verdict(gates.score_parity(a, flip)).first().passed
     short = a.where("obs_id = 1")
     assert not gates.parity_verdict(gates.score_parity(a, short)).first().action_match
+
+
+def test_small_samples_get_the_exact_p(spark):
+    import itertools
+
+    a, b = [1.5, 4.5, 6.5], [1.0, 2.0, 3.0, 4.0, 5.0]
+    u = sum(x > y for x in a for y in b)
+    values = a + b
+    every = [sum(values[i] > values[j] for i in c for j in range(8) if j not in c) for c in itertools.combinations(range(8), 3)]
+    df = spark.createDataFrame([("x", v) for v in a] + [("t", v) for v in (1.0, 2.0, 9.0)], "candidate string, reward double")
+    base = spark.createDataFrame([("base", v) for v in b], "candidate string, reward double")
+    got = {r.candidate: r for r in gates.rank_test(df, base).collect()}
+    assert got["x"].u == u and got["x"].p_value == pytest.approx(sum(v >= u for v in every) / len(every))
+    # with ties the normal form stays
+    assert got["t"].p_value == pytest.approx(0.5 * math.erfc(got["t"].z / math.sqrt(2)))
+    assert gates.u_tail(2, 2) == pytest.approx((1.0, 5 / 6, 4 / 6, 2 / 6, 1 / 6))
