@@ -173,3 +173,20 @@ def test_version_contract(spark):
     for bad in ("0.0.9", None):
         with pytest.raises(schemas.ContractError):
             schemas.require_version(df.union(spark.createDataFrame([(bad,)], "feature_version string")))
+
+
+def test_parts_give_the_same_positions_as_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, dt.date(2024, 1, 1 + int(t) // 100), int(t), i, float(i)) for i, (k, t) in enumerate(zip(rng.choice(list("aab"), 400), rng.integers(0, 1000, 400)))]
+    df = spark.createDataFrame(rows, "symbol string, day date, ts_ms long, seq long, x double")
+
+    def run(fn, *args, **kw):
+        both = [fn(df, *args, part=p, **kw) for p in (None, "day")]
+        cols = sorted(both[0].columns)
+        return [sorted(map(tuple, b.select(cols).collect())) for b in both]
+
+    for fn, args in ((splits.chrono_split, (0.7,)), (splits.holdout_split, (1.0, 60)), (splits.tail_rows, (37,)), (splits.sample_windows, (9, 12, 3))):
+        one, two = run(fn, *args)
+        assert one == two and one
+    plan = splits.chrono_split(df, part="day")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickweave.operators.scan import Running, blocked, positions, scan
@@ -27,35 +27,71 @@ def slab_sizes(df: DataFrame, keys) -> DataFrame:
     return materialise(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total")), "sizes")
 
 
-def with_positions(df: DataFrame, keys, order, blocks=None) -> DataFrame:
-    """``pos`` (zero based) and ``n_total`` of the slab each row belongs to."""
+def part_offsets(df: DataFrame, keys, part: str) -> DataFrame:
+    """Rows ``_n`` of every part of a slab, the rows ``_off`` before it, and ``n_total``; one row a part, written."""
     keys = list(keys)
+    sizes = df.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n"))
+    slab = Window.partitionBy(*keys)
+    before = slab.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return materialise(
+        sizes.withColumns({"_off": F.coalesce(F.sum("_n").over(before), F.lit(0)), "n_total": F.sum("_n").over(slab)}), "offsets"
+    )
+
+
+def _numbered(df: DataFrame, offsets: DataFrame, keys, part: str, order) -> DataFrame:
+    """``pos`` and ``n_total`` of the rows of the parts in ``offsets``; only these parts are sorted, each by itself."""
+    keys = list(keys)
+    held = df.join(offsets.select(*keys, part, "_off", "n_total"), [*keys, part])
+    within = Window.partitionBy(*keys, part).orderBy(*order)
+    return held.withColumn("pos", F.col("_off") + F.row_number().over(within) - 1).drop("_off")
+
+
+def with_positions(df: DataFrame, keys, order, blocks=None, part: str | None = None) -> DataFrame:
+    """``pos`` (zero based) and ``n_total`` of the slab each row belongs to.
+
+    With ``part``, a column whose order is that of the rows (a day), positions are offsets of
+    parts plus the place inside one: no range sort over the slab and nothing written but one
+    row a part. Without it, rows are placed in blocks, for slabs of any shape.
+    """
+    keys = list(keys)
+    if part is not None:
+        return _numbered(df, part_offsets(df, keys, part), keys, part, order)
     placed = positions(df, keys, order, blocks=blocks)
     return placed.join(slab_sizes(df, keys), keys)
 
 
-def chrono_split(df: DataFrame, ratio: float = 0.8, keys=("symbol",), order=("ts_ms", "seq"), blocks=None) -> DataFrame:
+def chrono_split(
+    df: DataFrame, ratio: float = 0.8, keys=("symbol",), order=("ts_ms", "seq"), blocks=None, part: str | None = None
+) -> DataFrame:
     """The first ``int(n * ratio)`` rows of each slab are ``train``, the rest ``eval``."""
     if not 0.5 <= ratio < 1.0:
         raise ValueError(f"ratio must be in [0.5, 1.0), got {ratio}")
     cut = F.floor(F.col("n_total") * F.lit(float(ratio)))
-    return with_positions(df, keys, order, blocks).withColumn("split", F.when(F.col("pos") < cut, "train").otherwise("eval"))
+    placed = with_positions(df, keys, order, blocks, part)
+    return placed.withColumn("split", F.when(F.col("pos") < cut, "train").otherwise("eval"))
 
 
 def holdout_split(
-    df: DataFrame, days: float, rows_per_day: int = ROWS_PER_DAY, keys=("symbol",), order=("ts_ms", "seq"), blocks=None
+    df: DataFrame, days: float, rows_per_day: int = ROWS_PER_DAY, keys=("symbol",), order=("ts_ms", "seq"), blocks=None,
+    part: str | None = None,
 ) -> DataFrame:
     """The last ``round(days * rows_per_day)`` rows are ``holdout``, earlier ones ``selection``."""
     n_hold = int(round(days * rows_per_day))
-    placed = with_positions(df, keys, order, blocks)
+    placed = with_positions(df, keys, order, blocks, part)
     short = F.raise_error(F.concat(F.lit(f"holdout of {n_hold} rows is not below slab size "), F.col("n_total").cast("string")))
     total = F.when(F.col("n_total") > n_hold, F.col("n_total")).otherwise(short.cast("long"))
     return placed.withColumn("split", F.when(F.col("pos") >= total - n_hold, "holdout").otherwise("selection"))
 
 
-def tail_rows(df: DataFrame, n: int, keys=("symbol",), order=("ts_ms", "seq"), blocks=None) -> DataFrame:
-    """The last ``n`` rows of each slab, by position."""
-    return with_positions(df, keys, order, blocks).where(F.col("pos") >= F.col("n_total") - n)
+def tail_rows(
+    df: DataFrame, n: int, keys=("symbol",), order=("ts_ms", "seq"), blocks=None, part: str | None = None
+) -> DataFrame:
+    """The last ``n`` rows of each slab, by position. With ``part`` only the parts that hold them are read and sorted."""
+    first = F.col("n_total") - n
+    if part is None:
+        return with_positions(df, keys, order, blocks).where(F.col("pos") >= first)
+    touched = part_offsets(df, keys, part).where(F.col("_off") + F.col("_n") > first)
+    return _numbered(df, touched, keys, part, order).where(F.col("pos") >= first)
 
 
 def check_window(train_start: str, train_end: str, eval_start: str, eval_end: str) -> None:
@@ -115,17 +151,23 @@ def require_every_fold(counts: DataFrame, n_folds: int) -> None:
 
 
 def sample_windows(
-    df: DataFrame, n_samples: int, length: int, seed: int, keys=("symbol",), order=("ts_ms", "seq"), blocks=None
+    df: DataFrame, n_samples: int, length: int, seed: int, keys=("symbol",), order=("ts_ms", "seq"), blocks=None,
+    part: str | None = None,
 ) -> DataFrame:
     """``n_samples`` windows of ``length`` consecutive rows: slab uniform, start uniform.
 
     Each wanted position becomes one row, so the slab is met by an equi-join on
-    ``(key, pos)`` and no range condition is needed.
+    ``(key, pos)`` and no range condition is needed. With ``part`` only the parts that the
+    windows touch are read and sorted.
     """
     keys = list(keys)
     spark = df.sparkSession
-    placed = positions(df, keys, order, blocks=blocks)
-    sizes = slab_sizes(df, keys).where(F.col("n_total") > length + 1)
+    if part is None:
+        placed, sizes = positions(df, keys, order, blocks=blocks), slab_sizes(df, keys)
+    else:
+        offsets = part_offsets(df, keys, part)
+        sizes = materialise(offsets.select(*keys, "n_total").distinct(), "sizes")
+    sizes = sizes.where(F.col("n_total") > length + 1)
     ranked = positions(sizes, [], keys, "_slab")
     n_slabs = F.lit(sizes.count())
     draws = spark.range(n_samples).withColumnRenamed("id", "sample_id")
@@ -133,6 +175,12 @@ def sample_windows(
     starts = draws.join(ranked, "_slab").withColumn(
         "start", hash_mod(F.col("n_total") - length - 1, F.lit(seed), F.lit("start"), F.col("sample_id"))
     )
+    if part is not None:
+        # one row a sample meets one row a part
+        near = offsets.join(starts.select(*keys, "start"), keys)
+        near = near.where((F.col("_off") < F.col("start") + length) & (F.col("_off") + F.col("_n") > F.col("start")))
+        touched = near.select(*offsets.columns).distinct()
+        placed = _numbered(df, touched, keys, part, order).drop("n_total")
     wanted = starts.select(
         *keys, "sample_id", "start", F.explode(F.sequence(F.col("start"), F.col("start") + length - 1)).alias("pos")
     )

@@ -20,7 +20,7 @@ _POS = f"""with {S.QUOTES}, x as (
     f"{_POS} select symbol, seq, pos, case when pos < floor(n*cast(0.8 as double)) then 'train' else 'eval' end as split from x",
 )
 def chrono_split(spark, d):
-    return splits.chrono_split(V.quotes(spark, d), 0.8).select("symbol", "seq", "pos", "split")
+    return splits.chrono_split(V.quotes(spark, d), 0.8, part="day").select("symbol", "seq", "pos", "split")
 
 
 @query(
@@ -28,7 +28,7 @@ def chrono_split(spark, d):
     f"{_POS} select symbol, split, count(*) as n_rows, min(pos) as first_pos, max(pos) as last_pos, sum(seq)::bigint as seq_sum from (select *, case when pos >= n-90 then 'holdout' else 'selection' end as split from x) group by 1,2",
 )
 def holdout_split(spark, d):
-    out = splits.holdout_split(V.quotes(spark, d), days=1.5, rows_per_day=60)
+    out = splits.holdout_split(V.quotes(spark, d), days=1.5, rows_per_day=60, part="day")
     return out.groupBy("symbol", "split").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"),
         F.sum("seq").alias("seq_sum"),
@@ -37,7 +37,7 @@ def holdout_split(spark, d):
 
 @query("tail_rows", f"{_POS} select symbol, seq, pos, bid_px from x where pos >= n-50")
 def tail_rows(spark, d):
-    return splits.tail_rows(V.quotes(spark, d), 50).select("symbol", "seq", "pos", "bid_px")
+    return splits.tail_rows(V.quotes(spark, d), 50, part="day").select("symbol", "seq", "pos", "bid_px")
 
 
 def _draw(n: str, tag: str) -> str:
@@ -54,7 +54,7 @@ s2 as (select sample_id, symbol, {_draw("n-41", "start")} as start from s1 join
 select s2.sample_id, x.symbol, s2.start, x.pos, x.seq, x.bid_px from s2 join x on x.symbol=s2.symbol and x.pos between s2.start and s2.start+39""",
 )
 def window_sample(spark, d):
-    out = splits.sample_windows(V.quotes(spark, d), n_samples=25, length=40, seed=7)
+    out = splits.sample_windows(V.quotes(spark, d), n_samples=25, length=40, seed=7, part="day")
     return out.select("sample_id", "symbol", "start", "pos", "seq", "bid_px")
 
 
@@ -150,7 +150,7 @@ def zscore_features(spark, d):
     q = q.withColumn(
         "ratio", F.when(F.col("seq") % 50 == 3, F.lit(float("inf"))).otherwise(F.col("bid_sz") / F.col("ask_sz"))
     )
-    out = stats.normalised_features(splits.chrono_split(q, 0.8), _NF, dtype="double")
+    out = stats.normalised_features(splits.chrono_split(q, 0.8, part="day"), _NF, dtype="double")
     return out.select("symbol", "seq", "split", *r(_NF, 5))
 
 
@@ -162,7 +162,7 @@ select symbol, count(*) filter (tr) as train_rows, count(*) filter (not tr) as e
  cast(0.8 as double) as split_ratio, '0.1.0' as feature_version from y group by 1""",
 )
 def split_manifest(spark, d):
-    out = splits.chrono_split(V.quotes(spark, d), 0.8)
+    out = splits.chrono_split(V.quotes(spark, d), 0.8, part="day")
     m = stats.manifest(out, 0.8, ["bid_px", "ask_px"])
     return m.select(
         "symbol", "train_rows", "eval_rows", "train_start_ms", "train_end_ms", "eval_start_ms", "eval_end_ms",
@@ -217,7 +217,7 @@ b as (select symbol, max(ts_ms) filter (tr) as first_end_ms, min(ts_ms) filter (
 select symbol, first_end_ms, second_start_ms, second_start_ms <= first_end_ms as violated from b""",
 )
 def split_order_violations(spark, d):
-    b = materialise(splits.split_bounds(splits.chrono_split(V.quotes(spark, d), 0.8)), "bounds")
+    b = materialise(splits.split_bounds(splits.chrono_split(V.quotes(spark, d), 0.8, part="day")), "bounds")
     bad = splits.order_violations(b).select("symbol", F.lit(True).alias("violated"))
     wide = b.groupBy("symbol").agg(
         F.max(F.when(F.col("split") == "train", F.col("end_ms"))).alias("first_end_ms"),
