@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tickweave.llm.shared import lean, lean_group
+
 SLICES = 64
 SUMMARY = "slice int, part binary"
 BLOCKS = "bucket int, block binary"
@@ -45,7 +47,7 @@ def merged(parts: DataFrame, size: int, dtype: type, join: Callable) -> np.ndarr
         return pa.table({"slice": table.column("slice")[:1], "part": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(size, dtype)
-    for row in parts.select("slice", "part").groupBy("slice").applyInArrow(reduce, SUMMARY).collect():
+    for row in parts.select("slice", "part").groupBy("slice").applyInArrow(lean_group(reduce), SUMMARY).collect():
         out[row.slice * each : (row.slice + 1) * each] = np.frombuffer(row.part, dtype)
     return out
 
@@ -53,7 +55,7 @@ def merged(parts: DataFrame, size: int, dtype: type, join: Callable) -> np.ndarr
 class Tally:
     """Counts how often each of ``cells`` numbers occurs; many small additions are counted in one go."""
 
-    def __init__(self, cells: int, held: int = 1 << 22):
+    def __init__(self, cells: int, held: int = 1 << 20):
         self.total, self.limit, self.held, self.size = np.zeros(cells, np.uint32), held, [], 0
 
     def add(self, numbers: np.ndarray) -> None:
@@ -72,7 +74,7 @@ class Tally:
 class Bloom:
     """A set of 64-bit values with false positives but no misses, of fixed size whatever its content."""
 
-    BITS = 26
+    BITS = 25
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
@@ -88,13 +90,13 @@ class Bloom:
         """Of the one long column of ``values``; the values are hashes already."""
 
         def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(1 << Bloom.BITS, bool)
+            bits = np.zeros(1 << (Bloom.BITS - 3), np.uint8)
             for batch in batches:
                 for place in Bloom.places(batch.column(0).to_numpy(zero_copy_only=False)):
-                    bits[place] = True
-            yield slices(np.packbits(bits))
+                    np.bitwise_or.at(bits, place >> 3, np.uint8(128) >> (place & 7).astype(np.uint8))
+            yield slices(bits)
 
-        return Bloom(merged(values.mapInArrow(fill, SUMMARY), 1 << (Bloom.BITS - 3), np.uint8, np.bitwise_or))
+        return Bloom(merged(values.mapInArrow(lean(fill), SUMMARY), 1 << (Bloom.BITS - 3), np.uint8, np.bitwise_or))
 
     def __contains__(self, value) -> bool:
         return bool(self.find(np.array([value]))[0])
@@ -108,7 +110,7 @@ class Bloom:
 class Dealer:
     """Collects records and deals them out to buckets by a 64-bit key, a block a bucket at a time."""
 
-    def __init__(self, buckets: int, held_bytes: int = 24 << 20):
+    def __init__(self, buckets: int, held_bytes: int = 8 << 20):
         self.buckets, self.limit, self.held, self.size = buckets, held_bytes, [], 0
 
     def add(self, records: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickweave.llm.registry import query
-from tickweave.llm.shared import documents, materialise
+from tickweave.llm.shared import documents, lean, materialise
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -48,7 +48,7 @@ def misra_gries(keys: DataFrame, column: str, counters: int) -> DataFrame:
             {"value": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())}
         )
 
-    parts = keys.select(column).mapInArrow(summarise, "value binary, n long")
+    parts = keys.select(column).mapInArrow(lean(summarise), "value binary, n long")
     merged = parts.groupBy("value").agg(F.sum("n").alias("n"))
     return merged.orderBy(F.desc("n")).limit(counters).select(F.col("value").alias(column))
 

@@ -29,7 +29,7 @@ from pyspark.sql.types import StructType
 from tickweave.llm import hashing
 from tickweave.llm.blobs import BLOCKS, SUMMARY, Bloom, Dealer, Tally, merged, records, runs, slices
 from tickweave.llm.registry import query
-from tickweave.llm.shared import documents, materialise, partitions, shards, small_batches
+from tickweave.llm.shared import documents, lean, lean_group, materialise, partitions, shards, small_batches
 
 CELLS = 1 << 21
 RECORD = np.dtype([("key", "<u8"), ("line", "<u8"), ("bits", "<u8"), ("n", "<u4"), ("at", "<u4")])
@@ -225,7 +225,7 @@ class _Join:
             nothing = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*nothing, *part.columns], ["doc_id", "th", "ids", "slice", "part"])
 
-        table = materialise(self.docs.mapInArrow(run, f"doc_id long, th long, ids array<long>, {SUMMARY}"), "lines")
+        table = materialise(self.docs.mapInArrow(lean(run), f"doc_id long, th long, ids array<long>, {SUMMARY}"), "lines")
         count = merged(table.where(F.col("slice").isNotNull()), CELLS, np.uint32, np.add)
         rank = np.minimum(255, 8 * np.log2(1.0 + count)).astype(np.uint8)
         self.rare = int(min(255, 8 * np.log2(1.0 + np.clip(8.0 * count.mean(), 32.0, RARE))))
@@ -271,11 +271,11 @@ class _Join:
             r = r[np.r_[True, (r["key"][1:] != r["key"][:-1]) | (r["y"][1:] != r["y"][:-1])]]
             return pa.table({"x": pa.array(r["key"].view(np.int64)), "y": pa.array(r["y"].view(np.int64))})
 
-        dealt = self.docs.mapInArrow(run, BLOCKS).groupBy("bucket")
+        dealt = self.docs.mapInArrow(lean(run), BLOCKS).groupBy("bucket")
         schema = "bucket int, block binary, x long, key long, n long, at long, bits long"
-        found = materialise(dealt.applyInArrow(pairs, schema), "line-groups")
+        found = materialise(dealt.applyInArrow(lean_group(pairs), schema), "line-groups")
         # a pair shares several keys and so comes from several buckets
-        met = found.where(F.col("block").isNotNull()).groupBy("bucket").applyInArrow(once, "x long, y long")
+        met = found.where(F.col("block").isNotNull()).groupBy("bucket").applyInArrow(lean_group(once), "x long, y long")
         return materialise(met, "met-lines"), found.where(F.col("block").isNull()).drop("bucket", "block")
 
     def facts(self, met: DataFrame, large: DataFrame, first: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ class _Join:
                 yield pa.RecordBatch.from_arrays([pa.array(place)], ["place"])
 
         # a class is read where its first line stands
-        wanted = Bloom.of(needed.select("first.doc_id", "first.line").mapInArrow(hashed, "place long"))
+        wanted = Bloom.of(needed.select("first.doc_id", "first.line").mapInArrow(lean(hashed), "place long"))
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in shards(batches, "text"):
@@ -315,7 +315,7 @@ class _Join:
                     ["x", "text", "n", "map"],
                 )
 
-        found = self.docs.mapInArrow(fetch, "x long, text string, n long, map array<long>")
+        found = self.docs.mapInArrow(lean(fetch), "x long, text string, n long, map array<long>")
         one = found.groupBy("x").agg(*[F.first(c).alias(c) for c in ("text", "n", "map")])
         return materialise(one.join(needed, "x"), "line-facts")
 
@@ -330,7 +330,7 @@ class _Join:
 
         other = texts.select(F.col("x").alias("y"), F.col("text").alias("other"))
         both = pairs.join(texts, "x").join(other, "y").select("x", "text", "other")
-        return materialise(both.mapInArrow(check, "x long").distinct(), "late-lines")
+        return materialise(both.mapInArrow(lean(check), "x long").distinct(), "late-lines")
 
     def ordered(self, pairs: DataFrame, facts: DataFrame) -> DataFrame:
         """Pairs that finer maps of their words leave possible: ``x``, the earlier class ``y`` and its first line."""
@@ -430,23 +430,23 @@ def dedup_lines(
     touched, names = Bloom.of(gone.select("th")), rest.columns
     marked = small_batches(rest.withColumn(f"{tag}t", F.xxhash64(rest[text_col].cast("string"))))
 
-    def part(inside: bool) -> DataFrame:
+    def part(inside: bool):
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 hit = touched.find(batch.column(f"{tag}t").to_numpy(zero_copy_only=False)) == inside
                 yield batch.filter(pa.array(hit)).select(names)
 
-        return marked.mapInArrow(choose, rest.schema)
+        return choose
 
-    dirty = part(True)
+    dirty = marked.mapInArrow(lean(part(True)), rest.schema)
     same = dirty[id_col].cast("long").eqNullSafe(g[f"{tag}d"]) & (F.xxhash64(dirty[text_col].cast("string")) == g[f"{tag}h"])
-    dirty = dirty.join(g, same, "left").select(*[dirty[c] for c in rest.columns], f"{tag}l")
-    joined = part(False).withColumn(f"{tag}l", F.lit(None).cast(g.schema[f"{tag}l"].dataType)).unionByName(dirty)
+    dirty = small_batches(dirty.join(g, same, "left").select(*[dirty[c] for c in rest.columns], f"{tag}l"))
     schema = StructType(list(rest.schema.fields)).add(counts[0], "long").add(counts[1], "long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shards(batches, text_col):
-            texts, lost = batch.column(text_col).to_pylist(), batch.column(f"{tag}l").to_pylist()
+            texts = batch.column(text_col).to_pylist()
+            lost = batch.column(f"{tag}l").to_pylist() if f"{tag}l" in batch.schema.names else [None] * len(texts)
             out, n, m = [], [], []
             for text, away in zip(texts, lost, strict=True):
                 parts = text.split("\n") if text is not None else []
@@ -456,13 +456,14 @@ def dedup_lines(
                     out_of = set(away)
                     text = "\n".join(x for i, x in enumerate(parts) if i not in out_of)
                 out.append(text)
-            names = [x for x in batch.schema.names if x != f"{tag}l"]
             columns = [pa.array(out, pa.string()) if x == text_col else batch.column(x) for x in names]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(n, pa.int64()), pa.array(m, pa.int64())], [*names, *counts]
             )
 
-    return small_batches(joined).mapInArrow(run, schema)
+    clean = part(False)
+    untouched = marked.mapInArrow(lean(lambda batches: without(clean(batches))), schema)
+    return untouched.unionByName(dirty.mapInArrow(lean(without), schema))
 
 
 @query("op10_line_dedup")

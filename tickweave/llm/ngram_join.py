@@ -26,7 +26,7 @@ from tickweave.llm import hashing
 from tickweave.llm.blobs import BLOCKS, SUMMARY, Bloom, Dealer, Tally, merged, records, runs, slices
 from tickweave.llm.components import components
 from tickweave.llm.registry import query
-from tickweave.llm.shared import documents, materialise, partitions, shards, small_batches
+from tickweave.llm.shared import documents, lean, lean_group, materialise, partitions, shards, small_batches
 
 CELLS = 1 << 21
 RECORD = np.dtype([("key", "<u8"), ("x", "<u8"), ("n", "<u4"), ("at", "<u4"), ("need", "<u4")])
@@ -174,7 +174,7 @@ class _Join:
             yield pa.RecordBatch.from_arrays([*nothing, *part.columns], names)
 
         schema = f"doc_id long, th long, n long, x long, sig array<long>, {SUMMARY}"
-        table = materialise(self.docs.mapInArrow(run, schema), "sets")
+        table = materialise(self.docs.mapInArrow(lean(run), schema), "sets")
         count = merged(table.where(F.col("slice").isNotNull()), CELLS, np.uint32, np.add)
         return table.where(F.col("slice").isNull()).select("doc_id", "th", "n", "x", "sig"), count
 
@@ -223,9 +223,9 @@ class _Join:
                 }
             )
 
-        dealt = self.docs.mapInArrow(run, BLOCKS).groupBy("bucket")
+        dealt = self.docs.mapInArrow(lean(run), BLOCKS).groupBy("bucket")
         schema = "x long, y long, shared long, need long, key long, n long, at long"
-        return materialise(dealt.applyInArrow(pairs, schema), "shingle-lists")
+        return materialise(dealt.applyInArrow(lean_group(pairs), schema), "shingle-lists")
 
     def verify(self, pairs: DataFrame, facts: DataFrame) -> DataFrame:
         """The similar ones of pairs of classes, as edges ``u, v``; ``facts`` has ``x, n, th, sig``."""
@@ -259,13 +259,13 @@ class _Join:
                     keep.append(den * common >= num * (len(a) + len(b) - common))
                 yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
-        texts = self.docs.mapInArrow(fetch, "th long, text string")
+        texts = self.docs.mapInArrow(lean(fetch), "th long, text string")
         # one text of each class; other tasks may have sent the same one
         texts = needed.join(texts, "th").groupBy("x").agg(F.first("text").alias("s"))
         texts = materialise(texts, "texts")
         other = texts.select(F.col("x").alias("y"), F.col("s").alias("t"))
         both = held.join(texts, "x").join(other, "y").select(F.col("x").alias("u"), F.col("y").alias("v"), "s", "t")
-        return materialise(both.mapInArrow(check, "u long, v long"), "links")
+        return materialise(both.mapInArrow(lean(check), "u long, v long"), "links")
 
     def links(self, count: np.ndarray, table: DataFrame) -> DataFrame:
         num, den = self.num, self.den

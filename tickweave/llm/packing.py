@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from tickweave.llm.registry import query
-from tickweave.llm.shared import documents, shards, small_batches
+from tickweave.llm.shared import documents, lean, shards, small_batches
 from tickweave.llm.vocabulary import WordIds
 
 Cut = tuple[int, int, int]  # item, start in it, length
@@ -203,7 +203,7 @@ def pack(
             ]
             return emit(made, pieces)
 
-        for batch in shards(batches, "text", 8 << 20):
+        for batch in shards(batches, "text", 4 << 20):
             id_type = batch.schema.field("doc_id").type
             ids, borders = encode(batch.column("text"))
             full: list[tuple] = []
@@ -228,7 +228,7 @@ def pack(
         if held:
             yield emit(powers([(i, 0, len(p[2])) for i, p in enumerate(held)]), held)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 @query("op8_packing")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickweave.session import materialise
 
-__all__ = ["documents", "materialise", "partitions", "shards", "small_batches"]
+__all__ = ["documents", "lean", "lean_group", "materialise", "partitions", "shards", "small_batches"]
 
 #: Bytes of text that one vectorised step inside a task works on.
 STEP_BYTES = 1 << 20
@@ -30,6 +32,35 @@ def small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return freed memory to the system; allocators keep it otherwise, and workers are reused by later stages."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(fn: Callable) -> Callable:
+    """A function for ``mapInArrow`` that gives its memory back when its task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from fn(batches)
+        give_back()
+
+    return run
+
+
+def lean_group(fn: Callable) -> Callable:
+    """The same for ``applyInArrow``, after every group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        out = fn(table)
+        give_back()
+        return out
+
+    return run
+
+
 def shards(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Regroup batches so that one holds about ``limit`` bytes of ``column``; a longer text stands alone."""
     held: list[pa.RecordBatch] = []

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tickweave.llm import hashing
 from tickweave.llm.blobs import BLOCKS, Bloom, Dealer, records, runs
 from tickweave.llm.registry import query
-from tickweave.llm.shared import documents, materialise, partitions, shards, small_batches
+from tickweave.llm.shared import documents, lean, lean_group, materialise, partitions, shards, small_batches
 
 #: Bytes of text that one vectorised step works on, few enough for a processor's cache.
 STEP = 512 << 10
@@ -202,7 +202,7 @@ def _facts(docs: DataFrame, length: int, gram: int) -> DataFrame:
             )
 
     longs = "at array<long>, size array<long>, key array<long>, c array<long>"
-    return materialise(docs.mapInArrow(run, f"doc_id long, th long, {longs}").where("size(c) > 0"), "anchors")
+    return materialise(docs.mapInArrow(lean(run), f"doc_id long, th long, {longs}").where("size(c) > 0"), "anchors")
 
 
 def _shared(facts: DataFrame) -> DataFrame:
@@ -238,8 +238,8 @@ def _shared(facts: DataFrame) -> DataFrame:
             }
         )
 
-    dealt = facts.select("key", "c").mapInArrow(deal, BLOCKS).groupBy("bucket")
-    return materialise(dealt.applyInArrow(settle, "c long, settled boolean, twice boolean"), "contexts")
+    dealt = facts.select("key", "c").mapInArrow(lean(deal), BLOCKS).groupBy("bucket")
+    return materialise(dealt.applyInArrow(lean_group(settle), "c long, settled boolean, twice boolean"), "contexts")
 
 
 def _found(docs: DataFrame, shared: DataFrame, length: int, gram: int) -> DataFrame:
@@ -280,8 +280,8 @@ def _found(docs: DataFrame, shared: DataFrame, length: int, gram: int) -> DataFr
         c = table.column("c").take(pa.array(keep, pa.int64()))
         return pa.table({"c": c, "runs": pa.array([own[i] for i in keep], pa.list_(pa.int64()))})
 
-    met = docs.mapInArrow(fetch, "bucket int, c long, bytes binary").join(open_, "c")
-    found = met.select("bucket", "c", "bytes", "twice").groupBy("bucket").applyInArrow(search, "c long, runs array<long>")
+    met = docs.mapInArrow(lean(fetch), "bucket int, c long, bytes binary").join(open_, "c")
+    found = met.select("bucket", "c", "bytes", "twice").groupBy("bucket").applyInArrow(lean_group(search), "c long, runs array<long>")
     return settled.unionByName(materialise(found, "repeats"))
 
 
@@ -311,7 +311,8 @@ def remove_repeats(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            texts, hits = batch.column("text").to_pylist(), batch.column("hits").to_pylist()
+            texts = batch.column("text").to_pylist()
+            hits = batch.column("hits").to_pylist() if "hits" in batch.schema.names else [None] * len(texts)
             for text, own in zip(texts, hits, strict=True):
                 raw = (text or "").encode()
                 pieces = []
@@ -343,15 +344,13 @@ def remove_repeats(
             for batch in batches:
                 yield batch.filter(pa.array(touched.find(batch.column("th").to_numpy(zero_copy_only=False)) == inside))
 
-        return slim.mapInArrow(run, slim.schema)
+        return run
 
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>, kept binary"
-    kind = hits.schema["hits"].dataType
-    clean = part(False).select("doc_id", "text", F.lit(None).cast(kind).alias("hits"))
-    dirty = part(True)
+    clean, dirty = part(False), slim.mapInArrow(lean(part(True)), slim.schema)
     same = dirty["doc_id"].eqNullSafe(hits["doc_id"]) & (dirty["th"] == hits["th"])
     dirty = dirty.join(hits, same, "left").select(dirty["doc_id"], dirty["text"], hits["hits"])
-    return clean.unionByName(dirty).mapInArrow(cut, out)
+    return slim.mapInArrow(lean(lambda batches: cut(clean(batches))), out).unionByName(dirty.mapInArrow(lean(cut), out))
 
 
 @query("op6_suffix_dedup")

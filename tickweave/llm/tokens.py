@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickweave.llm.registry import query
-from tickweave.llm.shared import documents, materialise, shards, small_batches
+from tickweave.llm.shared import documents, lean, materialise, shards, small_batches
 
 WIDEN = 4
 
@@ -94,10 +94,10 @@ def _spliced(long: DataFrame, model: str, chunk: int, overlap: int) -> DataFrame
                 ["row", "at", "head", "head_no", "tail", "tail_no", "n"],
             )
 
-    chunks = long.select("row", "text").mapInArrow(cut, "row long, at long, text string").repartition("row", "at")
+    chunks = long.select("row", "text").mapInArrow(lean(cut), "row long, at long, text string").repartition("row", "at")
     ints = "array<long>"
     coded = chunks.mapInArrow(
-        encode, f"row long, at long, head {ints}, head_no {ints}, tail {ints}, tail_no {ints}, n long"
+        lean(encode), f"row long, at long, head {ints}, head_no {ints}, tail {ints}, tail_no {ints}, n long"
     )
     order = Window.partitionBy("row").orderBy("at")
     last = F.lead("at").over(order).isNull()
@@ -170,7 +170,7 @@ def token_counts(
             )
 
     counted = materialise(
-        rows.mapInArrow(count, f"row long, doc_id {kind}, n_bytes long, n_tokens long, text string"), "counts"
+        rows.mapInArrow(lean(count), f"row long, doc_id {kind}, n_bytes long, n_tokens long, text string"), "counts"
     )
     parts = [counted.where(F.col("n_tokens").isNotNull()).select("row", "n_tokens")]
     todo = counted.where(F.col("n_tokens").isNull()).select("row", "text")

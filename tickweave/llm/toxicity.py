@@ -22,7 +22,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tickweave.llm import hashing
 from tickweave.llm.registry import query
-from tickweave.llm.shared import documents, materialise, shards, small_batches
+from tickweave.llm.shared import documents, lean, materialise, shards, small_batches
 
 BITS = 20
 TRAIN_ROWS = 16_000
@@ -136,7 +136,7 @@ def fit(
 
     # at most train_rows ids: bounded, so they may be broadcast
     sample = small_batches(texts.join(F.broadcast(chosen), "doc_id"))
-    rows = materialise(sample.mapInArrow(features, "doc_id long, label int, own binary"), "train-features")
+    rows = materialise(sample.mapInArrow(lean(features), "doc_id long, label int, own binary"), "train-features")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, labels = [], []
@@ -156,7 +156,7 @@ def fit(
     one = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "own")
     if rows.isEmpty():
         return Model(np.zeros(0, np.int32), np.zeros(0), -35.0, bits)
-    row = one.mapInArrow(train, "places binary, weights binary, bias double").collect()[0]
+    row = one.mapInArrow(lean(train), "places binary, weights binary, bias double").collect()[0]
     return Model(np.frombuffer(row.places, np.int32), np.frombuffer(row.weights), row.bias, bits)
 
 
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
                 [*batch.columns, pa.array(_sigmoid(bias + total))], [*batch.schema.names, name]
             )
 
-    return small_batches(kept).mapInArrow(run, schema)
+    return small_batches(kept).mapInArrow(lean(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", **more) -> DataFrame:

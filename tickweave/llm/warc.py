@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.llm.registry import query
-from tickweave.llm.shared import documents, materialise, shards, small_batches
+from tickweave.llm.shared import documents, lean, materialise, shards, small_batches
 from tickweave.session import new_path
 
 # fixed values of the seekable format and of WARC 1.1
@@ -208,7 +208,7 @@ def write_bundles(
         if bundle:
             yield end_bundle()
 
-    return materialise(small_batches(with_originals(pages, least)).mapInArrow(write, INDEX), "warc-index")
+    return materialise(small_batches(with_originals(pages, least)).mapInArrow(lean(write), INDEX), "warc-index")
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def read_records(index: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     places = index.select("bundle", "frame", "at", "length")
-    return places.repartition("bundle").sortWithinPartitions("bundle", "frame", "at").mapInArrow(read, READ)
+    return places.repartition("bundle").sortWithinPartitions("bundle", "frame", "at").mapInArrow(lean(read), READ)
 
 
 @query(
