@@ -111,3 +111,12 @@ def test_split_sends_every_row_to_one_sink(spark, data):
     ok, bad = run.results(spark, out, "passed"), run.results(spark, out, "rejected")
     assert ok.count() + bad.count() == len(data)
     assert ok.agg(F.min("bid_px")).first()[0] > 50 >= bad.agg(F.max("bid_px")).first()[0]
+
+
+def test_live_rows_of_an_unknown_key_stop_or_are_marked(spark):
+    live = spark.createDataFrame([("X", 3.0), ("NEW", 5.0)], "symbol string, a double")
+    stats = spark.createDataFrame([("X", 1.0, 2.0)], "symbol string, mean_a double, std_a double")
+    with pytest.raises(Exception, match="no statistics for NEW"):
+        ticks.live_zscore(live, stats, ["a"], 10.0).collect()
+    got = {r.symbol: (r.a, r.known) for r in ticks.live_zscore(live, stats, ["a"], 10.0, known="known").collect()}
+    assert got["X"] == (1.0, True) and got["NEW"][1] is False and got["NEW"][0] is None
