@@ -143,6 +143,14 @@ def walk_forward_folds(df: DataFrame, folds, day="day") -> DataFrame:
     return pruned.join(cal, day)
 
 
+def uncovered(df: DataFrame, folds, day="day") -> DataFrame:
+    """Rows whose day lies in no window of any fold, such as those after the last fold."""
+    held = F.lit(False)
+    for a, b in {w for f in folds for w in ((f[0], f[1]), (f[2], f[3]))}:
+        held = held | F.col(day).between(F.lit(a).cast("date"), F.lit(b).cast("date"))
+    return df.where(~F.coalesce(held, F.lit(False)))
+
+
 def require_every_fold(counts: DataFrame, n_folds: int) -> None:
     """An empty window is an error. Reads one row per fold and split."""
     n = counts.select("fold", "split").distinct().count()

@@ -58,25 +58,31 @@ def window_sample(spark, d):
     return out.select("sample_id", "symbol", "start", "pos", "seq", "bid_px")
 
 
-FOLDS = splits.make_folds("1994-01-01", "2001-12-31", train_days=730, eval_days=180, step_days=365)
-_FOLD_ROWS = " union all ".join(
-    f"select {i} as fold, '{s}' as split, date '{a}' as a, date '{b}' as b"
-    for i, f in enumerate(FOLDS)
-    for s, a, b in (("train", f[0], f[1]), ("eval", f[2], f[3]))
-)
+FOLD_DAYS = {"train_days": 730, "eval_days": 180, "step_days": 365}
+# the windows as rows: they start at the first day of the table and step on as long as one fits
+_FOLDS_SQL = """fs as (select i as fold, lo + cast(i*365 as integer) as a from
+  (select min(day) as lo, max(day) as hi from tf), generate_series(0, 40) as g(i) where lo + cast(i*365 as integer) + 909 <= hi),
+fo as (select fold, 'train' as split, a, a+729 as b from fs union all select fold, 'eval', a+730, a+909 from fs)"""
 _TRAIN = """tf as (select l_returnflag as symbol, cast(l_shipdate as date) as day, l_quantity::double as f_quantity,
   l_extendedprice::double as f_price, l_discount::double as f_discount, l_tax::double as f_tax, 7.0::double as f_constant from lineitem)"""
 
 
 @query(
     "walk_forward_folds",
-    f"""with {_TRAIN}, fo as ({_FOLD_ROWS})
-select fold, split, symbol, count(*) as n_rows, round(avg(f_price),4) as mean_price, cast(min(day) as varchar) as first_day,
-  cast(max(day) as varchar) as last_day from tf join fo on tf.day between fo.a and fo.b group by 1,2,3""",
+    f"""with {_TRAIN}, {_FOLDS_SQL},
+x as (select fold, split, tf.* from tf join fo on tf.day between fo.a and fo.b union all
+  select -1, 'uncovered', tf.* from tf where not exists (select 1 from fo where tf.day between fo.a and fo.b))
+select cast(fold as integer) as fold, split, symbol, count(*) as n_rows, round(avg(f_price),4) as mean_price, cast(min(day) as varchar) as first_day,
+  cast(max(day) as varchar) as last_day from x group by 1,2,3""",
 )
 def walk_forward_folds(spark, d):
-    out = splits.walk_forward_folds(V.train_frame(spark, d), FOLDS)
-    return out.groupBy("fold", "split", "symbol").agg(
+    """Folds over the whole table, and what lies in no window as a split of its own."""
+    df = V.train_frame(spark, d)
+    lo, hi = df.agg(F.min("day"), F.max("day")).first()
+    folds = splits.make_folds(lo.isoformat(), hi.isoformat(), **FOLD_DAYS)
+    inside = splits.walk_forward_folds(df, folds)
+    outside = splits.uncovered(df, folds).withColumns({"fold": F.lit(-1), "split": F.lit("uncovered")})
+    return inside.unionByName(outside).groupBy("fold", "split", "symbol").agg(
         F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("f_price"), 4).alias("mean_price"),
         F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"),
     )
