@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickweave.schemas import missing_columns
+from tickweave.schemas import missing_columns, nan_to_null
 from tickweave.session import materialise
 
 BLOCK_ROWS = 1 << 20
@@ -149,7 +149,8 @@ def quote_issues(quotes: DataFrame, keys=("symbol", "day"), block_rows=BLOCK_ROW
         RowCheck("crossed_book", ERROR, F.coalesce(F.col("bid_px") >= F.col("ask_px"), F.lit(False)), first=True),
         RowCheck("nonpositive", ERROR, _any(cols, lambda c: c <= 0)),
     ]
-    p = day_profile(quotes, rows, [BACKWARDS], keys, block_rows=block_rows)
+    # a NaN compares as larger than every number, so it must be missing before the checks
+    p = day_profile(nan_to_null(quotes), rows, [BACKWARDS], keys, block_rows=block_rows)
     out = [issue("monotonic", ERROR, F.col("n_monotonic"))]
     out += [issue(c.name, ERROR, F.col(f"n_{c.name}"), F.col(f"ts_{c.name}") if c.first else None) for c in rows]
     return to_issues(p, out, "quotes", keys)
@@ -160,7 +161,7 @@ def trade_issues(trades: DataFrame, keys=("symbol", "day"), block_rows=BLOCK_ROW
         RowCheck("nonpositive_qty", ERROR, F.col("quantity") <= 0),
         RowCheck("nonpositive_price", ERROR, F.col("price") <= 0),
     ]
-    p = day_profile(trades, rows, [BACKWARDS], keys, block_rows=block_rows)
+    p = day_profile(nan_to_null(trades), rows, [BACKWARDS], keys, block_rows=block_rows)
     out = [issue("monotonic", ERROR, F.col("n_monotonic"))]
     out += [issue(c.name, ERROR, F.col(f"n_{c.name}")) for c in rows]
     return to_issues(p, out, "trades", keys)
@@ -178,9 +179,13 @@ def snapshot_issues(
     max_gap_ms: int = MAX_GAP_MS,
     max_spread_bps: float = MAX_SPREAD_BPS,
     keys=("symbol", "day"),
-    seq="seq",
+    seq: str | None = None,
     block_rows=BLOCK_ROWS,
 ) -> DataFrame:
+    """Issues of snapshots. ``seq`` orders rows of one key; without it, or a column ``seq``, the tick does."""
+    if seq is None:
+        seq = "seq" if "seq" in snaps.columns else "ts_ms"
+    snaps = nan_to_null(snaps)
     cols = ["bid_px", "ask_px", "mid"]
     rows = [
         RowCheck("nan", ERROR, _any(cols, lambda c: c.isNull() | F.isnan(c)) | _any(cols, lambda c: c.isNull())),
