@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
-from tickweave.session import materialise
+from tickweave import session
 
 __all__ = ["documents", "lean", "lean_group", "materialise", "partitions", "shards", "small_batches"]
 
@@ -22,6 +22,20 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; the shuffle files of the write go when it ends.
+
+    Nothing reads them again, and without this they stay until the driver happens to collect garbage.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return session.materialise(df, label)
+    finally:
+        conf.set(key, before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
