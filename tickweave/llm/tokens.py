@@ -164,7 +164,8 @@ def token_counts(
                     batch.column("doc_id"),
                     pc.binary_length(texts).cast(pa.int64()),
                     pa.array(n, pa.int64()),
-                    pc.if_else(long, texts, pa.scalar(None, texts.type)),
+                    # only long texts travel on
+                    pa.array([t.as_py() if x.as_py() else None for t, x in zip(texts, long, strict=True)], texts.type),
                 ],
                 ["row", "doc_id", "n_bytes", "n_tokens", "text"],
             )
