@@ -69,5 +69,15 @@ def test_trusted_context_finds_unseen_identifiers(spark):
     assert all(got[i].n_phone == 1 for i, _ in seen)
 
 
+def test_the_surest_discovery_is_kept(spark):
+    """Eighteen trusted patterns of 12/13 each: the confidence rounds to 1.0, as that of a seed."""
+    sides = [(f"left{x}", f"right{x}") for x in "abcdef"]
+    seen = [(12 * k + i, f"{a} +1 555 01{i:02d} 7777 {b}") for k, (a, b) in enumerate(sides) for i in range(12)]
+    unseen = [(900 + k, f"{a} 0171/5550199 {b}") for k, (a, b) in enumerate(sides)]
+    got = {r.doc_id: r for r in personal_data(frame(spark, seen + unseen)).collect()}
+    assert all(got[900 + k].spans == "phone:6:18" and got[900 + k].n_added == 1 for k in range(6))
+    assert all(got[i].n_added == 0 and got[i].n_phone == 1 for i, _ in seen)
+
+
 def test_empty_table(spark):
     assert personal_data(frame(spark, [])).count() == 0

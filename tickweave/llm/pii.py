@@ -159,7 +159,8 @@ def contexts() -> Column:
 
 def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int, trust: float, support: int, accept: float):
     """Known instances ``token, kind, conf`` beyond the seeds, and trusted patterns ``pattern, kind``."""
-    known = materialise(seeds.withColumn("conf", F.lit(1.0)), "known")
+    # the confidence of a found instance may round to 1 as well, so seeds have a mark of their own
+    known = materialise(seeds.withColumns({"conf": F.lit(1.0), "seed": F.lit(True)}), "known")
     total = materialise(edges.groupBy("pattern").agg(F.count("*").alias("total")), "pattern-totals")
     trusted = None
     for _ in range(rounds):
@@ -180,8 +181,8 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int, trust: float, sup
         new = materialise(new.select("token", F.col("b.kind").alias("kind"), F.col("b.conf").alias("conf")), "found")
         if new.isEmpty():
             break
-        known = materialise(known.unionByName(new), "known")
-    return known.where("conf < 1.0"), trusted.select("pattern", "kind")
+        known = materialise(known.unionByName(new.withColumn("seed", F.lit(False))), "known")
+    return known.where("not seed").drop("seed"), trusted.select("pattern", "kind")
 
 
 def personal_data(
