@@ -2,7 +2,7 @@ import hashlib
 import re
 
 from tests.llm.cases import ROWS, frame
-from tickweave.llm.pii import personal_data
+from tickweave.llm.pii import occurrences, personal_data, read
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -79,5 +79,20 @@ def test_the_surest_discovery_is_kept(spark):
     assert all(got[i].n_added == 0 and got[i].n_phone == 1 for i, _ in seen)
 
 
+def test_contexts_of_emails_are_learned(spark):
+    """Texts without a digit: known addresses teach the context, an address without a dot is found in it."""
+    seen = [(i, f"please write to some{chr(97 + i)}@mail.example.org for details") for i in range(12)]
+    unseen = [(90, "please write to someone@localhost for details"), (91, "nothing to see for details")]
+    got = {r.doc_id: r for r in personal_data(frame(spark, seen + unseen)).collect()}
+    assert got[90].spans == "email:16:33" and got[90].n_added == 1 and got[90].n_email == 0
+    assert all(got[i].n_email == 1 and got[i].n_added == 0 for i, _ in seen) and got[91].spans == ""
+
+
+def test_any_match_of_a_run_makes_it_known(spark):
+    """The first address of the run is none; the second is."""
+    got = occurrences(read(frame(spark, [(1, "from 256.1.1.1 10.0.0.1 on")]), "doc_id", "text")).collect()
+    assert [(r.token, r.kind) for r in got] == [("256.1.1.1 10.0.0.1", "ip")]
+
+
 def test_empty_table(spark):
     assert personal_data(frame(spark, [])).count() == 0

@@ -33,8 +33,9 @@ KINDS = {
 }
 #: what a text must hold for a kind to be searched
 SIGN = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-DIGIT_TOKEN = r"[^\s0-9]*+[0-9]\S*+"
-CANDIDATE = rf"(?<!\S){DIGIT_TOKEN}(?:\x20{DIGIT_TOKEN})*+"
+DIGIT_TOKEN = r"[^\s0-9@]*+[0-9][^\s@]*+(?!\S)"
+#: a token with an `@`, or a run of tokens with digits and without one
+CANDIDATE = rf"(?<!\S)(?:[^\s@]*+@\S*+|{DIGIT_TOKEN}(?:\x20{DIGIT_TOKEN})*+)"
 MANY_DIGITS = r"(?s)(?:[^0-9]*+[0-9]){4}"
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
@@ -83,7 +84,7 @@ def read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     has = {k: F.lit(True) if s is None else F.instr("text", s) > 0 for k, s in SIGN.items()}
     need = {k: (has[k] if k == "email" else has[k] & F.col("digit")) for k in KINDS}
     patterns = KINDS | {"candidate": CANDIDATE}
-    need["candidate"] = F.col("digit")
+    need["candidate"] = F.col("digit") | has["email"]
     slim = slim.select(
         "*", *[found(F.col("text"), p, need[k]).alias(f"m_{k}") for k, p in patterns.items()]
     )
@@ -129,7 +130,7 @@ def base_spans(matches: DataFrame) -> DataFrame:
 
 
 def occurrences(matches: DataFrame) -> DataFrame:
-    """Candidate runs with at least four digits or an ``@``: place, text, the words around, and the kind if known."""
+    """Candidates with at least four digits or an ``@``: place, text, the words around, and the kind if known."""
     each = matches.where("m_candidate is not null").select(
         "row", "near", F.posexplode("m_candidate").alias("i", "match")
     )
@@ -143,9 +144,10 @@ def occurrences(matches: DataFrame) -> DataFrame:
     )
     known = F.lit(None).cast("string")
     for kind, pattern in reversed(KINDS.items()):
-        part = F.regexp_extract("match", pattern, 0)
-        known = F.when((part != "") & valid(F.lit(kind), part), F.lit(kind)).otherwise(known)
-    return placed(each, "row").where(F.col("match").rlike(MANY_DIGITS)).select(
+        parts = F.regexp_extract_all("match", F.lit(pattern), F.lit(0))
+        held = F.exists(parts, lambda part: valid(F.lit(kind), part))  # noqa: B023
+        known = F.when(held, F.lit(kind)).otherwise(known)
+    return placed(each, "row").where(F.col("match").rlike(MANY_DIGITS) | F.contains("match", F.lit("@"))).select(
         "row", "start", "end", F.lower("match").alias("token"), "before", "after", known.alias("kind")
     )
 
