@@ -113,3 +113,38 @@ def test_small_samples_get_the_exact_p(spark):
     # with ties the normal form stays
     assert got["t"].p_value == pytest.approx(0.5 * math.erfc(got["t"].z / math.sqrt(2)))
     assert gates.u_tail(2, 2) == pytest.approx((1.0, 5 / 6, 4 / 6, 2 / 6, 1 / 6))
+
+
+def plain_tail(n1, n2):
+    """P(U >= u) from counts, term by term."""
+    k, n = sorted((n1, n2))
+    ways = [1] + [0] * (n1 * n2)
+    for i in range(1, k + 1):
+        for u in range(n1 * n2, n + i - 1, -1):
+            ways[u] -= ways[u - n - i]
+        for u in range(i, n1 * n2 + 1):
+            ways[u] += ways[u - i]
+    return [sum(ways[u:]) / sum(ways) for u in range(n1 * n2 + 1)]
+
+
+@pytest.mark.parametrize(("n1", "n2"), [(1, 1), (1, 9), (3, 5), (6, 4), (8, 8), (40, 7), (8, 61)])
+def test_closed_form_equals_the_counts(n1, n2):
+    assert list(gates.u_tail(n1, n2)) == plain_tail(n1, n2)
+
+
+def test_exact_p_at_any_size_of_the_baseline():
+    assert gates.u_at_least(1_000_001, 1, 1_000_001) == 1 / 1_000_002
+    assert gates.u_at_least(1_200_000, 3, 400_000) == pytest.approx(6 / (400_001 * 400_002 * 400_003))
+    assert gates.u_at_least(8 * 125_001, 8, 125_001) == pytest.approx(1 / math.comb(125_009, 8))
+    assert gates.u_at_least(0, 8, 10**9) == 1.0
+    # with one score against n, U is uniform; the middle of two against n is even
+    assert gates.u_at_least(500_001, 1, 10**6) == 500_000 / 1_000_001
+    assert gates.u_at_least(10**6, 2, 10**6) == pytest.approx(0.5, abs=1e-6)
+
+
+def test_a_single_best_score_passes_above_a_million_pairs(spark):
+    base = spark.range(1_000_001).select(F.lit("base").alias("candidate"), F.col("id").cast("double").alias("reward"))
+    top = spark.createDataFrame([("top", 2e6), ("middle", 500_000.5)], "candidate string, reward double")
+    got = {r.candidate: r for r in gates.rank_test(top, base).collect()}
+    assert got["top"].p_value == pytest.approx(1 / 1_000_002) and got["top"].passed
+    assert got["middle"].p_value == pytest.approx(500_001 / 1_000_002) and not got["middle"].passed

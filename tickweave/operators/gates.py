@@ -111,31 +111,59 @@ def upper_tail(z: pd.Series) -> pd.Series:
 
 
 EXACT_SIDE = 8  # fixed value: up to this size of the smaller sample, without ties, the exact distribution is used
-EXACT_PAIRS = 1_000_000  # above this many pairs the two forms agree to all digits that are kept
 
 
-@functools.lru_cache(maxsize=64)
-def u_tail(n1: int, n2: int) -> tuple[float, ...]:
-    """P(U >= u) for u = 0 .. n1 * n2 when all orders are equally likely."""
-    k, n = sorted((n1, n2))
-    ways = [1] + [0] * (n1 * n2)
-    # the counts are the coefficients of a product of (1 - q**(n + i)) / (1 - q**i)
+@functools.lru_cache(maxsize=EXACT_SIDE)
+def _series(k: int) -> tuple[int, list[int], dict[int, dict[int, int]]]:
+    """For a smaller sample of ``k``: a period, the numerator over ``(1 - q**period)**(k + 1)``, and the signed sums of
+    subsets of 1 .. k by the size of the subset."""
+    period = math.lcm(*range(1, k + 1))
+    top = [1]
+    # (1 - q**period) / (1 - q**i), for the parts and once more for the running sum
+    for i in (1, *range(1, k + 1)):
+        wide = [0] * (len(top) + period - i)
+        for shift in range(0, period, i):
+            for u, w in enumerate(top):
+                wide[u + shift] += w
+        top = wide
+    subsets: dict[int, dict[int, int]] = {0: {0: 1}}
     for i in range(1, k + 1):
-        for u in range(n1 * n2, n + i - 1, -1):
-            ways[u] -= ways[u - n - i]
-        for u in range(i, n1 * n2 + 1):
-            ways[u] += ways[u - i]
-    total, tail, out = sum(ways), 0, []
-    for w in reversed(ways):
-        tail += w
-        out.append(tail / total)
-    return tuple(reversed(out))
+        for size in sorted(subsets, reverse=True):
+            for total, w in subsets[size].items():
+                more = subsets.setdefault(size + 1, {})
+                more[total + i] = more.get(total + i, 0) - w
+    return period, top, subsets
+
+
+def u_at_least(u: int, n1: int, n2: int) -> float:
+    """P(U >= u) when all orders are equally likely, in whole numbers, at a cost that the sizes don't change.
+
+    The counts are the coefficients of a product of (1 - q**(n + i)) / (1 - q**i). Its numerator has few terms; the
+    coefficients of the rest are binomials along each remainder of the period.
+    """
+    k, n = sorted((n1, n2))
+    period, top, subsets = _series(k)
+    ways = 0
+    # as U is symmetric, the values from u up are as many as those up to here
+    for size, sums in subsets.items():
+        for total, sign in sums.items():
+            rest = n1 * n2 - u - n * size - total
+            if rest >= 0:
+                ways += sign * sum(
+                    top[j] * math.comb((rest - j) // period + k, k) for j in range(rest % period, min(rest + 1, len(top)), period)
+                )
+    return ways / math.comb(n + k, k)
+
+
+def u_tail(n1: int, n2: int) -> tuple[float, ...]:
+    """P(U >= u) for u = 0 .. n1 * n2."""
+    return tuple(u_at_least(u, n1, n2) for u in range(n1 * n2 + 1))
 
 
 @F.pandas_udf(DoubleType())
 def exact_tail(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     """Exact one-sided p; one row per candidate."""
-    return pd.Series([u_tail(int(a), int(b))[math.ceil(x)] for x, a, b in zip(u, n1, n2, strict=True)], dtype=float)
+    return pd.Series([u_at_least(math.ceil(x), int(a), int(b)) for x, a, b in zip(u, n1, n2, strict=True)], dtype=float)
 
 
 def rank_test(
@@ -180,7 +208,7 @@ def rank_test(
     both = n1 + n2
     sigma = F.sqrt(n1 * n2 / 12.0 * ((both + 1) - (F.col("_ties") + F.lit(float(base_ties))) / (both * (both - 1))))
     out = sums.withColumn("z", F.try_divide(F.col("u") - n1 * n2 / 2.0 - 0.5, sigma))
-    small = (F.least(n1, n2) <= EXACT_SIDE) & (n1 * n2 <= EXACT_PAIRS) & (F.col("_ties") + F.lit(float(base_ties)) == 0)
+    small = (F.least(n1, n2) <= EXACT_SIDE) & (F.col("_ties") + F.lit(float(base_ties)) == 0)
     # the branch not taken gets harmless sizes, as both are evaluated
     sizes = [F.when(small, x).otherwise(F.lit(1.0)) for x in (n1, n2)]
     exact = exact_tail(F.when(small, F.col("u")).otherwise(F.lit(0.0)), *sizes)
