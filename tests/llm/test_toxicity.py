@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tests.llm.cases import ROWS, frame
+from tickweave.llm import toxicity as module
 from tickweave.llm.shared import documents
 from tickweave.llm.toxicity import Model, ftrl, score, toxicity
 
@@ -46,6 +47,15 @@ def test_empty_table(spark):
     assert toxicity(frame(spark, []), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
 
 
+def test_a_repeated_id_teaches_one_row(spark, monkeypatch):
+    kept, real = {}, module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, name: kept.setdefault(name, real(df, name)))
+    docs = frame(spark, [*[(1, f"text number {i}") for i in range(300)], (3, "one more text"), (3, None), (6, "and another")])
+    module.fit(docs, spark.createDataFrame([(1, 1), (3, 0), (6, 0)], "doc_id long, toxic int"), train_rows=2)
+    ids = [r.doc_id for r in kept["train-features"].collect()]
+    assert 0 < len(ids) == len(set(ids)) <= 2
+
+
 def test_l1_keeps_few_weights():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(1, 4096, 60)).astype(np.int32) for _ in range(600)]

@@ -113,7 +113,7 @@ def fit(
     """Fit on at most ``train_rows`` labelled rows outside the held-out fold.
 
     Rows with a null label or id teach nothing; of repeated labels of an id the larger
-    counts. Without any labelled row the model has no weights and gives 0.
+    counts, of its repeated documents the one with the smallest hash of its text. Without any labelled row the model has no weights and gives 0.
     """
     known = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col))
@@ -134,8 +134,10 @@ def fit(
                 ["doc_id", "label", "own"],
             )
 
-    # at most train_rows ids: bounded, so they may be broadcast
-    sample = small_batches(texts.join(F.broadcast(chosen), "doc_id"))
+    # at most train_rows ids: bounded, so they may be broadcast; of the rows of an id, one by the hash of its text
+    joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label")
+    sample = joined.agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    sample = small_batches(sample.select("doc_id", "label", "one.text"))
     rows = materialise(sample.mapInArrow(lean(features), "doc_id long, label int, own binary"), "train-features")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
