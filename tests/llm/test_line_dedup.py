@@ -4,6 +4,8 @@ import pytest
 from tests.llm import brute
 from tests.llm.cases import EXTRA, ROWS, frame
 from tickweave.llm import line_dedup
+from tickweave.llm.registry import QUERIES
+from tickweave.llm.shared import documents
 
 
 def texts(n=120, seed=5):
@@ -48,6 +50,27 @@ def test_odd_rows(spark):
     check(got, ROWS, ["doc_id", "text", *EXTRA, "n_lines", "n_removed"])
 
 
+def test_the_query_compares_short_lines_too(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in documents(spark, sf).collect()]
+    want = {i: 0 for i, _ in rows}
+    for i, _ in brute.gone_lines(rows, least=1):
+        want[i] += 1
+    assert sum(want.values()) > len(brute.gone_lines(rows))
+    assert {r.doc_id: r.n_removed for r in QUERIES["op10_line_dedup"](spark, sf).collect()} == want
+
+
+@pytest.mark.parametrize("small", [128, 2])
+def test_short_lines_match_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    lines = ["yes", "Yes", "yes yes", "no", "", "  ", "a b", "b a", "a b c", "a b c d", "a b c d e", "d c b a", "a b c e", "x y z"]
+    rows = [(i, "\n".join(lines[i % 14 :] + lines[: i % 5])) for i in range(20)]
+    gone = brute.gone_lines(rows, least=1)
+    got = line_dedup.dedup_lines(frame(spark, rows), least=1).collect()
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
+    assert {r.doc_id: r.text for r in got} == want
+
+
 def test_empty_table(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 

@@ -468,7 +468,8 @@ def dedup_lines(
 
 @query("op10_line_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    # every line with a word takes part
+    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), least=1)
     return out.select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
