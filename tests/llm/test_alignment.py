@@ -1,13 +1,14 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from tests.llm.cases import ROWS, frame
-from tickweave.llm.alignment import aligned_documents, groups_and_links
+from tickweave.llm.alignment import aligned_documents, links_of, slices_of
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 HARD = [
@@ -91,9 +92,11 @@ def test_equal_to_all_pairs_of_tokens(spark, block_bytes):
 
 
 def test_groups_and_links_of_a_slice():
-    groups, links = groups_and_links([2, 5, 7, 8], [3, 5, 8])
-    assert groups == [(0, 2, 0, 2), (2, 4, 2, 3)]
-    assert links == [(0, 0), (1, 0), (1, 1), (2, 2), (3, 2)]
+    a, b = np.array([2, 5, 7, 8]), np.array([3, 5, 8])
+    common, a_to, b_to = slices_of(a, b)
+    assert (common.tolist(), a_to, b_to) == ([5, 8], [2, 4], [2, 3])
+    _, i, j = links_of(a, b)
+    assert list(zip(i, j)) == [(0, 0), (1, 0), (1, 1), (2, 2), (3, 2)]
 
 
 def test_long_text_and_empty_table(spark):

@@ -4,10 +4,11 @@ Each token list gives a dictionary from the byte at which a token ends to its in
 ends in both dictionaries, sorted, slice both id lists into groups; in a group every token
 of one list is linked with the tokens of the other whose bytes overlap it.
 
-Both models have a token end wherever a single space stands between two letters: the byte
-model starts a word there, and no piece of the other has white space after anything else
-(:class:`Models` makes sure of that). A text is cut there first, so a segment's groups and
-links don't depend on its neighbours, and each distinct segment of a block is aligned once.
+Both models have a token end wherever a single space stands between two characters that are
+not white space: the byte model starts a word there, and no piece of the other has white space
+after anything else (:class:`Models` makes sure of that). A text is cut there first, so a
+segment's groups and links don't depend on its neighbours, and each distinct segment of a
+block is aligned once.
 
 The links of a pair of ids are counted over the whole corpus: blocks add up their pairs and
 ask the owners of the pairs for the totals (``exchange``). The largest count of each id of
@@ -19,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
-from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,30 +33,35 @@ from tickweave.llm.hashing import buffer
 from tickweave.llm.registry import query
 from tickweave.llm.shared import documents, lean, materialise, shards, small_batches
 
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
+# printable ASCII and the bytes of U+00C0-U+00FF and U+0400-U+047F, none of which is white space
+_HEAD, _TAIL = np.zeros(256, bool), np.zeros(256, bool)
+_HEAD[33:127] = _HEAD[[0xC3, 0xD0, 0xD1]] = True
+_TAIL[33:127] = True
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC3, 0xD0, 0xD1]] = True
 
-Link = tuple[int, int]
+#: Bytes of segments that are encoded as one text.
+RUN_BYTES = 1 << 15
 
 
-def groups_and_links(a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int, int, int]], list[Link]]:
-    """Slices ``(a from, a to, b from, b to)`` of both lists, and the index pairs of overlapping tokens.
+def slices_of(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+    """The common ends, sorted, and how many tokens of either list stand before each: the borders of the groups."""
+    a_index = dict(zip(a_ends.tolist(), range(1, len(a_ends) + 1), strict=True))
+    b_index = dict(zip(b_ends.tolist(), range(1, len(b_ends) + 1), strict=True))
+    common = sorted(a_index.keys() & b_index.keys())
+    return np.array(common, np.int64), [a_index[e] for e in common], [b_index[e] for e in common]
 
-    Tokens after the last common end belong to no group.
+
+def links_of(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """End, first index and second index of all overlaps of tokens, slice by slice.
+
+    Inside a slice an overlap ends where one of its two tokens does, and no other overlap ends
+    there: every end of either list closes one link.
     """
-    a_index = {end: i for i, end in enumerate(a_ends, 1)}
-    b_index = {end: i for i, end in enumerate(b_ends, 1)}
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(a_index.keys() & b_index.keys()):
-        i_to, j_to = a_index[end], b_index[end]
-        groups.append((i, i_to, j, j_to))
-        while i < i_to:
-            links.append((i, j))
-            # tokens that end first have met all they overlap
-            a, b = a_ends[i], b_ends[j]
-            i += a <= b
-            j += b <= a
-    return groups, links
+    # two sorted runs, which a stable sort merges
+    ends = np.sort(np.r_[a_ends, b_ends], kind="stable")
+    ends = ends[np.r_[ends[1:] != ends[:-1], True]] if len(ends) else ends
+    return ends, np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
 
 
 class Models:
@@ -83,62 +89,114 @@ class Models:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)
         ]
+        self.a_sizes = np.zeros(max(self.a_bytes) + 1, np.int64)
+        for i, x in self.a_bytes.items():
+            self.a_sizes[i] = len(x)
+        self.b_sizes = np.array(list(map(len, self.b_bytes)), np.int64)
         self.cuts = not any(" " in p.lstrip("▁").replace("▁", " ") for p in pieces)
 
-    def align(self, segments: list[str]) -> list[tuple | None]:
-        """Of texts with their space in front: counts, groups as text and keys of links; none where bytes differ."""
-        coded = self.a.encode_batch_fast(segments, add_special_tokens=False)
-        return [
-            self._aligned(s.encode(), x.ids, y)
-            for s, x, y in zip(segments, coded, self.b.encode([s[1:] for s in segments], num_threads=1), strict=True)
-        ]
-
-    def _aligned(self, data: bytes, a: list[int], b: list[int]) -> tuple | None:
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != data or b"".join(b_bytes) != data:
-            return None
-        groups, links = groups_and_links(list(accumulate(map(len, a_bytes))), list(accumulate(map(len, b_bytes))))
-        x, y = list(map(str, a)), list(map(str, b))
-        text = ";".join(f"{','.join(x[i:k])}|{','.join(y[j:m])}" for i, k, j, m in groups)
-        keys = [a[i] << 32 | b[j] for i, j in links]
-        return len(a), len(b), len(groups), text, np.array(keys, np.uint64)
-
-
-class Segments:
-    """Alignments of segments seen before, up to ``keep`` of them; then the store starts anew."""
-
-    def __init__(self, models: Models, keep: int = 200_000, long: int = 256):
-        self.models, self.keep, self.long, self.known = models, keep, long, {}
-
-    def __call__(self, segments: list[str]) -> list[tuple | None]:
-        known = self.known
-        new = [s for s in segments if s not in known]
-        if len(known) + len(new) > self.keep:
-            known.clear()
-            new = segments
-        fresh = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            fresh |= zip(part, self.models.align(part), strict=True)
-        out = [fresh[s] if s in fresh else known[s] for s in segments]
-        # long segments hardly come again
-        known |= {s: x for s, x in fresh.items() if len(s) <= self.long}
-        return out
-
-
-def _cut(data: np.ndarray, borders: np.ndarray, cuts: bool) -> tuple[pa.LargeStringArray, np.ndarray]:
+    def coded(self, segments: list[bytes], alone: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Segments in the order of their tokens, and the ids of both models; those not spelt by their tokens are left out.
+
+        Neighbours that don't touch each other's tokens are encoded as one text; ``alone`` marks the others.
+        """
+        runs, run, size = [], [], 0
+        for i, x in enumerate(alone.tolist()):
+            if x:
+                runs.append([i])
+                continue
+            run.append(i)
+            size += len(segments[i])
+            if size >= RUN_BYTES:
+                runs.append(run)
+                run, size = [], 0
+        runs += [run] * bool(run)
+        order, a_ids, b_ids = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while runs:
+            part, runs = runs[:64], runs[64:]
+            data = [b"".join([segments[i] for i in r]) for r in part]
+            texts = [d.decode() for d in data]
+            coded = self.a.encode_batch_fast(texts, add_special_tokens=False)
+            pieces = self.b.encode([t[1:] for t in texts], num_threads=1)
+            for r, d, x, b in zip(part, data, coded, pieces, strict=True):
+                a = x.ids
+                if b"".join([self.a_bytes[i] for i in a]) == d and b"".join([self.b_bytes[i] for i in b]) == d:
+                    order += r
+                    a_ids.append(np.array(a, np.int64))
+                    b_ids.append(np.array(b, np.int64))
+                elif len(r) > 1:
+                    runs += [[i] for i in r]
+        return order, np.concatenate(a_ids), np.concatenate(b_ids)
+
+    def align(self, segments: list[bytes], alone: np.ndarray) -> Aligned:
+        """The alignment of every segment; one that its tokens don't spell is marked and has none."""
+        n = len(segments)
+        order, a, b = self.coded(segments, alone)
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        common, a_to, b_to = slices_of(a_ends, b_ends)
+        x, y, groups, i, j = list(map(str, a.tolist())), list(map(str, b.tolist())), [], 0, 0
+        for k, m in zip(a_to, b_to, strict=True):
+            if k - i == 1 and m - j == 1:
+                groups.append(x[i] + "|" + y[j])
+            else:
+                groups.append(",".join(x[i:k]) + "|" + ",".join(y[j:m]))
+            i, j = k, m
+        ends, first, second = links_of(a_ends, b_ends)
+        borders = np.r_[0, np.cumsum([len(segments[i]) for i in order])].astype(np.int64)
+        # every segment border is an end of both
+        at = [np.searchsorted(e, borders, "right") for e in (a_ends, b_ends, common, ends)]
+        counts = np.zeros((4, n), np.int64)
+        counts[:, order] = [np.diff(x) for x in at]
+        texts = [""] * n
+        for k, i, j in zip(order, at[2][:-1].tolist(), at[2][1:].tolist(), strict=True):
+            texts[k] = groups[i] if j - i == 1 else ";".join(groups[i:j])
+        spelt = np.zeros(n, bool)
+        spelt[order] = True
+        # links by segment, in the order of the segments
+        own = np.repeat(np.array(order, np.int64), np.diff(at[3]))
+        keys = (a[first] << 32 | b[second]).astype(np.uint64)[np.argsort(own, kind="stable")]
+        return Aligned(*counts, texts, keys, spelt)
+
+
+class Aligned(NamedTuple):
+    """Counts of tokens, groups and links of segments, their groups as text, the id pairs of all links in a row."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    texts: list[str]
+    keys: np.ndarray
+    spelt: np.ndarray
+
+    def __add__(self, other: Aligned) -> Aligned:
+        join = lambda x, y: x + y if isinstance(x, list) else np.concatenate([x, y])
+        return Aligned(*[join(x, y) for x, y in zip(self, other, strict=True)])
+
+
+def _cut(data: np.ndarray, borders: np.ndarray, cuts: bool) -> tuple[pa.LargeBinaryArray, np.ndarray]:
     """Segments of texts with a space in front, and the first segment of each text; empty texts have none."""
     filled = np.diff(borders) > 0
     data = np.insert(data, borders[:-1][filled], 32)
     borders = borders + np.r_[0, np.cumsum(filled)]
     at = np.zeros(0, np.int64)
     if cuts and len(data) > 2:
-        at = np.flatnonzero((data[1:-1] == 32) & _LETTER[data[:-2]] & _LETTER[data[2:]]) + 1
+        at = np.flatnonzero((data[1:-1] == 32) & _HEAD[data[2:]]) + 1
+        at = at[_TAIL[data[at - 1]] | _LEAD[data[np.maximum(at - 2, 0)]]]
     at = np.unique(np.r_[at, borders])
-    segments = pa.LargeStringArray.from_buffers(max(0, len(at) - 1), pa.py_buffer(at), pa.py_buffer(data))
+    segments = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), max(0, len(at) - 1), [None, pa.py_buffer(at), pa.py_buffer(data)]
+    )
     return segments, np.searchsorted(at, borders)
 
 
+def _alone(segments: list[bytes], cuts: bool) -> np.ndarray:
+    """Segments whose ends are not those of a cut: they could touch the tokens of a neighbour."""
+    return np.array(
+        [not (cuts and len(s) > 2 and _HEAD[s[1]] and (_TAIL[s[-1]] or _LEAD[s[-2]])) for s in segments], bool
+    )
+
+
 def _lists(values: np.ndarray, borders: np.ndarray) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(borders, pa.int64()), pa.array(values))
 
@@ -147,6 +205,16 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and the place of each value among them."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(values) else np.zeros(0, bool)
+    at = np.empty(len(values), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ordered[new], at
+
+
 def _sums(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
     """Exact sums between borders."""
     return np.diff(np.r_[0, np.cumsum(values.astype(np.int64))][borders])
@@ -159,7 +227,7 @@ def aligned_documents(
     with_groups: bool = True,
     id_col: str = "doc_id",
     text_col: str = "text",
-    block_bytes: int = 4 << 20,
+    block_bytes: int = 6 << 20,
 ) -> DataFrame:
     """One row per row of ``docs``: token, group and link counts, and what the links count in the corpus.
 
@@ -175,16 +243,15 @@ def aligned_documents(
     texts = small_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = Models(byte_model, piece_model)
-        align, block = Segments(models), TaskContext.get().partitionId() << 32
+        models, block = Models(byte_model, piece_model), TaskContext.get().partitionId() << 32
         for batch in shards(batches, "text", block_bytes):
-            yield _asked(batch, align, models.cuts, block, count, with_groups)
+            yield _asked(batch, models, block, count, with_groups)
             block += 1
 
     def total(table: pa.Table) -> pa.Table:
-        parts = [unzip for unzip in map(exchange.unpacked, table.column("packed"))]
+        parts = list(map(exchange.unpacked, table.column("packed")))
         pairs = [p.column("pair").to_numpy() for p in parts]
-        own, at = np.unique(np.concatenate(pairs), return_inverse=True)
+        own, at = _distinct(np.concatenate(pairs))
         totals = np.zeros(len(own), np.int64)
         np.add.at(totals, at, np.concatenate([p.column("n").to_numpy() for p in parts]))
         # the largest count per second id, for all blocks
@@ -226,39 +293,29 @@ def aligned_documents(
 
 
 def _asked(
-    batch: pa.RecordBatch, align: Segments, cuts: bool, block: int, buckets: int, with_groups: bool
+    batch: pa.RecordBatch, models: Models, block: int, buckets: int, with_groups: bool
 ) -> pa.RecordBatch:
     """Rows of one block: its documents, its segments, its pairs, and a question per bucket."""
-    segments, first = _cut(*buffer(batch.column("text")), cuts)
+    segments, first = _cut(*buffer(batch.column("text")), models.cuts)
     coded = segments.dictionary_encode()
     names = coded.dictionary.to_pylist()
-    held = align(names)
+    held = models.align(names, _alone(names, models.cuts))
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    wrong = np.array([x is None for x in held], bool)
-    if wrong.any():
-        # whole texts decide whether the bytes differ, and such texts have no tokens
-        bad = np.flatnonzero(np.r_[0, np.cumsum(wrong[code])][first[1:]] > np.r_[0, np.cumsum(wrong[code])][first[:-1]])
-        drop = np.zeros(len(code), bool)
-        for i in bad:
-            drop[first[i] : first[i + 1]] = True
-        first = np.r_[0, np.cumsum(~drop)][first]
-        code = code[~drop]
-        whole = {int(i): f" {batch.column('text')[int(i)].as_py()}" for i in bad}
-        spelt = {i: x for i, x in zip(whole, align(list(whole.values())), strict=True) if x is not None}
-        for i, x in sorted(spelt.items(), reverse=True):
-            code = np.insert(code, first[i], len(held))
-            first = first + np.r_[np.zeros(i + 1, np.int64), np.ones(len(first) - i - 1, np.int64)]
-            held.append(x)
-    empty = (0, 0, 0, "", np.zeros(0, np.uint64))
-    held = [x or empty for x in held]
-    n = [np.array([x[k] for x in held], np.int64) for k in range(3)]
-    keys = np.concatenate([np.zeros(0, np.uint64), *[x[4] for x in held]])
-    sizes = np.array([len(x[4]) for x in held], np.int64)
-    used = np.bincount(code, minlength=len(held))
-    own, at = np.unique(keys, return_inverse=True)
-    times = np.zeros(len(own), np.int64)
-    np.add.at(times, at, np.repeat(used, sizes))
-    # pairs only of dropped segments are asked about by nobody
+    if not held.spelt.all():
+        # the tokens of a text may spell it although those of its segments don't: whole texts decide
+        wrong = np.r_[0, np.cumsum(~held.spelt[code])]
+        bad = np.flatnonzero(wrong[first[1:]] > wrong[first[:-1]])
+        whole = [b" " + batch.column("text")[int(i)].as_py().encode() for i in bad]
+        parts = np.split(code, first[1:-1])
+        for k, i in enumerate(bad):
+            parts[i] = np.array([len(names) + k])
+        held = held + models.align(whole, np.ones(len(whole), bool))
+        code = np.concatenate(parts)
+        first = np.r_[0, np.cumsum(list(map(len, parts)))]
+    # pairs that only dropped segments have are asked about with a count of nothing
+    used = np.bincount(code, minlength=len(held.n_a))
+    own, at = _distinct(held.keys)
+    times = np.bincount(at, np.repeat(used, held.n_links), len(own)).astype(np.int64)
     bucket = exchange.bucket_of(own, buckets)
     order = np.lexsort((own, bucket))
     place = np.empty(len(own), np.int64)
@@ -269,24 +326,24 @@ def _asked(
         (int(bucket[a]), exchange.packed({"pair": pa.array(own[a:b]), "n": pa.array(times[a:b])}))
         for a, b in zip(starts, np.r_[starts[1:], len(own)], strict=True)
     ]
-    texts = [x[3] for x in held]
+    texts = held.texts
     joined = [";".join([texts[c] for c in code[a:b].tolist()]) for a, b in zip(first[:-1], first[1:], strict=True)]
     # of each document its distinct segments and how often they stand there
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     cells, mult = np.unique(doc << 32 | code, return_counts=True)
     borders = np.searchsorted(cells >> 32, np.arange(len(first)))
+    counts = ("n_a", "n_b", "n_groups", "n_links")
     columns = {
         "doc_id": batch.column("doc_id"),
-        **{name: pa.array(_sums(x[code], first)) for name, x in zip(("n_a", "n_b", "n_groups"), n, strict=True)},
-        "n_links": pa.array(_sums(sizes[code], first)),
-        "groups_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in joined]),
+        **{name: pa.array(_sums(getattr(held, name)[code], first)) for name in counts},
+        "groups_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in joined], pa.string()),
         **({"groups": pa.array(joined, pa.string())} if with_groups else {}),
         "codes": _lists((cells & 0xFFFFFFFF).astype(np.uint32), borders),
         "times": _lists(mult.astype(np.uint32), borders),
     }
     kept = [
         (-1, exchange.packed(columns)),
-        (-2, exchange.packed({"pairs": _lists(place[at].astype(np.uint32), np.r_[0, np.cumsum(sizes)])})),
+        (-2, exchange.packed({"pairs": _lists(place[at].astype(np.uint32), np.r_[0, np.cumsum(held.n_links)])})),
         (-3, exchange.packed({"pair": pa.array(own, pa.uint64())})),
     ]
     return exchange.rows(block, kept + questions)
