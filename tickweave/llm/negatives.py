@@ -342,13 +342,13 @@ def _tiles(anchors: DataFrame, size: int) -> DataFrame:
 SQL = """
 with v as (
   select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-    list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e
+    [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as e
   from embeddings
   where vec_id is not null and label is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0
 ), s as (
   select a.id as anchor_id, b.id as other, a.label = b.label as same,
-    cast(list_sum(list_transform(range(1, len(a.e) + 1), i -> a.e[i] * b.e[i])) as bigint) as score
+    cast(list_sum([a.e[i] * b.e[i] for i in range(1, len(a.e) + 1)]) as bigint) as score
   from v a join v b on a.id <> b.id where a.id % 50 = 0
 ), p as (
   select * from s where same
