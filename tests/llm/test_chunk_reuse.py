@@ -59,14 +59,14 @@ def test_joins_of_small_chunks(least, mean):
     texts += ["".join(rng.choice(signs, rng.integers(1, 600))) for _ in range(150)]
     dictionary, first, _ = chunk_reuse._chunks(pa.array(texts), coder.specials, least, mean)
     names = dictionary.dictionary.to_pylist()
-    own = [chunk_reuse._answer(coder, s, *x) for s, x in zip(names, coder.encode(names))]
-    batch = chunk_reuse._answer_columns(own)
-    answers = chunk_reuse._answers(pa.RecordBatch.from_arrays(list(batch.values()), list(batch)))
-    joiner = chunk_reuse.Joiner(coder, answers)
+    own = chunk_reuse._answers_of(coder, chunk_reuse.WordIds(PATH), names)
+    answers = chunk_reuse._answers(pa.RecordBatch.from_arrays(list(own.values()), list(own)))
     codes = dictionary.indices.to_pylist()
-    for text, a, b in zip(texts, first[:-1], first[1:]):
+    documents = [codes[a:b] for a, b in zip(first[:-1], first[1:])]
+    joiner = chunk_reuse.Joiner(coder, answers, documents)
+    for text, code in zip(texts, documents):
         want = coder.tokenizer.encode(text, add_special_tokens=False).ids
-        assert joiner.ids(codes[a:b]).tolist() == want, text[:80]
+        assert joiner.ids(code).tolist() == want, text[:80]
 
 
 def test_shared_passages_are_cut_alike():

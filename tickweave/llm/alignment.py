@@ -289,7 +289,8 @@ def aligned_documents(
 
     longs = ", ".join(f"{c} long" for c in ("n_a", "n_b", "n_groups", "n_links"))
     schema = f"doc_id {kind}, {longs}, groups_sha256 string{', groups string' * with_groups}, n_best long, count_sum long"
-    return exchange.finished(asked, answers.where("block >= 0"), finish, schema)
+    parts = asked.where("bucket < 0").unionByName(answers.where("block >= 0"))
+    return exchange.finished(parts, finish, schema)
 
 
 def _asked(

@@ -6,11 +6,13 @@ chunks once (``exchange``); the chunk's owner gets it from all blocks, encodes i
 answers with its ids and what is needed to join it.
 
 The ids of two neighbours don't simply follow each other, as a cut may go through a word.
-A join is repaired by encoding a window again, from a token border near the end of the left
-chunk to a place in the right one, until a border of the window agrees with a border of the
-right chunk; more of the right chunk, then the next chunk, is taken as long as none does.
-The ids are those of the left chunk up to the window, of the window up to the agreed border
-and of the right chunk from there.
+A join is repaired by encoding a window again, from a border in the left chunk to a place in
+the right one, until a border of the window agrees with a border of the right chunk. White
+space after another character is such a border for every window, so mostly the window is the
+text between the last such space of the left chunk and the first of the right one. Where a
+chunk has none, more and more of the right chunk is taken, then the next chunk, as long as
+no border agrees. The ids are those of the left chunk up to the window, of the window up to
+the agreed border and of the right chunk from there.
 
 Why this is exact: the tokenizer first normalises a text, then splits it into words by a
 pattern that reads on from the end of the last word, at most ``LOOK`` characters ahead, and
@@ -38,12 +40,15 @@ from pyspark.sql import functions as F
 from tickweave.llm import exchange
 from tickweave.llm.hashing import U64, buffer, prefix_sums, raw_hashes, span_hash
 from tickweave.llm.registry import query
-from tickweave.llm.shared import documents, lean, materialise, shards, small_batches
+from tickweave.llm.shared import documents, lean, shards, small_batches
+from tickweave.llm.vocabulary import WordIds
 
 #: Bytes that decide about a cut, the least length of a chunk, and the mean length above it.
 ROLL, LEAST, MEAN = 32, 256, 1024
-#: Characters after a word that decide where it ends, and those of a chunk's margin.
-LOOK, MARGIN = 4, 48
+#: Characters after a word that decide where it ends, and the first size of a window in a chunk without spaces.
+LOOK, WINDOW = 4, 48
+#: Chunks that are encoded in one step.
+STEP = 4096
 
 
 @cache
@@ -149,11 +154,25 @@ def _chunks(
     return coded, first, hashes
 
 
+def spaces(chunk: str) -> tuple[int, int] | None:
+    """The first and the last place of a space after a character that is not white space."""
+    first, last = chunk.find(" ", 1), chunk.rfind(" ", 1)
+    while first > 0 and chunk[first - 1].isspace():
+        first = chunk.find(" ", first + 1)
+    while last > 0 and chunk[last - 1].isspace():
+        last = chunk.rfind(" ", 1, last)
+    return (first, last) if first > 0 else None
+
+
 class Joiner:
-    """The ids of a document from its chunks' answers, its joins repaired."""
+    """The ids of documents from their chunks' answers, their joins repaired."""
 
-    def __init__(self, coder: Coder, answers: list[dict]):
+    def __init__(self, coder: Coder, answers: list[dict], documents: list[list[int]]):
         self.coder, self.answers, self.known = coder, answers, {}
+        pairs = {(a, b) for code in documents for a, b in zip(code[:-1], code[1:], strict=True)}
+        both = [(answers[a]["tail"], answers[b]["text"]) for a, b in pairs if answers[a]["closed"] and answers[b]["closed"]]
+        texts = list({a + b for a, b in both})
+        self.windows = dict(zip(texts, (ids for ids, _, _ in coder.encode(texts)), strict=True))
 
     def ids(self, code: list[int]) -> np.ndarray:
         if not code:
@@ -164,7 +183,6 @@ class Joiner:
             if k + 1 == len(code):
                 parts.append(chunk["ids"][start:])
                 return np.concatenate(parts)
-            # a join depends on its chunks only as far as its window reaches
             left, window, at, right = self._join(code, k, start)
             parts += [chunk["ids"][start:left], window]
             if at is None:
@@ -173,83 +191,108 @@ class Joiner:
 
     def _join(self, code: list[int], k: int, start: int) -> tuple[int, np.ndarray, int | None, int]:
         """Tokens of chunk ``k`` before the window, the window's ids, the chunk it agrees with and the token there."""
+        chunk, right = self.answers[code[k]], self.answers[code[k + 1]]
+        if chunk["closed"] and right["closed"]:
+            window = self.windows[chunk["tail"] + right["text"]]
+            return len(chunk["ids"]) - chunk["after"], window, k + 1, right["before"]
         key = (code[k], code[k + 1], start, k + 2 == len(code))
         if key in self.known:
-            left, window, right = self.known[key]
-            return left, window, k + 1, right
-        chunk = self.answers[code[k]]
+            left, window, token = self.known[key]
+            return left, window, k + 1, token
         left, text = self._tail(chunk, start)
         at, skip, wait = k + 1, 0, 1
         while at < len(code):
             right, last = self.answers[code[at]], at + 1 == len(code)
-            whole, known = right["text"], right["size"]
-            if skip and not last and len(whole) == known:
+            if right["closed"]:
+                window = next(self.coder.encode([text + right["text"]]))[0]
+                return left, window, at, right["before"]
+            whole, size = right["text"], WINDOW
+            if skip and not last:
                 # after a failure the window doubles, so that a word of many chunks isn't encoded once per chunk
                 text, at, skip = text + whole, at + 1, skip - 1
                 continue
-            size = MARGIN
             while True:
                 size = min(size, len(whole))
-                end = last and size == known
+                end = last and size == len(whole)
                 found = self._agreed(text, whole[:size], right, end)
                 if found is not None:
                     window, token = found
-                    if end and token is None:
+                    if token is None:
                         return left, window, None, 0
-                    if at == k + 1 and token is not None:
+                    if at == k + 1:
                         self.known[key] = left, window, token
                     return left, window, at, token
                 if size == len(whole):
                     break
                 size *= 4
-            # margins of long chunks always agree, so this one's text is whole
             text, at, skip, wait = text + whole, at + 1, wait, 2 * wait
         raise AssertionError("the last window of a document ends with it")
 
     def _tail(self, chunk: dict, start: int) -> tuple[int, str]:
         """The last border of a chunk that is sure, as a number of tokens, and the text after it."""
-        tail, offset = chunk["tail"], chunk["size"] - len(chunk["tail"])
-        sure = (chunk["place"] <= chunk["size"] - LOOK) & (chunk["place"] >= offset) & (chunk["number"] >= start)
-        at = np.flatnonzero(sure)
+        if chunk["closed"]:
+            return len(chunk["ids"]) - chunk["after"], chunk["tail"]
+        place, number, text = chunk["place"], chunk["number"], chunk["text"]
+        at = np.flatnonzero((place <= len(text) - LOOK) & (number >= start))
         if len(at):
-            return int(chunk["number"][at[-1]]), tail[int(chunk["place"][at[-1]]) - offset :]
-        if start == 0:
-            return 0, chunk["text"]
-        at = int(np.flatnonzero(chunk["number"] == start)[0])
-        return start, tail[int(chunk["place"][at]) - offset :]
+            return int(number[at[-1]]), text[int(place[at[-1]]) :]
+        return start, text[int(place[np.flatnonzero(number == start)[0]]) :] if start else text
 
     def _agreed(self, left: str, head: str, right: dict, end: bool) -> tuple[np.ndarray, int | None] | None:
         """Ids of the window up to the first border it shares with the right chunk, and the chunk's tokens before it."""
         ids, place, number = next(self.coder.encode([left + head]))
-        if end:
-            # nothing follows: the window may end with the document
-            shared = np.isin(place - len(left), right["place"])
-        else:
-            shared = np.isin(place - len(left), right["place"]) & (place <= len(left) + len(head) - LOOK)
-        shared &= place > len(left)
+        shared = np.isin(place - len(left), right["place"]) & (place > len(left))
+        if not end:
+            shared &= place <= len(left) + len(head) - LOOK
         at = np.flatnonzero(shared)
         if len(at):
             x = int(place[at[0]]) - len(left)
             token = int(right["number"][np.flatnonzero(right["place"] == x)[-1]])
             return ids[: int(number[at[0]])], token
+        # nothing follows, so the window ends with the document
         return (ids, None) if end else None
 
 
-def _answer(coder: Coder, chunk: str, ids: np.ndarray, place: np.ndarray, number: np.ndarray) -> tuple:
-    """Size, ids, text, tail, places and tokens of borders; a long chunk's text and borders are those of its margins.
+def _answers_of(coder: Coder, encode: WordIds, names: list[str]) -> dict[str, pa.Array]:
+    """Of every chunk its ids and what joins it.
 
-    White space ends a word for every window, so a margin with a space after another character
-    has a border that all windows agree on.
+    With a space: the texts before its first and from its last one on, and the counts of their
+    tokens. Without: its whole text, its borders, and the counts of tokens before them.
     """
-    n = len(chunk)
-    place, number = coder.borders(chunk, place, number)
-    if n > 2 * MARGIN:
-        head = place[place <= MARGIN - LOOK].tolist()
-        tail = place[(place >= n - MARGIN) & (place <= n - LOOK)].tolist()
-        if any(chunk[p] == " " for p in head) and any(chunk[p] == " " for p in tail):
-            keep = (place <= MARGIN) | (place >= n - MARGIN)
-            return n, ids, chunk[:MARGIN], chunk[-MARGIN:], place[keep], number[keep]
-    return n, ids, chunk, chunk, place, number
+    ids, ends = _words(encode, names)
+    cut = [spaces(s) for s in names]
+    closed = np.array([c is not None for c in cut], bool)
+    text = [s if c is None else s[: c[0]] for s, c in zip(names, cut, strict=True)]
+    tail = ["" if c is None else s[c[1] :] for s, c in zip(names, cut, strict=True)]
+    before, after = (
+        np.where(closed, np.diff(_words(encode, ["" if c is None else t for t, c in zip(part, cut, strict=True)])[1]), 0)
+        for part in (text, tail)
+    )
+    open_ = [s for s, c in zip(names, cut, strict=True) if c is None]
+    found = (coder.borders(s, place, number) for s, (_, place, number) in zip(open_, coder.encode(open_), strict=True))
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    borders = [none if c else next(found) for c in closed]
+    at = np.r_[0, np.cumsum([len(p) for p, _ in borders])].astype(np.int64)
+    return {
+        "ids": pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(ids)),
+        "closed": pa.array(closed),
+        "text": pa.array(text, pa.large_string()),
+        "tail": pa.array(tail, pa.large_string()),
+        "before": pa.array(before, pa.int64()),
+        "after": pa.array(after, pa.int64()),
+        "place": pa.LargeListArray.from_arrays(pa.array(at), pa.array(np.concatenate([none[0], *[p for p, _ in borders]]))),
+        "number": pa.LargeListArray.from_arrays(pa.array(at), pa.array(np.concatenate([none[0], *[n for _, n in borders]]))),
+    }
+
+
+def _words(encode: WordIds, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row and their borders, a step at a time."""
+    ids, ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+    for i in range(0, len(texts), STEP):
+        part, at = encode(pa.array(texts[i : i + STEP], pa.large_string()))
+        ids.append(part)
+        ends.append(at[1:] + ends[-1][-1])
+    return np.concatenate(ids), np.concatenate(ends)
 
 
 def encode(
@@ -294,23 +337,24 @@ def encode(
             block += 1
 
     def answer(table: pa.Table) -> pa.Table:
-        coder = Coder(tokenizer)
         asked = [exchange.unpacked(v).column("chunk") for v in table.column("packed")]
         coded = pa.chunked_array(asked, pa.large_string()).combine_chunks().dictionary_encode()
-        names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        known = [_answer(coder, s, *x) for s, x in zip(names, coder.encode(names), strict=True)]
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        own = _answers_of(Coder(tokenizer), WordIds(tokenizer), coded.dictionary.to_pylist())
+        known = pa.RecordBatch.from_arrays(list(own.values()), list(own))
         out, start = [], 0
         for part in asked:
-            own = [known[c] for c in code[start : start + len(part)].tolist()]
+            rows = known.take(pa.array(code[start : start + len(part)]))
+            out.append(exchange.packed(dict(zip(rows.schema.names, rows.columns, strict=True))))
             start += len(part)
-            out.append(exchange.packed(_answer_columns(own)))
-        return table.set_column(2, "packed", pa.array(out, pa.binary())).select(["block", "bucket", "packed"])
+        return table.set_column(2, "packed", pa.array(out, pa.binary()))
 
     def finish(table: pa.Table) -> pa.Table:
         kept, parts = exchange.in_order(table)
-        joiner = Joiner(coder := Coder(tokenizer), [x for part in parts for x in _answers(part)])
         docs = kept[-1]
-        ids = [joiner.ids(x) for x in docs.column("chunks").to_pylist()]
+        chunks = docs.column("chunks").to_pylist()
+        joiner = Joiner(coder := Coder(tokenizer), [x for part in parts for x in _answers(part)], chunks)
+        ids = [joiner.ids(x) for x in chunks]
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"),
@@ -320,25 +364,9 @@ def encode(
             }
         )
 
-    asked = materialise(texts.mapInArrow(lean(ask), exchange.ASKED), "chunks")
-    answers = exchange.answered(asked, answer)
-    return exchange.finished(asked, answers, finish, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
-
-
-def _answer_columns(own: list[tuple]) -> dict[str, pa.Array]:
-    size, ids, text, tail, place, number = zip(*own, strict=True)
-    flat = lambda xs, t: pa.LargeListArray.from_arrays(
-        pa.array(np.r_[0, np.cumsum(list(map(len, xs)))], pa.int64()), pa.array(np.concatenate(xs).astype(t))
-    )
-    return {
-        "size": pa.array(size, pa.int64()),
-        "ids": flat(ids, np.uint32),
-        "text": pa.array(text, pa.large_string()),
-        # null where the text is whole
-        "tail": pa.array([None if n == len(s) else t for n, s, t in zip(size, text, tail, strict=True)], pa.large_string()),
-        "place": flat(place, np.int64),
-        "number": flat(number, np.int64),
-    }
+    asked = texts.mapInArrow(lean(ask), exchange.ASKED)
+    schema = f"doc_id {kind}, n_tokens long, ids binary, decoded string"
+    return exchange.finished(exchange.through(asked, answer, count), finish, schema)
 
 
 def _answers(part: pa.RecordBatch) -> list[dict]:
@@ -350,7 +378,6 @@ def _answers(part: pa.RecordBatch) -> list[dict]:
             columns[name] = [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         else:
             columns[name] = column.to_pylist()
-    columns["tail"] = [s if t is None else t for s, t in zip(columns["text"], columns["tail"], strict=True)]
     return [dict(zip(columns, row, strict=True)) for row in zip(*columns.values(), strict=True)]
 
 

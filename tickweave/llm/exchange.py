@@ -14,6 +14,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tickweave.llm.hashing import mix
 from tickweave.llm.shared import lean_group, partitions
@@ -21,13 +22,16 @@ from tickweave.llm.shared import lean_group, partitions
 #: ``bucket`` is negative for what a block keeps for itself.
 ASKED = "block long, bucket int, packed binary"
 MOST_BUCKETS = 1 << 20
+#: Of the compression: packed values are most of what is shuffled.
+LEVEL = 6
 
 
 def packed(columns: dict[str, pa.Array]) -> bytes:
     """Columns as one compressed value."""
     batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))
+    with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -69,10 +73,20 @@ def answered(asked: DataFrame, answer: Callable[[pa.Table], pa.Table]) -> DataFr
     return asked.where("bucket >= 0").groupBy("bucket").applyInArrow(lean_group(answer), ASKED)
 
 
-def finished(asked: DataFrame, answers: DataFrame, finish: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+def through(asked: DataFrame, answer: Callable[[pa.Table], pa.Table], count: int) -> DataFrame:
+    """As ``answered``, and what the blocks keep for themselves goes along, so ``asked`` is read once and never stored."""
+    owner = F.when(F.col("bucket") < 0, -1 - F.pmod("block", F.lit(count)).cast("int")).otherwise(F.col("bucket"))
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["block", "bucket", "packed"])
+        return answer(rows) if rows.column("bucket")[0].as_py() >= 0 else rows
+
+    return asked.withColumn("owner", owner).groupBy("owner").applyInArrow(lean_group(run), ASKED)
+
+
+def finished(parts: DataFrame, finish: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """``finish`` for every block: what it kept and the answers it got, to result rows."""
-    both = asked.where("bucket < 0").unionByName(answers)
-    return both.groupBy("block").applyInArrow(lean_group(finish), schema)
+    return parts.groupBy("block").applyInArrow(lean_group(finish), schema)
 
 
 def in_order(table: pa.Table) -> tuple[dict[int, pa.RecordBatch], list[pa.RecordBatch]]:
