@@ -84,6 +84,8 @@ class Coder:
         for name, i in names.items():
             self.names[i], self.ends[i] = name, name.endswith(end) or i in added
         self.joins = _joins()
+        #: the narrowest type that holds all ids, for what is shuffled
+        self.narrow = np.uint16 if size <= 1 << 16 else np.uint32
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Ids of each text, and the places and numbers of tokens before every end of a word."""
@@ -274,7 +276,7 @@ def _answers_of(coder: Coder, encode: WordIds, names: list[str]) -> dict[str, pa
     borders = [none if c else next(found) for c in closed]
     at = np.r_[0, np.cumsum([len(p) for p, _ in borders])].astype(np.int64)
     return {
-        "ids": pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(ids)),
+        "ids": pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(ids.astype(coder.narrow))),
         "closed": pa.array(closed),
         "text": pa.array(text, pa.large_string()),
         "tail": pa.array(tail, pa.large_string()),
