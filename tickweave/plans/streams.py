@@ -10,6 +10,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tickweave.functions.quotes import micro_price, mid
 from tickweave.operators import stats
 from tickweave.plans import checks as C
 from tickweave.plans import market as M
@@ -70,6 +71,46 @@ def stream_quotes_fill(spark, d):
     return _real(out).select("symbol", day_text(), "ts_ms", "bid_px", "bid_sz", *r(["ask_px"]), "ask_sz")
 
 
+@query(
+    "stream_quotes_silent",
+    f"""with {S.QUOTES}, b as (select symbol, day, min(ts_ms) as f from q group by 1,2),
+g as (select symbol, day, unnest(generate_series((f+59999)//60000*60000, epoch_ms(day + interval 1 day), 60000)) as ts_ms from b), {S.TOP}
+select symbol, cast(day as varchar) as day, ts_ms, bid_px, bid_sz, round(ask_px,6) as ask_px, ask_sz from top""",
+)
+def stream_quotes_silent(spark, d):
+    """Keys that have no more quotes are filled by timers to the end of their day."""
+    q = V._quotes(event_stream(spark, d), "ts")
+    filled = ticks.fill_ticks(ticks.last_quotes(q, GRID_MS, _QUOTE_COLS), GRID_MS, _QUOTE_COLS, silent_ms=60 * GRID_MS)
+    out = run.results(spark, run.run_to_end(filled, "silent"))
+    return _real(out).select("symbol", day_text(), "ts_ms", "bid_px", "bid_sz", *r(["ask_px"]), "ask_sz")
+
+
+def _priced(spark, d, name, value):
+    """Newest quote per tick with one price computed from it."""
+    q = V._quotes(event_stream(spark, d), "ts").withColumn(name, value)
+    return ticks.last_quotes(q, GRID_MS, [name])
+
+
+@query("stream_features", SQL["log_return_realized_vol"])
+def stream_features(spark, d):
+    m = mid(F.col("bid_px"), F.col("ask_px"))
+    price = micro_price(F.col("bid_px"), F.col("bid_sz"), F.col("ask_px"), F.col("ask_sz"), m)
+    live = ticks.price_features(_priced(spark, d, "micro_price", price), GRID_MS, M.VOL, M.RETURN_TICKS)
+    out = run.results(spark, run.run_to_end(live, "features"))
+    names = [f"realized_vol_{k}" for k in M.VOL]
+    return _real(out).select("symbol", day_text(), "ts_ms", *r(["micro_price_log_ret"]), *r(names, 5))
+
+
+@query("stream_alerts", SQL["risk_price_alerts"])
+def stream_alerts(spark, d):
+    live = ticks.price_alerts(
+        _priced(spark, d, "mid", mid(F.col("bid_px"), F.col("ask_px"))), GRID_MS, jump=0.5, jump_ms=GRID_MS, crash=0.3,
+        crash_ms=5 * GRID_MS, cooldown_ms=1_800_000,
+    )
+    out = run.results(spark, run.run_to_end(live, "alerts"))
+    return _real(out).select("symbol", day_text(), "ts_ms", "price_jump", "crash", "blocked")
+
+
 @query(
     "stream_rolling",
     f"""with {S.QUOTES}, {S.TRADES}, {S.GRID}, {S.FLOW}, x as (select *, {M._OFI_SQL}, {M._ABS_SQL} from flow)
