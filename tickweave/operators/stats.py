@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickweave import schemas
 from tickweave.functions.quotes import finite_or_zero, is_invalid, zscore
+from tickweave.operators.splits import walk_forward_folds
 from tickweave.session import materialise
 
 EPS = 1e-8  # fixed value: below this a deviation counts as constant
@@ -41,6 +42,71 @@ def norm_stats(train: DataFrame, features, by=("symbol",), nan_policy: str = "ne
     return long.select(*by, "e.feature", "e.mean", "e.std", "n")
 
 
+def day_moments(df: DataFrame, features, by=("symbol",), day: str = "day") -> DataFrame:
+    """Partial moments to be stored: ``(by, day, feature, n, c, mean, m2)``, one row per key, day and feature.
+
+    ``n`` counts rows, ``c`` those with a finite value, ``m2`` is the sum of squared deviations
+    of the latter from their mean. A batch adds rows of its own; :func:`merge_moments` joins any
+    number of them, so nothing is read again when days or batches are added.
+    """
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for f in features:
+        x = F.when(~is_invalid(F.col(f)), F.col(f).cast("double"))
+        aggs += [F.count(x).alias(f"c_{f}"), F.avg(x).alias(f"m_{f}"), F.var_pop(x).alias(f"v_{f}")]
+
+    def entry(f: str) -> Column:
+        c = F.col(f"c_{f}")
+        filled = [F.coalesce(F.col(x), F.lit(0.0)) for x in (f"m_{f}", f"v_{f}")]
+        return F.struct(F.lit(f).alias("feature"), c.alias("c"), filled[0].alias("mean"), (filled[1] * c).alias("m2"))
+
+    wide = df.groupBy(*by, day).agg(*aggs)
+    long = wide.select(*by, day, "n", F.explode(F.array(*[entry(f) for f in features])).alias("e"))
+    return long.select(*by, day, "e.feature", "n", "e.c", "e.mean", "e.m2")
+
+
+def merge_moments(parts: DataFrame, by=("symbol",), day: str = "day") -> DataFrame:
+    """``(by, feature, n, c, mean, m2)`` of all rows behind ``parts``, merged one after the other.
+
+    The list of a group is as long as it has days and batches. Merging moves the mean by the
+    weighted difference, so large values with a small spread lose nothing, unlike sums of squares.
+    """
+    part = F.struct(F.col(day), "n", "c", "mean", "m2")
+
+    def join(a: Column, b: Column) -> Column:
+        c = a["c"] + b["c"]
+        step, share = b["mean"] - a["mean"], F.coalesce(F.try_divide(b["c"], c), F.lit(0.0))
+        return F.struct(
+            (a["n"] + b["n"]).alias("n"), c.alias("c"), (a["mean"] + step * share).alias("mean"),
+            (a["m2"] + b["m2"] + step * step * a["c"] * share).alias("m2"),
+        )
+
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    lists = parts.groupBy(*by, "feature").agg(F.sort_array(F.collect_list(part)).alias("_parts"))
+    return lists.select(*by, "feature", F.aggregate("_parts", none, join).alias("e")).select(*by, "feature", "e.*")
+
+
+def moments_stats(merged: DataFrame, by=("symbol",), nan_policy: str = "neutral") -> DataFrame:
+    """The table of :func:`norm_stats` from merged moments."""
+    if nan_policy not in ("neutral", "skip"):
+        raise ValueError(f"unknown nan_policy {nan_policy!r}")
+    ok = (F.col("c") == F.col("n")) if nan_policy == "neutral" else (F.col("c") > 0)
+    std = F.sqrt(F.try_divide("m2", "c"))
+    return merged.select(
+        *by, "feature", F.when(ok, F.col("mean")).otherwise(0.0).alias("mean"),
+        F.when(ok & (std >= EPS), std).otherwise(1.0).alias("std"), "n",
+    )
+
+
+def fold_stats(parts: DataFrame, folds, by=("symbol",), day: str = "day", nan_policy: str = "neutral") -> DataFrame:
+    """Train statistics of every fold, with ``fold``, from stored partial moments.
+
+    What is repeated per fold are the days' moments, never the rows behind them.
+    """
+    train = walk_forward_folds(parts, folds, day).where("split = 'train'")
+    keys = ["fold", *by]
+    return moments_stats(merge_moments(train, keys, day), keys, nan_policy)
+
+
 def sanitised(stats: DataFrame) -> DataFrame:
     """Loaded statistics made safe: non-finite mean 0, non-finite or tiny deviation 1."""
     bad_std = is_invalid(F.col("std")) | (F.col("std") < EPS)

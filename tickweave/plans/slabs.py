@@ -108,6 +108,26 @@ def norm_stats(spark, d):
     return stats.norm_stats(train, V.TRAIN_FEATURES).select("symbol", "feature", *r(["mean", "std"], 5), "n")
 
 
+_FOLD_STATS = " union all ".join(
+    f"""select fold, symbol, '{f}' as feature, round(avg({f}),5) as mean,
+    round(case when stddev_pop({f})<1e-8 then 1 else stddev_pop({f}) end,5) as std, count(*) as n from x group by 1,2"""
+    for f in V.TRAIN_FEATURES
+)
+
+
+@query(
+    "fold_stats",
+    f"""with {_TRAIN}, {_FOLDS_SQL}, x as (select fo.fold, tf.* from tf join fo on tf.day between fo.a and fo.b where split='train')
+select cast(fold as integer) as fold, * exclude (fold) from ({_FOLD_STATS})""",
+)
+def fold_stats(spark, d):
+    """Moments of each day are stored once; every fold merges its days."""
+    parts = materialise(stats.day_moments(V.train_frame(spark, d), V.TRAIN_FEATURES), "moments")
+    lo, hi = parts.agg(F.min("day"), F.max("day")).first()
+    folds = splits.make_folds(lo.isoformat(), hi.isoformat(), **FOLD_DAYS)
+    return stats.fold_stats(parts, folds).select("fold", "symbol", "feature", *r(["mean", "std"], 5), "n")
+
+
 _Z = ", ".join(
     f"round(greatest(least((f.{c}-{c}_s.mean)/{c}_s.std,1.5),-1.5),5) as {c}" for c in V.TRAIN_FEATURES
 )
