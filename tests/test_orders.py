@@ -192,3 +192,37 @@ def test_position_pnl(spark):
     assert r.gross_pnl == pytest.approx(0.6) and r.net_pnl == pytest.approx(0.6 - 0.002 - 0.005 - 0.0005)
     r, _ = orders.position_pnl(legs, ["pid"], leverage=6, include_slippage=False).orderBy("pid").collect()
     assert r.net_pnl == pytest.approx(0.6 - 0.002 - 0.0005)
+
+
+def test_market_fill_in_steps_compiles_and_equals_the_expression(spark):
+    from tickweave.functions import execution as E
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(200):
+        depth = np.sort(rng.integers(0, 9, 8)).astype(float)
+        if i % 9 == 0:
+            depth[:] = 0.0
+        cells = [None if i % 17 == 0 and k == 5 else float(x) for k, x in enumerate(depth)]
+        rows.append((i, int(rng.choice([-1, 1])), float(rng.integers(0, 900)), 100.0, 99.9, 100.1, float(rng.integers(0, 3) * 50), 0.5, *cells))
+    ask, bid = [f"a{i}" for i in range(4)], [f"b{i}" for i in range(4)]
+    names = ["i", "side", "notional", "mid", "bid", "ask", "volume", "tick", *ask, *bid]
+    df = spark.createDataFrame(rows, "i int, side int, " + ", ".join(f"{n} double" for n in names[2:]))
+    c = F.col
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    # without the fallback a stage that can't be compiled fails the job
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for cfg in (E.CostConfig(), E.CostConfig(zero_depth_is_book=True), E.CostConfig(walk_book=False)):
+            steps = E.with_market_fill(df, "fill", "side", "notional", "mid", "bid", "ask", c("volume"), "tick", ask, bid, cfg)
+            assert steps.columns == [*names, "fill"]
+            got = {r.i: r.fill for r in steps.select("i", "fill").collect()}
+            spark.conf.set("spark.sql.codegen.fallback", "true")
+            whole = E.market_fill(
+                c("side"), c("notional"), c("mid"), c("bid"), c("ask"), c("volume"), c("tick"), [c(x) for x in ask], [c(x) for x in bid], cfg
+            )
+            want = {r.i: r.fill for r in df.select("i", whole.alias("fill")).collect()}
+            spark.conf.set("spark.sql.codegen.fallback", "false")
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)

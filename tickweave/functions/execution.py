@@ -124,6 +124,42 @@ def market_fill(
     )
 
 
+def with_market_fill(
+    df: DataFrame, name: str, side: str, notional: str, mid: str, bid: str, ask: str, volume: Column, tick: str, ask_depth: list[str],
+    bid_depth: list[str], cfg: CostConfig = CostConfig(),
+) -> DataFrame:
+    """``market_fill`` as the column ``name``, its shared steps as columns of their own.
+
+    As one expression the side's depth and the walk through it stand in the plan wherever they
+    are used, which is more code than the JVM compiles. The planner doesn't merge projections
+    whose results are used more than once, so each step is computed once.
+    """
+    c, buy = F.col, F.col(side) > 0
+    depth = [f"_depth_{i}" for i in range(len(ask_depth))]
+    sided = {d: F.when(buy, c(a)).otherwise(c(b)) for d, a, b in zip(depth, ask_depth, bid_depth, strict=True)}
+    df = df.withColumns(sided | {"_top": F.when(buy, c(ask)).otherwise(c(bid))})
+    shown = F.least(*[F.coalesce(c(d), F.lit(-1.0)) for d in depth]) >= 0
+    if not cfg.zero_depth_is_book:
+        shown = shown & (F.greatest(*[c(d) for d in depth]) > 0)
+    df = df.withColumns(
+        {
+            "_use": F.coalesce(shown, F.lit(False)) & F.lit(cfg.walk_book),
+            "_book": walk_book(c(side), c(notional), c(mid), c("_top"), [c(d) for d in depth]),
+            "_slip": sqrt_impact(c(notional), volume, cfg.slippage_c, cfg.slippage_noise),
+        }
+    )
+    df = df.withColumn("_moved", c("_top") * (1 + c(side) * c("_slip")))
+    bounded = F.when(buy, F.greatest(c("_moved"), c(mid))).otherwise(F.least(c("_moved"), c(mid)))
+    df = df.withColumn("_price", F.when(c("_use"), c("_book")["price"]).otherwise(bounded))
+    fill = F.struct(
+        round_adverse(c("_price"), c(tick), c(side)).alias("price"),
+        F.lit(cfg.fee_taker_bps / 10_000.0).alias("fee"),
+        F.when(c("_use"), c("_book")["slippage"]).otherwise(c("_slip")).alias("slippage"),
+        c("_use").alias("used_book"),
+    )
+    return df.withColumn(name, fill).drop(*depth, "_top", "_use", "_book", "_slip", "_moved", "_price")
+
+
 def trade_through(side: Column, post: Column, bid: Column, ask: Column, volume: Column | None = None, resting: Column | None = None):
     """A posted price is hit when the other side trades through it; the queue test is optional."""
     hit = F.when(side > 0, ask <= post).otherwise(bid >= post)

@@ -105,12 +105,11 @@ def market_fills(
     """
     found = lookup(orders, snaps, grid_ms, keys, [*ASK_DEPTH, *BID_DEPTH])
     found = X.with_tick_size(found, cfg.tick_sizes, cfg.default_tick_size)
-    fill = X.market_fill(
-        F.col("side"), F.col("notional"), F.col("next_mid"), F.col("next_bid_px"), F.col("next_ask_px"),
-        F.col("row_volume") * F.col("row_mid"), F.col("tick_size"),
-        [F.col(f"next_{c}") for c in ASK_DEPTH], [F.col(f"next_{c}") for c in BID_DEPTH], cfg,
-    )
-    return found.withColumn("fill", F.when(F.col("status") == "filled", fill))
+    found = X.with_market_fill(
+        found.withColumn("_volume", F.col("row_volume") * F.col("row_mid")), "fill", "side", "notional", "next_mid", "next_bid_px",
+        "next_ask_px", F.col("_volume"), "tick_size", [f"next_{c}" for c in ASK_DEPTH], [f"next_{c}" for c in BID_DEPTH], cfg,
+    ).drop("_volume")
+    return found.withColumn("fill", F.when(F.col("status") == "filled", F.col("fill")))
 
 
 def limit_lifetimes(orders: DataFrame, snaps: DataFrame, max_age: int = 10, keys=("symbol", "day"), resting=None):
