@@ -37,3 +37,9 @@ def frame(spark, rows=ROWS):
 
 def fold(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def thue_morse(n, a="a", b="b"):
+    """Two strings of ``n`` letters, the Thue-Morse word and its complement, which polynomials modulo 2**64 mix up."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tests.llm.cases import ROWS, frame
+from tests.llm.cases import ROWS, frame, thue_morse
 from tickweave.llm import chunk_reuse
 from tickweave.llm.chunk_reuse import cut_places, encode
 from tickweave.llm.hashing import buffer
@@ -80,3 +80,8 @@ def test_shared_passages_are_cut_alike():
 
 def test_empty_table(spark):
     assert encode(frame(spark, []), PATH).count() == 0
+
+
+def test_chunks_that_a_polynomial_mixes_up(spark):
+    rows = list(enumerate([*thue_morse(1024), *thue_morse(4096)]))
+    assert coded(spark, rows) == plain(rows)

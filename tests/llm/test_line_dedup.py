@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from tests.llm.cases import EXTRA, ROWS, frame
+from tests.llm.cases import EXTRA, ROWS, frame, thue_morse
 from tickweave.llm import line_dedup
 from tickweave.llm.registry import QUERIES
 from tickweave.llm.shared import documents
@@ -78,3 +78,12 @@ def test_empty_table(spark):
 def test_counts_may_have_other_names(spark):
     out = line_dedup.dedup_lines(frame(spark, ROWS[:2]), counts=("a", "b"))
     assert out.columns[-2:] == ["a", "b"]
+
+
+@pytest.mark.parametrize("size", [512, 1024, 2048, 4096])
+def test_lines_that_a_polynomial_mixes_up(spark, size):
+    one, two = thue_morse(size)
+    rows = [(1, one), (2, two), (3, f"{one} z"), (4, f"{two} z")]
+    got = line_dedup.dedup_lines(frame(spark, rows), least=1).collect()
+    gone = brute.gone_lines(rows, least=1)
+    assert {r.doc_id: r.n_removed for r in got} == {i: int((i, 0) in gone) for i, _ in rows} == dict.fromkeys(range(1, 5), 0)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from tests.llm.cases import ROWS, frame
+from tests.llm.cases import ROWS, frame, thue_morse
 from tickweave.llm import ngram_join
 from tickweave.llm.components import components
 
@@ -77,3 +77,11 @@ def test_components_of_a_path_and_a_star(spark):
     got = components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {r.node: r.root for r in got} == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("size", [512, 1024, 4096])
+def test_words_that_a_polynomial_mixes_up(spark, size):
+    rows = list(enumerate([*thue_morse(size), *(" ".join([w] * 9) for w in thue_morse(size, "c", "d"))]))
+    got = ngram_join.near_duplicates(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(rows)
+    assert all(r.doc_id == r.component_id for r in got)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from tests.llm.cases import PASSAGE, ROWS, frame
+from tests.llm.cases import PASSAGE, ROWS, frame, thue_morse
 from tickweave.llm.suffix import common_prefixes, covered, remove_repeats, suffix_array
 
 
@@ -55,3 +55,13 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert remove_repeats(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_strings_that_a_polynomial_mixes_up(spark, size):
+    one, two = thue_morse(size)
+    data = [(1, one), (2, two), (3, "x" + one)]
+    got = remove_repeats(frame(spark, data), length=size, gram=16).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: size, 2: 0, 3: size}
+    texts = np.frombuffer(f"{one}{two}".encode(), np.uint8)
+    assert common_prefixes(texts, np.array([0]), np.array([size]), size).tolist() == [0]

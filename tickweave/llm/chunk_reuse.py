@@ -152,7 +152,7 @@ def _chunks(
     code = coded.indices.to_numpy(zero_copy_only=False)
     sums = prefix_sums(data)
     hashes = np.zeros(len(coded.dictionary), U64)
-    hashes[code] = span_hash(sums, at[:-1], at[1:])
+    hashes[code] = span_hash(data, sums, at[:-1], at[1:])
     return coded, first, hashes
 
 

@@ -3,15 +3,22 @@
 A batch is one byte buffer with document borders. Words are runs of bytes other than
 space and 0x09-0x0D, with A to Z lower-cased. The hash of a word is the difference of
 two prefix sums of a random-table polynomial modulo 2**64, passed through a mixer, so
-no string is made for any word.
+no string is made for any word. That polynomial can't tell some strings of two letters
+apart once they are long (Thue-Morse words), so runs above ``SHORT`` bytes are named by
+xxh3 of their bytes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
+#: Longer runs of bytes are named by xxh3.
+SHORT = 32
+#: Powers that a worker keeps for later batches.
+KEPT = 1 << 21
 _ROOT = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_ROOT, -1, 1 << 64)
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64)
@@ -33,11 +40,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int, k: int, base: int) -> np.ndarray:
-    if len(_powers[k]) < n:
-        steps = np.full(max(n, 1 << 16), base, U64)
-        steps[0] = 1
-        _powers[k] = np.multiply.accumulate(steps)
-    return _powers[k][:n]
+    if len(_powers[k]) >= n:
+        return _powers[k][:n]
+    steps = np.full(max(n, 1 << 16), base, U64)
+    steps[0] = 1
+    made = np.multiply.accumulate(steps)
+    # workers are reused, so what one very long text needs isn't kept
+    if n <= KEPT:
+        _powers[k] = made
+    return made[:n]
 
 
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,10 +66,16 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(data: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the byte runs ``start:end``; equal bytes give equal hashes wherever they stand."""
     back = _power(len(sums), 1, _INVERSE)
-    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(U64))
+    out = mix((sums[end] - sums[start]) * back[start] + (end - start).astype(U64))
+    far = np.flatnonzero(end - start > SHORT)
+    if len(far):
+        view, name = memoryview(data), xxhash.xxh3_64_intdigest
+        both = zip(start[far].tolist(), end[far].tolist(), strict=True)
+        out[far] = np.fromiter((name(view[a:b]) for a, b in both), U64, len(far))
+    return out
 
 
 def raw_hashes(sums: np.ndarray, size: int) -> np.ndarray:
@@ -86,7 +103,7 @@ def words(
     if len(cut):
         starts, ends = np.sort(np.r_[starts, cut]), np.sort(np.r_[ends, cut])
     doc = np.searchsorted(borders, starts, "right") - 1
-    return span_hash(prefix_sums(data) if sums is None else sums, starts, ends), doc, starts
+    return span_hash(data, prefix_sums(data) if sums is None else sums, starts, ends), doc, starts
 
 
 def shingles(word: np.ndarray, doc: np.ndarray, n_docs: int, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

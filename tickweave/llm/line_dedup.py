@@ -69,7 +69,7 @@ def lines_and_words(column: pa.Array, least: int):
     data, starts, ends, owner = line_table(column)
     sums = hashing.prefix_sums(data)
     word, line, _ = hashing.words(data, np.r_[starts, len(data)], sums)
-    ids = np.maximum(hashing.span_hash(sums, starts, ends), np.uint64(1))
+    ids = np.maximum(hashing.span_hash(data, sums, starts, ends), np.uint64(1))
     ids[np.bincount(line, minlength=len(starts)) < least] = 0
     return data, starts, ends, owner, ids, word, line
 
@@ -303,7 +303,8 @@ class _Join:
                 size = np.array([len(x) for x in text], np.int64)
                 joined = np.frombuffer(b"".join(text), np.uint8)
                 edge = np.r_[0, np.cumsum(size)]
-                ids = np.maximum(hashing.span_hash(hashing.prefix_sums(joined), edge[:-1], edge[1:]), np.uint64(1))
+                name = hashing.span_hash(joined, hashing.prefix_sums(joined), edge[:-1], edge[1:])
+                ids = np.maximum(name, np.uint64(1))
                 n, maps = word_maps(text)
                 yield pa.RecordBatch.from_arrays(
                     [

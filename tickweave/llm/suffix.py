@@ -71,8 +71,8 @@ class Anchors:
         first, count = runs(at)
         at, self.left, self.right = at[first], starts[first], starts[first + count - 1] + length
         self.doc = np.searchsorted(borders, at, "right") - 1
-        self.key = hashing.span_hash(sums, at, at + gram)
-        whole = hashing.span_hash(sums, self.left, self.right)
+        self.key = hashing.span_hash(data, sums, at, at + gram)
+        whole = hashing.span_hash(data, sums, self.left, self.right)
         self.context = hashing.mix(whole + (at - self.left).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -135,16 +135,18 @@ def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None)
 
 def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """Length of the common prefix of the suffixes at ``a`` and ``b``, up to ``depth``; both are that long."""
-    sums = hashing.prefix_sums(text)
-    held, step = np.zeros(len(a), np.int64), 1
-    while 2 * step <= depth:
-        step *= 2
-    while step:
-        more = np.minimum(held + step, depth)
-        same = hashing.span_hash(sums, a + held, a + more) == hashing.span_hash(sums, b + held, b + more)
-        held = np.where(same, more, held)
-        step //= 2
-    return held
+    # eight bytes from every place as one number; the first byte is the lowest
+    eight = np.lib.stride_tricks.sliding_window_view(np.r_[text, np.zeros(7, np.uint8)], 8)
+    wide = np.ascontiguousarray(eight).view("<u8").ravel()
+    held, same = np.full(len(a), depth, np.int64), np.arange(len(a))
+    for k in range(0, depth, 8):
+        x = wide[a[same] + k] ^ wide[b[same] + k]
+        differ = np.flatnonzero(x)
+        # the lowest set bit lies in the first byte that differs
+        low = x[differ] & (~x[differ] + np.uint64(1))
+        held[same[differ]] = k + np.bitwise_count(low - np.uint64(1)).astype(np.int64) // 8
+        same = same[x == 0]
+    return np.minimum(held, depth)
 
 
 def repeats(contexts: list[bytes], twice: np.ndarray, length: int) -> list[np.ndarray]:
