@@ -27,6 +27,8 @@ from tickweave.llm.shared import documents, lean, shards, small_batches
 from tickweave.llm.vocabulary import WordIds
 
 Cut = tuple[int, int, int]  # item, start in it, length
+#: Windows of an Arrow batch.
+BATCH = 64
 
 
 def differencing(sizes: np.ndarray, windows: int) -> list[list[int]]:
@@ -190,18 +192,23 @@ def pack(
                 [pa.array(v, t) for v, t in zip(out, types, strict=True)], names[: len(out)]
             )
 
-        def flush() -> pa.RecordBatch:
+        def settled() -> tuple[list[list[Cut]], list[tuple]]:
             nonlocal held
             pieces, sizes = held, np.array([len(p[2]) for p in held], np.int64)
             if not cut:
                 held = []
-                return emit(whole_windows(sizes, window), pieces)
+                return whole_windows(sizes, window), pieces
             made, over = full_windows(sizes, window)
             held = [
-                (pieces[i][0], pieces[i][1] + start, pieces[i][2][start : start + n], pieces[i][3])
+                (pieces[i][0], pieces[i][1] + start, pieces[i][2][start : start + n].copy(), pieces[i][3])
                 for i, start, n in over
             ]
-            return emit(made, pieces)
+            return made, pieces
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            made, pieces = settled()
+            for i in range(0, len(made), BATCH):
+                yield emit(made[i : i + BATCH], pieces)
 
         for batch in shards(batches, "text", 4 << 20):
             id_type = batch.schema.field("doc_id").type
@@ -216,15 +223,15 @@ def pack(
                 if at < len(own):
                     # a copy, so that the piece does not hold on to a long document
                     held.append((doc, at, own[at:].copy(), len(own)))
-                if len(full) >= 512:
-                    yield emit([[(i, 0, window)] for i in range(len(full))], full)
-                    full = []
+                    if len(full) >= BATCH:
+                        yield emit([[(i, 0, window)] for i in range(len(full))], full)
+                        full = []
                 if len(held) >= block:
-                    yield flush()
+                    yield from flush()
             if full:
                 yield emit([[(i, 0, window)] for i in range(len(full))], full)
         if held:
-            yield flush()
+            yield from flush()
         if held:
             yield emit(powers([(i, 0, len(p[2])) for i, p in enumerate(held)]), held)
 
