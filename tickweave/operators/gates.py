@@ -67,6 +67,35 @@ def score_summary(
     return out.join(mid.groupBy(*by).agg(*quantile_columns(length, {"median_length": 0.5})), by, "left")
 
 
+def score_sketches(df: DataFrame, by=("candidate",), value="reward", k: int = 1000) -> DataFrame:
+    """Moments and a quantile sketch of the scores of each group; ``by`` may hold a batch or a day, to be merged later.
+
+    The rank of a quantile is off by about ``2.3 / k ** 0.97`` (0.3 % at 1000) at most, with 99 %
+    confidence, whatever the number of rows; a sketch takes about ``30 k`` bytes. Nulls don't count.
+    """
+    x = F.col(value)
+    return df.where(x.isNotNull()).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_episodes"), F.sum(x).alias("sum_reward"), F.min(x).alias("min_reward"),
+        F.max(x).alias("max_reward"), F.kll_sketch_agg_double(x.cast("double"), k).alias("sketch"),
+    )
+
+
+def merged_sketches(sketches: DataFrame, by=("candidate",)) -> DataFrame:
+    """Sketches of finer groups merged; only sketches travel, never scores."""
+    return sketches.groupBy(*by).agg(
+        *[F.sum(c).alias(c) for c in ("n_episodes", "sum_reward")], F.min("min_reward").alias("min_reward"),
+        F.max("max_reward").alias("max_reward"), F.kll_merge_agg_double("sketch").alias("sketch"),
+    )
+
+
+def sketch_summary(sketches: DataFrame, quantiles: dict[str, float] | None = None) -> DataFrame:
+    """Mean, range and approximate ``quantiles`` of each sketch; the exact figures are ``score_summary``'s."""
+    wanted = quantiles or {"median_reward": 0.5, "p5_reward": 0.05, "p95_reward": 0.95}
+    out = sketches.withColumn("mean_reward", F.col("sum_reward") / F.col("n_episodes"))
+    cols = {name: F.kll_sketch_get_quantile_double("sketch", F.lit(q)) for name, q in wanted.items()}
+    return out.withColumns(cols).drop("sketch", "sum_reward")
+
+
 def positive_rate(df: DataFrame, by=("candidate",), value="reward") -> DataFrame:
     x = F.col(value)
     return df.groupBy(*by).agg(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickweave.functions import execution as X
 from tickweave.functions.quotes import clip
-from tickweave.operators import grid, ledger, orders
+from tickweave.operators import crossing, grid, ledger, orders
 from tickweave.operators.scan import BLOCK, Running, blocked, scan
 from tickweave.plans import sqlviews as S
 from tickweave.plans import views as V
@@ -191,6 +191,30 @@ def limit_fill_lifetime(spark, d):
     return out.select("order_id", "side", "post_tick", *r(["post_price"]), "filled", "age")
 
 
+@query(
+    "limit_fill_any_age",
+    S.SNAPS + f""", {_SCHED}, {_next(_COLS[:4])},
+p as (select order_id, side, ip.symbol, nx.next_ts_ms as post_tick, ip.at+1 as post_pos, {_side("next_bid_px", "next_ask_px")} as post_price
+  from ip left join nx on ip.symbol=nx.symbol and ip.at=nx.pos),
+h as (select p.order_id, min(n.pos)-any_value(post_pos) as age from p join nx n on n.symbol=p.symbol
+  and n.pos>p.post_pos and n.pos<=p.post_pos+36000 where case when side>0 then n.ask_px<=post_price else n.bid_px>=post_price end group by 1)
+select p.order_id, side, post_tick, round(post_price,6) as post_price, h.age is not null as filled,
+  case when post_tick is not null then cast(coalesce(h.age, 36000) as integer) end as age from p left join h using (order_id)""",
+)
+def limit_fill_any_age(spark, d):
+    """Orders that rest for up to 36,000 rows; block minima and maxima find the first row that fills them."""
+    # two steps read the snapshots, so they are stored first
+    s = materialise(snaps(spark, d, with_rate=True), "snapshots")
+    o = orders.schedule(V.orders_x(spark, d), GRID_MS, SEED, CFG)
+    at = orders.lookup(o, s, GRID_MS)
+    posted = at.select(
+        "order_id", "symbol", F.to_date(F.timestamp_millis("next_tick")).alias("day"), "side", F.col("next_tick").alias("post_tick"),
+        F.when(F.col("side") > 0, F.col("next_bid_px")).otherwise(F.col("next_ask_px")).alias("post_price"),
+    )
+    out = crossing.crossing_lifetimes(posted, s, 36_000)
+    return out.select("order_id", "side", "post_tick", *r(["post_price"]), "filled", "age")
+
+
 @query(
     "superseded_orders",
     f"""with {S.EV}, {S.TRADES}, {S.ORDERS}, x as (select order_id, symbol, ts_ms as issue_tick, order_id%3=0 as is_market,

@@ -11,7 +11,7 @@ from tickweave.plans import views as V
 from tickweave.plans.market import day_text, r
 from tickweave.plans.registry import query
 from tickweave.session import new_path
-from tickweave.sources import logs, raw, tables
+from tickweave.sources import commits, logs, raw, tables, worklist
 
 
 @query(
@@ -207,3 +207,49 @@ def row_fingerprints(spark, d):
     one = stats.fingerprint(e, ["event_id", "value"], ["symbol"])
     two = stats.fingerprint(e.repartition(7, "value"), ["event_id", "value"], ["symbol"])
     return one.join(two, ["symbol", "n_rows", "fingerprint"]).select("symbol", "n_rows")
+
+
+@query(
+    "stored_counts",
+    f"""with {S.QUOTES} select symbol, cast(day as varchar) as day, count(*) as n_rows, min(ts_ms) as min_ts_ms, max(ts_ms) as max_ts_ms,
+  min(bid_px) as min_bid_px, max(bid_px) as max_bid_px from q group by 1,2""",
+)
+def stored_counts(spark, d):
+    """Rows and ranges of every stored day, from the footers alone."""
+    path = new_path(spark, "quotes")
+    tables.write_table(V.quotes(spark, d), path)
+    return tables.footer_facts(spark, path, ["ts_ms", "bid_px"]).withColumn("day", day_text())
+
+
+def _commits(spark, d):
+    """All days; then 'click' doubled from the 10th on; then a run of 'view' that is stopped before its commit."""
+    root, q = new_path(spark, "committed"), V.quotes(spark, d)
+    late = F.col("day") >= F.lit("2024-01-10").cast("date")
+    commits.write_committed(q.where((F.col("symbol") != "purchase") | ~late), root)
+    commits.write_committed(q.where((F.col("symbol") == "click") & late).withColumn("bid_px", F.col("bid_px") * 2), root)
+    commits.stage(q.where((F.col("symbol") == "view") | ((F.col("symbol") == "purchase") & late)).withColumn("bid_px", F.lit(0.0)), root)
+    return root, q
+
+
+@query(
+    "committed_days",
+    f"""with {S.QUOTES} select symbol, cast(day as varchar) as day, count(*) as n_rows,
+  round(sum(bid_px * case when symbol='click' and day>=date '2024-01-10' then 2 else 1 end),4) as total
+from q where symbol<>'purchase' or day<date '2024-01-10' group by 1,2""",
+)
+def committed_days(spark, d):
+    root, q = _commits(spark, d)
+    got = commits.read_committed(spark, root, q.schema)
+    out = got.groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("bid_px"), 4).alias("total"))
+    return out.withColumn("day", day_text())
+
+
+@query(
+    "committed_pending",
+    f"""with {S.QUOTES} select distinct symbol, cast(day as varchar) as day from q where symbol='purchase' and day>=date '2024-01-10'""",
+)
+def committed_pending(spark, d):
+    """Days that only an uncommitted run has written are still to be done."""
+    root, q = _commits(spark, d)
+    plan = q.select("symbol", "day").distinct()
+    return worklist.pending(plan, commits.committed(spark, root, q.schema), keys=("symbol", "day")).withColumn("day", day_text())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickweave.schemas import nan_to_null
+from tickweave.session import materialise
 
 KEYS = ("symbol", "day")
 
@@ -66,6 +67,30 @@ def row_count(df: DataFrame) -> int:
     return df.count()
 
 
+def footer_facts(spark: SparkSession, path: str, columns=(), by=KEYS) -> DataFrame:
+    """``n_rows`` and ``min_<c>``, ``max_<c>`` of ``columns`` per partition, answered by the parquet footers.
+
+    ``by`` names all partition columns. The aggregate is pushed into the scan, so no page of
+    data is read. The settings that this needs are put back; the result is written.
+    """
+    conf = spark.conf
+    keep = [x for x in conf.get("spark.sql.sources.useV1SourceList").split(",") if x and x != "parquet"]
+    wanted = {"spark.sql.sources.useV1SourceList": ",".join(keep), "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            conf.set(k, v)
+        return materialise(_footer_query(spark.read.parquet(path), columns, by), "footers")
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+
+
+def _footer_query(df: DataFrame, columns, by) -> DataFrame:
+    ends = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *ends)
+
+
 def stored_tail(df: DataFrame, n: int, total: int, pos: str = "pos") -> DataFrame:
     """Last ``n`` rows of a slab stored with its positions; row groups before the cut are skipped."""
     return df.where(F.col(pos) >= total - n)
