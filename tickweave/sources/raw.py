@@ -7,9 +7,12 @@ own; none of its rows are stored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +26,7 @@ from tickweave.sources.tables import write_table
 
 FILE = "_file"
 BAD = "_bad"
+CORRUPT = "_corrupt"
 
 # Column order of trade files without a header, and quote column names.
 TRADE_COLUMNS = (
@@ -38,29 +42,47 @@ def _names(line: Column) -> Column:
     return F.transform(F.split(F.lower(F.translate(line, '"﻿\r', "")), ","), lambda x: F.trim(x))
 
 
-def _read(spark: SparkSession, paths, needed: tuple[str, ...], wanted: tuple[str, ...], default=None) -> DataFrame:
-    """Text columns ``wanted`` of all files, by each file's own header; ``_bad`` marks lines of another width.
-
-    A header is a line that holds all ``needed`` names. Without one, ``default`` gives the
-    order of the columns; with neither, all lines of the file are bad.
-    """
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias(FILE)).where(F.trim("value") != "")
+def _headers(spark: SparkSession, paths, needed: tuple[str, ...]) -> dict[str | None, list[str]]:
+    """The files of every distinct header line, those without one under None. One short row per file reaches the driver."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias(FILE))
     is_header = F.forall(F.array(*[F.lit(n) for n in needed]), lambda n: F.array_contains(_names(F.col("value")), n))
     # cheap first test, so that most lines are not split for it
     is_header = F.instr(F.lower("value"), needed[0]).cast("boolean") & is_header
-    headers = lines.where(is_header).groupBy(FILE).agg(F.min("value").alias("_header"))
-    joined = lines.where(~is_header).join(headers, FILE, "left")
-    names = F.when(F.col("_header").isNotNull(), _names(F.col("_header")))
-    if default is not None:
-        names = F.coalesce(names, F.array(*[F.lit(n) for n in default]))
-    rows = joined.select(FILE, names.alias("_names"), F.split(F.translate("value", '"\r', ""), ",").alias("_fields"))
-    bad = F.coalesce(F.size("_names") != F.size("_fields"), F.lit(True))
+    groups: dict[str | None, list[str]] = {}
+    for row in lines.groupBy(FILE).agg(F.min(F.when(is_header, F.col("value"))).alias("header")).collect():
+        groups.setdefault(row.header, []).append(unquote(row[FILE]))
+    return groups
+
 
-    def field(name: str) -> Column:
-        place = F.array_position("_names", name).cast("int")
-        return F.when(~bad & (place > 0), F.get("_fields", place - 1)).alias(name)
+def _read(spark: SparkSession, paths, needed: tuple[str, ...], wanted: tuple[str, ...], default=None) -> DataFrame:
+    """Text columns ``wanted`` of all files, by each file's own header; ``_bad`` marks lines of another width.
 
-    return rows.select(*[field(n) for n in wanted], bad.alias(BAD), FILE)
+    A header is a line that holds all ``needed`` names. Without one, ``default`` gives the
+    order of the columns; with neither, all lines of the file are bad. Files with the same
+    header are one CSV scan.
+    """
+    scans = []
+    for header, files in _headers(spark, paths, needed).items():
+        bare = header.translate(str.maketrans("", "", '"\ufeff\r')) if header is not None else None
+        names = [x.strip(" ") for x in bare.lower().split(",")] if bare is not None else list(default or ())
+        # without names a line is one field, and bad
+        fields = [f"f{i}" for i in range(len(names))] or ["f0"]
+        schema = T.StructType([T.StructField(x, T.StringType()) for x in [*fields, CORRUPT]])
+        # the width of a line is checked only if all of its fields are read
+        reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
+        rows = reader.option("quote", "").option("maxCharsPerColumn", -1).csv(files)
+        rows = rows.select(*[F.translate(F.col(x), '"\r', "").alias(x) for x in fields], CORRUPT, F.col("_metadata.file_path").alias(FILE))
+        if header is not None:
+            place = fields[names.index(needed[0])]
+            title = F.lower(F.trim(F.translate(F.col(place), "\ufeff", "")))
+            rows = rows.where(~F.coalesce(title == needed[0], F.lit(False)))
+        bad = F.col(CORRUPT).isNotNull() if names else F.lit(True)
+        cols = [F.when(~bad, F.col(fields[names.index(n)])) if n in names else F.lit(None).cast("string") for n in wanted]
+        scans.append(rows.select(*[c.alias(n) for c, n in zip(cols, wanted, strict=True)], bad.alias(BAD), FILE))
+    if not scans:
+        texts = [T.StructField(n, T.StringType()) for n in wanted]
+        return spark.createDataFrame([], T.StructType([*texts, T.StructField(BAD, T.BooleanType()), T.StructField(FILE, T.StringType())]))
+    return reduce(DataFrame.unionByName, scans)
 
 
 def _number(name: str) -> Column:
@@ -146,6 +168,16 @@ def _gzip_error(data: bytes) -> str | None:
     return None
 
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def _place(uri: Column, asked: list[str]) -> Column:
+    """A name by which a file's URI and a path that was asked for are equal; schemes count if all paths have one."""
+    if all(re.match(_SCHEME, p) for p in asked):
+        return F.regexp_replace(uri, f"({_SCHEME})/+", "$1/")
+    return F.regexp_replace(F.regexp_replace(uri, f"{_SCHEME}(//[^/]*)?", ""), "^/+", "/")
+
+
 def readable(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``path, error`` of every path; ``error`` is null for a sound file. Only compressed files are read."""
     asked = spark.createDataFrame([(p, p.rsplit("/", 1)[-1]) for p in paths], "path string, name string")
@@ -159,15 +191,13 @@ def readable(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(packed).select("path", "content")
     seen = files.mapInPandas(check, "file string, error string").where("error is not null")
-    # a file's URI ends with the path that was asked for
-    bare = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    hit = F.expr("endswith(file, regexp_replace(path, '^[a-z0-9]+:/+', '/'))")
-    return asked.join(seen, hit & bare.isNotNull(), "left").select("path", "error")
+    return asked.join(seen, _place(F.col("path"), paths) == _place(F.col("file"), paths), "left").select("path", "error")
 
 
 def _report(paths_errors: list, counts: DataFrame, spark: SparkSession) -> DataFrame:
     asked = spark.createDataFrame([(p, p.rsplit("/", 1)[-1], e) for p, e in paths_errors], "path string, name string, error string")
-    joined = asked.join(counts, F.expr("endswith(_file, regexp_replace(path, '^[a-z0-9]+:/+', '/'))"), "left")
+    paths = [p for p, _ in paths_errors]
+    joined = asked.join(counts, _place(F.col("path"), paths) == _place(F.col(FILE), paths), "left")
     status = (
         F.when(F.col("error").isNotNull(), F.concat(F.lit("ERR: "), "name", F.lit(": "), "error"))
         .when(F.coalesce("n_kept", F.lit(0)) > 0, "ok")
