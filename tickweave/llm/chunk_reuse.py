@@ -33,12 +33,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.llm import exchange
-from tickweave.llm.hashing import U64, buffer, prefix_sums, raw_hashes, span_hash
+from tickweave.llm.hashing import U64, buffer, prefix_sums, raw_hashes
 from tickweave.llm.registry import query
 from tickweave.llm.shared import documents, lean, shards, small_batches
 from tickweave.llm.vocabulary import WordIds
@@ -149,10 +150,10 @@ def _chunks(
     first = np.searchsorted(at, borders)
     chunks = pa.LargeStringArray.from_buffers(max(0, len(at) - 1), pa.py_buffer(at), pa.py_buffer(data))
     coded = chunks.dictionary_encode()
-    code = coded.indices.to_numpy(zero_copy_only=False)
-    sums = prefix_sums(data)
-    hashes = np.zeros(len(coded.dictionary), U64)
-    hashes[code] = span_hash(data, sums, at[:-1], at[1:])
+    distinct, edges = buffer(coded.dictionary)
+    view, edges = memoryview(distinct), edges.tolist()
+    names = (xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True))
+    hashes = np.fromiter(names, U64, len(coded.dictionary))
     return coded, first, hashes
 
 
