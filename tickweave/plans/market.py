@@ -9,7 +9,7 @@ from tickweave.functions.quotes import calendar_encoding
 from tickweave.operators import features, grid, rolling
 from tickweave.plans import sqlviews as S
 from tickweave.plans import views as V
-from tickweave.plans.registry import query
+from tickweave.plans.registry import SQL, query
 
 GRID_MS = 60_000
 FLOW = {"1s": 5, "5s": 15, "30s": 60}
@@ -189,3 +189,21 @@ def feature_matrix(spark, d):
         "symbol", day_text(), "ts_ms", *_EXACT, *r(["log_spread_bps"], 4), *r(_SIX), *r(["funding_8h_rate"], 8),
         *r(_FIVE, 5), *r(_CAL), "feature_version",
     )
+
+
+_NARROW = ("mid", "bid_px", "ask_px")
+
+
+@query(
+    "feature_matrix_float",
+    SQL["feature_matrix"].rsplit("select * from z", 1)[0]
+    + f"""select z.symbol, z.day, z.ts_ms, {", ".join(f"cast(cast(s.{c} as float) as double) as {c}" for c in _NARROW)},
+  {", ".join(f"cast(0 as double) as {c}" for c in DEPTH_COLS)}
+from z join snaps s on s.symbol=z.symbol and cast(s.day as varchar)=z.day and s.ts_ms=z.ts_ms
+where {" and ".join(f"z.{c} is not null" for c in features.WARMUP_COLUMNS)}""",
+)
+def feature_matrix_float(spark, d):
+    """Features in single precision over snapshots without depth columns, which become 0."""
+    s = snaps(spark, d, with_rate=True).drop(*DEPTH_COLS)
+    f = features.build_features(s, FLOW, VOL, RETURN_TICKS, dtype="float")
+    return f.select("symbol", day_text(), "ts_ms", *[F.col(c).cast("double").alias(c) for c in (*_NARROW, *DEPTH_COLS)])
