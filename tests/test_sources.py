@@ -211,3 +211,19 @@ def test_reward_files(spark, tmp_path):
 def test_records_are_written_as_json(spark, tmp_path):
     logs.write_records(spark.range(1).select(F.lit("v").alias("feature_version")), str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).first().feature_version == "v"
+
+
+def test_rewards_split_over_files(spark, tmp_path):
+    a = put(tmp_path / "a.json", json.dumps({"policy": "p", "seed": 1, "rewards": [1.0, 2.0], "episode_lengths": [5, 6], "first_episode": 0}))
+    b = put(tmp_path / "b.json", json.dumps({"policy": "p", "seed": 1, "rewards": [3.0], "episode_lengths": [7], "first_episode": 2}))
+    got = logs.read_rewards(spark, [a, b]).orderBy("episode").collect()
+    assert [(r.episode, r.reward, r.length) for r in got] == [(0, 1.0, 5), (1, 2.0, 6), (2, 3.0, 7)]
+
+
+def test_raw_files_by_header_and_width(spark, tmp_path):
+    a = put(tmp_path / "a.csv", "transact_time,price,quantity,is_buyer_maker\n1000,10.0,2.0,true\n1001,10.0,2.0\n1002,10.0,2.0,true,9\n")
+    b = put(tmp_path / "b.csv", '"price","quantity","is_buyer_maker","transact_time"\n"11.0","2.0","false","1003"\n')
+    c = put(tmp_path / "odd name+1.csv", "transact_time,price,quantity,is_buyer_maker\n1004,12.0,2.0,true\n")
+    report = {r.path: (r.status, r.n_rows, r.n_kept) for r in raw.parse_report(spark, "trades", [a, b, c]).collect()}
+    assert report[a] == ("ok", 3, 1) and report[b] == ("ok", 1, 1)
+    assert [r.ts_ms for r in raw.parse(spark, "trades", [a, b, c]).orderBy("ts_ms").collect()] == [1000, 1003, 1004]

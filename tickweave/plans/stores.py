@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickweave import schemas
-from tickweave.operators import quality, stats
+from tickweave.operators import quality, splits, stats
 from tickweave.plans import sqlviews as S
 from tickweave.plans import views as V
 from tickweave.plans.market import day_text, r
@@ -72,12 +72,15 @@ def parse_report_rows(spark, d):
   value as reward, case when user_id%3<>1 then seq%100 end as length from ev""",
 )
 def reward_file_rows(spark, d):
-    """Reward files of every policy and seed; one seed has no lengths."""
+    """Reward files of every policy and seed, at most 10,000 episodes each; one seed has no lengths."""
     path = new_path(spark, "rewards")
-    e = V.events(spark, d).withColumn("seed", (F.col("user_id") % 3).cast("long"))
+    e = V.events(spark, d).select(F.col("symbol").alias("policy"), (F.col("user_id") % 3).cast("long").alias("seed"), "seq", "value")
+    placed = splits.positions(e, ["policy", "seed"], ["seq"])
+    first = (F.floor(F.col("pos") / 10_000) * 10_000).alias("first_episode")
     kept = F.sort_array(F.collect_list(F.struct("seq", "value", (F.col("seq") % 100).alias("length"))))
-    files = e.groupBy(F.col("symbol").alias("policy"), "seed").agg(kept.alias("k")).select(
-        "policy", "seed", F.col("k.value").alias("rewards"), F.when(F.col("seed") != 1, F.col("k.length")).alias("episode_lengths")
+    files = placed.groupBy("policy", "seed", first).agg(kept.alias("k")).select(
+        "policy", "seed", "first_episode", F.col("k.value").alias("rewards"),
+        F.when(F.col("seed") != 1, F.col("k.length")).alias("episode_lengths"),
     )
     files.write.json(path)
     return logs.read_rewards(spark, path, multiline=False).select("policy", "seed", "episode", "reward", "length")

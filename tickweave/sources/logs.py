@@ -38,6 +38,8 @@ REWARDS = T.StructType(
         T.StructField("seed", T.LongType()),
         T.StructField("rewards", T.ArrayType(T.DoubleType())),
         T.StructField("episode_lengths", T.ArrayType(T.LongType())),
+        # not in older files: the number of the file's first episode
+        T.StructField("first_episode", T.LongType()),
         T.StructField(CORRUPT, T.StringType()),
     ]
 )
@@ -94,16 +96,19 @@ def read_rewards(spark: SparkSession, path, multiline: bool = True, check: bool
     """Reward files to rows ``(source, policy, seed, episode, reward, length)``.
 
     A file without rewards is an error. Lengths are looked up by place: a file without
-    them, or with fewer of them, has null lengths.
+    them, or with fewer of them, has null lengths. Long runs are split over files, each
+    with the number of its ``first_episode``; without one, episodes count from 0.
     """
     files = _read(spark, path, REWARDS, multiline)
     if check:
         empty = files.where(F.col(CORRUPT).isNotNull() | F.coalesce(F.size("rewards") <= 0, F.lit(True))).select("source").limit(5).collect()
         if empty:
             raise ContractError(f"missing or empty rewards in {[r.source for r in empty]}")
-    each = files.select("source", "policy", "seed", "episode_lengths", F.posexplode("rewards").alias("episode", "reward"))
+    first = F.coalesce("first_episode", F.lit(0)).alias("_first")
+    each = files.select("source", "policy", "seed", "episode_lengths", first, F.posexplode("rewards").alias("_place", "reward"))
     return each.select(
-        "source", "policy", "seed", "episode", "reward", F.get("episode_lengths", F.col("episode")).alias("length")
+        "source", "policy", "seed", (F.col("_first") + F.col("_place")).alias("episode"), "reward",
+        F.get("episode_lengths", F.col("_place")).alias("length"),
     )
 
 
