@@ -225,5 +225,5 @@ def test_raw_files_by_header_and_width(spark, tmp_path):
     b = put(tmp_path / "b.csv", '"price","quantity","is_buyer_maker","transact_time"\n"11.0","2.0","false","1003"\n')
     c = put(tmp_path / "odd name+1.csv", "transact_time,price,quantity,is_buyer_maker\n1004,12.0,2.0,true\n")
     report = {r.path: (r.status, r.n_rows, r.n_kept) for r in raw.parse_report(spark, "trades", [a, b, c]).collect()}
-    assert report[a] == ("ok", 3, 1) and report[b] == ("ok", 1, 1)
+    assert report == {a: ("ok", 3, 1), b: ("ok", 1, 1), c: ("ok", 1, 1)}
     assert [r.ts_ms for r in raw.parse(spark, "trades", [a, b, c]).orderBy("ts_ms").collect()] == [1000, 1003, 1004]

@@ -61,6 +61,8 @@ def _read(spark: SparkSession, paths, needed: tuple[str, ...], wanted: tuple[str
     order of the columns; with neither, all lines of the file are bad. Files with the same
     header are one CSV scan.
     """
+    # the path comes as a URI; a plus sign stands for itself there
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     scans = []
     for header, files in _headers(spark, paths, needed).items():
         bare = header.translate(str.maketrans("", "", '"\ufeff\r')) if header is not None else None
@@ -71,7 +73,7 @@ def _read(spark: SparkSession, paths, needed: tuple[str, ...], wanted: tuple[str
         # the width of a line is checked only if all of its fields are read
         reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
         rows = reader.option("quote", "").option("maxCharsPerColumn", -1).csv(files)
-        rows = rows.select(*[F.translate(F.col(x), '"\r', "").alias(x) for x in fields], CORRUPT, F.col("_metadata.file_path").alias(FILE))
+        rows = rows.select(*[F.translate(F.col(x), '"\r', "").alias(x) for x in fields], CORRUPT, path.alias(FILE))
         if header is not None:
             place = fields[names.index(needed[0])]
             title = F.lower(F.trim(F.translate(F.col(place), "\ufeff", "")))
