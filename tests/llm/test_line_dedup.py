@@ -36,10 +36,12 @@ def check(got, rows, columns):
     assert all(list(r.asDict()) == columns for r in got)
 
 
-@pytest.mark.parametrize(("small", "block"), [(128, 1 << 16), (3, 16)])
-def test_matches_brute_force(spark, monkeypatch, small, block):
+@pytest.mark.parametrize(("small", "block", "given", "heads"), [(128, 1 << 16, 2, 64), (3, 16, 2, 64), (128, 64, 0, 1), (4, 64, 0, 1)])
+def test_matches_brute_force(spark, monkeypatch, small, block, given, heads):
     monkeypatch.setattr(line_dedup, "SMALL", small)
     monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(line_dedup, "GIVEN", given)
+    monkeypatch.setattr(line_dedup, "HEADS", heads)
     rows = texts()
     got = line_dedup.dedup_lines(frame(spark, rows)).collect()
     check(got, rows, ["doc_id", "text", *EXTRA, "n_lines", "n_removed"])
@@ -71,6 +73,22 @@ def test_short_lines_match_brute_force(spark, monkeypatch, small):
     assert {r.doc_id: r.text for r in got} == want
 
 
+def test_first_candidates_may_not_be_similar(spark, monkeypatch):
+    # each line is nearest to the one before it, so most have earlier candidates that are too far away
+    monkeypatch.setattr(line_dedup, "GIVEN", 1)
+    word = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(word[3 * i : 3 * i + 40])) for i in reversed(range(100))]
+    rows += [(200 + i, " ".join([*word[2 * i : 2 * i + 30], "x", "y"])) for i in range(100)]
+    check(line_dedup.dedup_lines(frame(spark, rows)).collect(), rows, ["doc_id", "text", *EXTRA, "n_lines", "n_removed"])
+
+
+def test_a_null_id_comes_before_the_least_one(spark):
+    line = "one two three four five six seven eight nine ten"
+    rows = [(-(1 << 63), f"{line} x"), (None, f"a\n{line} y"), (0, line)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {None: 0, -(1 << 63): 1, 0: 1}
+
+
 def test_empty_table(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 

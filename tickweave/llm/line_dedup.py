@@ -7,13 +7,15 @@ counts of fixed size (any one order keeps the join exact; a rarer start makes it
 Two sets with a Jaccard similarity of ``s`` share two words among their first
 ``n - ceil(s n) + 2``. If the rarest word they share is rare, it alone is their key; else
 the two rarest are. Classes that share a key are candidates if their sizes and the places
-of the key's first word, taken as the rarest they share, leave room for enough common words. Small groups give their
-candidate pairs at once. In a large group every class is first compared with the earliest
-one; only classes that stay unresolved meet the earlier rest of the group. A 64-bit map of
-each line's words rules out most false candidates before any text is fetched.
-
-A line is removed when its class or a similar one has an earlier line. Candidates are
-verified on their words, which are fetched for candidate classes only.
+of the key's first word, taken as the rarest they share, leave room for enough common words.
+A 64-bit map of each line's words rules out most false candidates before any text is fetched.
+
+A line is removed when its class or a similar one has an earlier line, so one similar
+earlier class is enough, and no group gives all of its pairs. A class is first compared
+with the ``GIVEN`` earliest candidates of each of its groups, whatever their size. A class
+that has more of them, and is similar to none of these, meets the rest of its groups'
+earlier classes in a second step. Candidates are verified on their words, which are fetched
+for candidate classes only.
 """
 
 from __future__ import annotations
@@ -28,15 +30,23 @@ from pyspark.sql.types import StructType
 
 from tickweave.llm import hashing
 from tickweave.llm.blobs import BLOCKS, SUMMARY, Bloom, Dealer, Tally, merged, records, runs, slices
+from tickweave.llm.exchange import buckets
 from tickweave.llm.registry import query
 from tickweave.llm.shared import documents, lean, lean_group, materialise, partitions, shards, small_batches
 
 CELLS = 1 << 21
-RECORD = np.dtype([("key", "<u8"), ("line", "<u8"), ("bits", "<u8"), ("n", "<u4"), ("at", "<u4")])
+#: A class with a key: its name, map, size and place of the key's word, and its earliest line as order-preserving numbers.
+RECORD = np.dtype([(x, "<u8") for x in ("key", "line", "bits", "doc")] + [(x, "<u4") for x in ("n", "at", "row")])
 BLOCK = 1 << 16
 PAIR = np.dtype([("key", "<u8"), ("y", "<u8")])
-#: Up to this many classes a key's group gives all of its candidate pairs at once.
+GROUP = ("x", "key", "n", "at", "bits", "doc", "row")
+SIGN = np.uint64(1 << 63)
+#: Up to this many classes a key's group is searched as one block; the records of larger ones are rows.
 SMALL = 1024
+#: Of a larger group, so many of the earliest classes are searched in the first step.
+HEADS = 64
+#: Earliest candidates that a class meets in the first step, in each of its groups.
+GIVEN = 2
 #: A word in more lines than this is never rare, whatever the size of the corpus.
 RARE = 512
 MAP_WORDS = 4
@@ -118,7 +128,7 @@ def keys_of(word: np.ndarray, line: np.ndarray, n_lines: int, rank: np.ndarray,
 
 def few_differ(n, a, m, b, num: int, den: int):
     """Whether sets of sizes ``n`` and ``m`` can be similar by their maps: a bit in one map only is a word in one set only."""
-    count = np.bitwise_count(a ^ b).astype(np.int64) if isinstance(a, np.ndarray) else F.bit_count(a.bitwiseXOR(b))
+    count = F.bit_count(a.bitwiseXOR(b)) if isinstance(a, Column) else np.bitwise_count(a ^ b).astype(np.int64)
     return (num + den) * (n + m - count) >= 2 * num * (n + m)
 
 
@@ -129,46 +139,84 @@ def possible(n, at, m, bt, num: int, den: int):
     return (den * least(n, m) >= num * (n + m - least(n, m))) & ((num + den) * room >= num * (n + m))
 
 
-def candidates(records_: np.ndarray, small: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of classes of small groups, and the records of large groups."""
-    r = records_[np.argsort(records_["key"])]
+def by_place(r: np.ndarray) -> np.ndarray:
+    """Records by key, and by the earliest line in a key's group; groups of one class are left out."""
+    r = r[np.argsort(r["key"])]
     _, length = runs(r["key"])
     r = r[np.repeat(length, length) > 1]
-    r = r[np.lexsort((r["line"], r["key"]))]
+    # several tasks may have sent a class: its earliest line counts
+    r = r[np.lexsort((r["row"], r["doc"], r["line"], r["key"]))]
     if len(r):
         r = r[np.r_[True, (r["key"][1:] != r["key"][:-1]) | (r["line"][1:] != r["line"][:-1])]]
     _, length = runs(r["key"])
-    size = np.repeat(length, length)
-    large = r[size > small]
-    r = r[(size > 1) & (size <= small)]
-    key, line, bits = (np.ascontiguousarray(r[f]) for f in ("key", "line", "bits"))
-    n, at = r["n"].astype(np.int64), r["at"].astype(np.int64)
-    left, right = [], []
-    i = np.arange(len(r))
-    for gap in range(1, small):
-        i = i[i < len(r) - gap]
-        i = i[key[i] == key[i + gap]]
-        if not len(i):
-            break
-        j = i + gap
+    r = r[np.repeat(length, length) > 1]
+    return r[np.lexsort((r["row"], r["doc"], r["key"]))]
+
+
+def candidates(r: np.ndarray, small: int, heads: int, given: int, num: int, den: int):
+    """The ``given`` earliest candidates of every record ordered by place, and whether it may have more.
+
+    Rows of the record and of the candidate, and a flag for every record. Of groups of more
+    than ``small`` classes only the ``heads`` earliest are searched.
+    """
+    first, length = runs(r["key"])
+    base, size = np.repeat(first, length), np.repeat(length, length)
+    pos = np.arange(len(r)) - base
+    bits, n, at = np.ascontiguousarray(r["bits"]), r["n"].astype(np.int64), r["at"].astype(np.int64)
+    # the last member that a record is compared with
+    last = np.where(size > small, np.minimum(pos, heads), pos)
+    found = np.zeros(len(r), np.int64)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    i, k = np.flatnonzero(last > 0), 0
+    while len(i):
+        j = base[i] + k
         ok = few_differ(n[i], bits[i], n[j], bits[j], num, den)
         a, b = i[ok], j[ok]
         ok = possible(n[a], at[a], n[b], at[b], num, den)
-        left.append(line[a[ok]])
-        right.append(line[b[ok]])
-    if not left:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), large
-    x, y = np.concatenate(left), np.concatenate(right)
-    by = np.lexsort((y, x))
-    x, y = x[by], y[by]
-    new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])] if len(x) else np.zeros(0, bool)
-    return x[new], y[new], large
+        a, b = a[ok], b[ok]
+        found[a] += 1
+        new = found[a] <= given
+        left.append(a[new])
+        right.append(b[new])
+        k += 1
+        i = i[(last[i] > k) & (found[i] <= given)]
+    return np.concatenate(left), np.concatenate(right), (found > given) | (last < pos)
+
+
+def earlier_partners(r: np.ndarray, wanted: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """All candidates before each of the ``wanted`` classes in one group ordered by place."""
+    bits, n, at = np.ascontiguousarray(r["bits"]), r["n"].astype(np.int64), r["at"].astype(np.int64)
+    left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for i in np.flatnonzero(np.isin(r["line"], wanted)):
+        ok = few_differ(n[:i], bits[:i], n[i], bits[i], num, den) & possible(n[:i], at[:i], n[i], at[i], num, den)
+        right.append(r["line"][:i][ok])
+        left.append(np.full(len(right[-1]), r["line"][i]))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def distinct_pairs(r: np.ndarray) -> np.ndarray:
+    r = r[np.lexsort((r["y"], r["key"]))]
+    return r[np.r_[True, (r["key"][1:] != r["key"][:-1]) | (r["y"][1:] != r["y"][:-1])]] if len(r) else r
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.uint64).view(np.int64))
 
 
 def places(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return hashing.mix(hashing.mix(doc.astype(np.int64).view(np.uint64)) + line.astype(np.uint64)).view(np.int64)
 
 
+def order_of(doc: pa.Array, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for every line that order lines by id and place, null ids first."""
+    null = np.asarray(doc.is_null().to_numpy(zero_copy_only=False))
+    number = pa.compute.fill_null(doc, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ SIGN
+    number = np.where(null, np.uint64(0), number)
+    row = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(doc)), "left")[owner]
+    # the highest bit puts a null before the least id
+    return number[owner], (row + np.where(null, 0, 1 << 31)[owner]).astype(np.uint32)
+
+
 def word_maps(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Number of distinct words of each folded line, and a map of them of ``64 * MAP_WORDS`` bits."""
     maps, size = np.zeros((len(texts), MAP_WORDS), np.uint64), np.array([len(x) for x in texts], np.int64)
@@ -232,55 +280,109 @@ class _Join:
         return table.where(F.col("slice").isNull()).select("doc_id", "th", "ids"), rank
 
     def groups(self, rank: np.ndarray) -> tuple[DataFrame, DataFrame]:
-        """Distinct candidate pairs ``x, y`` of small groups, and the records ``key, x, n, at, bits`` of large ones."""
+        """What every class meets first, and the groups of classes that may have more candidates.
+
+        Distinct pairs ``x, y`` with ``y`` earlier, or ``y = x`` for a class ``x`` that may have more; and the
+        groups: ``key, block`` for a small one, ``key, x, n, at, bits, doc, row`` for each class of a large one.
+        """
         least, num, den, rare = self.least, self.num, self.den, self.rare
-        buckets = 2 * partitions(self.spark)
+        count = max(2 * partitions(self.spark), buckets(self.docs))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            dealer, seen = Dealer(buckets), np.zeros(0, np.uint64)
+            dealer, seen = Dealer(count), np.zeros(0, RECORD)
             for batch in shards(batches, "text"):
-                _, _, _, _, ids, word, line = lines_and_words(batch.column("text"), least)
-                # a class once per task
-                one, where = np.unique(ids, return_index=True)
-                new = (one != 0) & ~np.isin(one, seen, assume_unique=True)
-                seen = np.union1d(seen, one[new])
+                _, _, _, owner, ids, word, line = lines_and_words(batch.column("text"), least)
+                doc, row = order_of(batch.column("doc_id"), owner)
+                used = np.flatnonzero(ids)
+                used = used[np.lexsort((row[used], doc[used], ids[used]))]
+                used = used[np.r_[True, ids[used[1:]] != ids[used[:-1]]]] if len(used) else used
+                # a class once per task, and again when an earlier line of it comes
+                at = np.searchsorted(seen["line"], ids[used])
+                old = np.append(seen, np.zeros(1, RECORD))[at]
+                known = (at < len(seen)) & (old["line"] == ids[used])
+                used = used[~known | (doc[used] < old["doc"]) | ((doc[used] == old["doc"]) & (row[used] < old["row"]))]
+                mine = np.zeros(len(used), RECORD)
+                mine["line"], mine["doc"], mine["row"] = ids[used], doc[used], row[used]
+                seen = seen[~np.isin(seen["line"], mine["line"], assume_unique=True)]
+                seen = np.concatenate([seen, mine])
+                seen = seen[np.argsort(seen["line"])]
                 keep = np.zeros(len(ids), bool)
-                keep[where[new]] = True
+                keep[used] = True
                 used = keep[line]
                 key, own, n, at, bits = keys_of(word[used], line[used], len(ids), rank, rare, num, den)
                 out = np.empty(len(key), RECORD)
                 out["key"], out["line"], out["bits"], out["n"], out["at"] = key, ids[own], bits[own], n, at
+                out["doc"], out["row"] = doc[own], row[own]
                 yield from dealer.add(out)
             yield from dealer.rest()
 
-        def pairs(table: pa.Table) -> pa.Table:
-            x, y, large = candidates(records(table, RECORD), SMALL, num, den)
-            out = np.empty(len(x), PAIR)
-            out["key"], out["y"] = x, y
-            dealer = Dealer(buckets)
-            blocks = [*dealer.add(out), *dealer.rest()]
-            columns = {"x": "line", "key": "key", "n": "n", "at": "at", "bits": "bits"}
-            rows = {k: pa.array(large[f].astype(np.uint64).view(np.int64)) for k, f in columns.items()}
-            parts = [pa.table(rows), *[pa.Table.from_batches([b]) for b in blocks]]
-            none = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), *[(k, pa.int64()) for k in columns]])
+        def meet(table: pa.Table) -> pa.Table:
+            r = by_place(records(table, RECORD))
+            a, b, more = candidates(r, SMALL, HEADS, GIVEN, num, den)
+            out = np.empty(len(a) + np.count_nonzero(more), PAIR)
+            out["key"] = np.r_[r["line"][a], r["line"][more]]
+            out["y"] = np.r_[r["line"][b], r["line"][more]]
+            dealer = Dealer(count)
+            blocks = [*dealer.add(distinct_pairs(out)), *dealer.rest()]
+            first, length = runs(r["key"])
+            stay = np.logical_or.reduceat(more, first) if len(first) else np.zeros(0, bool)
+            large = r[np.repeat(stay & (length > SMALL), length)]
+            small = np.flatnonzero(stay & (length <= SMALL))
+            groups = [r[first[g] : first[g] + length[g]].tobytes() for g in small]
+            columns = {"x": "line", "key": "key", "n": "n", "at": "at", "bits": "bits", "row": "row"}
+            rows = {k: signed(large[f]) for k, f in columns.items()} | {"doc": signed(large["doc"] ^ SIGN)}
+            parts = [pa.table(rows), pa.table({"key": signed(r["key"][first[small]]), "block": pa.array(groups, pa.binary())})]
+            none = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), *[(k, pa.int64()) for k in GROUP]])
+            parts += [pa.Table.from_batches([b]) for b in blocks]
             return pa.concat_tables([none.empty_table(), *parts], promote_options="default")
 
         def once(table: pa.Table) -> pa.Table:
-            r = records(table, PAIR)
-            r = r[np.lexsort((r["y"], r["key"]))]
-            r = r[np.r_[True, (r["key"][1:] != r["key"][:-1]) | (r["y"][1:] != r["y"][:-1])]]
-            return pa.table({"x": pa.array(r["key"].view(np.int64)), "y": pa.array(r["y"].view(np.int64))})
+            r = distinct_pairs(records(table, PAIR))
+            return pa.table({"x": signed(r["key"]), "y": signed(r["y"])})
 
         dealt = self.docs.mapInArrow(lean(run), BLOCKS).groupBy("bucket")
-        schema = "bucket int, block binary, x long, key long, n long, at long, bits long"
-        found = materialise(dealt.applyInArrow(lean_group(pairs), schema), "line-groups")
+        schema = f"bucket int, block binary, {', '.join(f'{k} long' for k in GROUP)}"
+        found = materialise(dealt.applyInArrow(lean_group(meet), schema), "line-groups")
         # a pair shares several keys and so comes from several buckets
-        met = found.where(F.col("block").isNotNull()).groupBy("bucket").applyInArrow(lean_group(once), "x long, y long")
-        return materialise(met, "met-lines"), found.where(F.col("block").isNull()).drop("bucket", "block")
+        met = found.where(F.col("bucket").isNotNull()).select("bucket", "block").groupBy("bucket")
+        met = met.applyInArrow(lean_group(once), "x long, y long")
+        return materialise(met, "met-lines"), found.where(F.col("bucket").isNull()).drop("bucket")
+
+    def others(self, open_: DataFrame, groups: DataFrame) -> DataFrame:
+        """Distinct pairs ``x, y`` of the open classes ``x`` and all their earlier candidates in ``groups``."""
+        num, den = self.num, self.den
+        small = groups.where(F.col("block").isNotNull()).select("key", "block")
+
+        def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for key, block in zip(batch.column("key"), batch.column("block"), strict=True):
+                    line = np.frombuffer(block.as_buffer(), RECORD)["line"]
+                    keys = pa.array(np.full(len(line), key.as_py()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([signed(line), keys], ["x", "key"])
 
-    def facts(self, met: DataFrame, large: DataFrame, first: DataFrame) -> DataFrame:
-        """``x, text, n, map, first`` of all classes in pairs or groups, found in the documents by a filter of fixed size."""
-        every = met.select("x").unionByName(met.select(F.col("y").alias("x"))).unionByName(large.select("x"))
+        def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, asked in zip(batch.column("block"), batch.column("asked"), strict=True):
+                    wanted = np.array(asked.as_py(), np.int64).view(np.uint64)
+                    x, y = earlier_partners(np.frombuffer(block.as_buffer(), RECORD), wanted, num, den)
+                    yield pa.RecordBatch.from_arrays([signed(x), signed(y)], ["x", "y"])
+
+        # a small group has at most SMALL classes
+        asked = small.mapInArrow(lean(members), "x long, key long").join(open_, "x")
+        asked = asked.groupBy("key").agg(F.collect_list("x").alias("asked"))
+        inside = small.join(asked, "key").select("block", "asked").mapInArrow(lean(partners), "x long, y long")
+        large = groups.where(F.col("block").isNull()).drop("block")
+        mine = large.join(open_, "x").select("key", *[F.col(c).alias(f"my_{c}") for c in GROUP if c != "key"])
+        fits = possible(*[F.col(c) for c in ("my_n", "my_at", "n", "at")], num, den) & few_differ(
+            *[F.col(c) for c in ("my_n", "my_bits", "n", "bits")], num, den
+        )
+        earlier = F.struct("doc", "row") < F.struct(F.col("my_doc").alias("doc"), F.col("my_row").alias("row"))
+        rows = mine.join(large, "key").where(earlier & fits).select(F.col("my_x").alias("x"), F.col("x").alias("y"))
+        return inside.unionByName(rows).distinct()
+
+    def facts(self, met: DataFrame, first: DataFrame) -> DataFrame:
+        """``x, text, n, map, first`` of all classes in pairs, found in the documents by a filter of fixed size."""
+        every = met.select("x").unionByName(met.select(F.col("y").alias("x")))
         needed = materialise(first.join(every.distinct(), "x"), "needed-lines")
 
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,38 +452,21 @@ class _Join:
             F.least("first", "y_first").alias("other"),
         )
 
+    def settled(self, met: DataFrame, first: DataFrame) -> DataFrame:
+        """The classes of the pairs ``met`` that are the later of two similar ones."""
+        facts = self.facts(met, first)
+        return self.verify(self.ordered(met, facts).select("x", "y"), facts.select("x", "text"))
+
     def late(self, rank: np.ndarray, first: DataFrame) -> DataFrame:
         """Classes with a similar class that has an earlier line."""
-        num, den = self.num, self.den
-        fits = lambda a, b: (
-            possible(F.col(f"{a}n"), F.col(f"{a}at"), F.col(f"{b}n"), F.col(f"{b}at"), num, den)
-            & few_differ(F.col(f"{a}n"), F.col(f"{a}bits"), F.col(f"{b}n"), F.col(f"{b}bits"), num, den)
-        )
-        met, large = self.groups(rank)
-        facts = self.facts(met, large, first)
-        texts = facts.select("x", "text")
-        pairs = self.ordered(met, facts)
-        large = large.join(facts.select("x", "first"), "x")
-        large = materialise(large, "large-groups")
-        some = not large.isEmpty()
-        if some:
-            heads = large.groupBy("key").agg(F.min(F.struct("first", "x", "n", "at", "bits")).alias("head"))
-            star = large.join(heads, "key").where(F.col("x") != F.col("head.x")).where(fits("", "head."))
-            star = star.select("x", F.col("head.x").alias("y")).distinct()
-            pairs = pairs.unionByName(self.ordered(star, facts))
-        pairs = materialise(pairs, "line-pairs")
-        # most classes are settled by their earliest candidate; the others meet all of theirs
-        best = materialise(pairs.groupBy("x").agg(F.min(F.struct("other", "y")).alias("b")).select("x", "b.y"), "best")
-        late = self.verify(best, texts)
-        rest = pairs.select("x", "y").distinct().join(late, "x", "left_anti").join(best, ["x", "y"], "left_anti")
-        late = late.unionByName(self.verify(rest, texts))
-        if some:
-            mine = [F.col(c).alias(f"my_{c}") for c in ("x", "n", "at", "bits", "first")]
-            open_ = large.join(late, "x", "left_anti").select("key", *mine)
-            meet = open_.join(large, "key").where(F.col("first") < F.col("my_first")).where(fits("my_", ""))
-            meet = self.ordered(meet.select(F.col("my_x").alias("x"), F.col("x").alias("y")).distinct(), facts)
-            late = late.unionByName(self.verify(meet.select("x", "y"), texts)).distinct()
-        return late
+        met, groups = self.groups(rank)
+        late = self.settled(met.where("x <> y"), first)
+        more = met.where("x = y").select("x")
+        open_ = materialise(more.join(late, "x", "left_anti"), "open-lines")
+        if open_.isEmpty():
+            return late
+        rest = materialise(self.others(open_, groups), "rest-lines")
+        return late.unionByName(self.settled(rest, first)).distinct()
 
 
 def removed_lines(
