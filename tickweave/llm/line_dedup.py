@@ -8,7 +8,9 @@ Two sets with a Jaccard similarity of ``s`` share two words among their first
 ``n - ceil(s n) + 2``. If the rarest word they share is rare, it alone is their key; else
 the two rarest are. Classes that share a key are candidates if their sizes and the places
 of the key's first word, taken as the rarest they share, leave room for enough common words.
-A 64-bit map of each line's words rules out most false candidates before any text is fetched.
+A map of each line's words rules out most false candidates before any text is fetched: a bit is
+the parity of the words on it, so two maps differ in at most as many bits as words are in
+one of the lines only, and a long line doesn't fill its map.
 
 A line is removed when its class or a similar one has an earlier line, so one similar
 earlier class is enough, and no group gives all of its pairs. A class is first compared
@@ -35,11 +37,11 @@ from tickweave.llm.registry import query
 from tickweave.llm.shared import documents, lean, lean_group, materialise, partitions, shards, small_batches
 
 CELLS = 1 << 21
-#: A class with a key: its name, map, size and place of the key's word, and its earliest line as order-preserving numbers.
-RECORD = np.dtype([(x, "<u8") for x in ("key", "line", "bits", "doc")] + [(x, "<u4") for x in ("n", "at", "row")])
+#: A class with a key: its name, two halves of its map, size and place of the key's word, and its earliest line in order.
+RECORD = np.dtype([(x, "<u8") for x in ("key", "line", "low", "high", "doc")] + [(x, "<u4") for x in ("n", "at", "row")])
 BLOCK = 1 << 16
 PAIR = np.dtype([("key", "<u8"), ("y", "<u8")])
-GROUP = ("x", "key", "n", "at", "bits", "doc", "row")
+GROUP = ("x", "key", "n", "at", "low", "high", "doc", "row")
 SIGN = np.uint64(1 << 63)
 #: Up to this many classes a key's group is searched as one block; the records of larger ones are rows.
 SMALL = 1024
@@ -85,7 +87,7 @@ def lines_and_words(column: pa.Array, least: int):
 
 
 def keys_of(word: np.ndarray, line: np.ndarray, n_lines: int, rank: np.ndarray, rare: int, num: int, den: int):
-    """Key, line, set size and place of all keys of all lines, and a 64-bit map of each line's words.
+    """Key, line, set size and place of all keys of all lines, and the two halves of each line's map of words.
 
     The similarity is ``num / den``.
     """
@@ -93,8 +95,8 @@ def keys_of(word: np.ndarray, line: np.ndarray, n_lines: int, rank: np.ndarray,
         parts = []
         for a in range(0, n_lines, BLOCK):
             i, j = np.searchsorted(line, [a, a + BLOCK])
-            key, own, n, at, bits = keys_of(word[i:j], line[i:j] - a, min(BLOCK, n_lines - a), rank, rare, num, den)
-            parts.append((key, own + a, n, at, bits))
+            key, own, *rest = keys_of(word[i:j], line[i:j] - a, min(BLOCK, n_lines - a), rank, rare, num, den)
+            parts.append((key, own + a, *rest))
         return [np.concatenate(x) for x in zip(*parts, strict=True)]
     # 8 bits of rank and 40 of hash below the line's number: one sort of plain numbers, rare words first
     token = (rank[(word >> np.uint64(43)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (word >> np.uint64(24))
@@ -105,8 +107,8 @@ def keys_of(word: np.ndarray, line: np.ndarray, n_lines: int, rank: np.ndarray,
     first = np.cumsum(n) - n
     at = np.arange(len(token)) - first[line]
     size = n[line]
-    bits = np.zeros(n_lines, np.uint64)
-    np.bitwise_or.at(bits, line, np.uint64(1) << (hashing.mix(token) >> np.uint64(58)))
+    maps, place = np.zeros((2, n_lines), np.uint64), hashing.mix(token) >> np.uint64(57)
+    np.bitwise_xor.at(maps, ((place >> np.uint64(6)).astype(np.int64), line), np.uint64(1) << (place & np.uint64(63)))
     prefix = size - -(-num * size // den) + 2
     held = np.flatnonzero(at < prefix)
     is_rare = (token >> np.uint64(40)) <= rare
@@ -123,12 +125,13 @@ def keys_of(word: np.ndarray, line: np.ndarray, n_lines: int, rank: np.ndarray,
             key = hashing.mix(hashing.mix(token[common]) + token[other])
             out.append((key, line[common], size[common], at[common]))
         gap += 1
-    return *[np.concatenate(x) for x in zip(*out, strict=True)], bits
+    return *[np.concatenate(x) for x in zip(*out, strict=True)], *maps
 
 
 def few_differ(n, a, m, b, num: int, den: int):
-    """Whether sets of sizes ``n`` and ``m`` can be similar by their maps: a bit in one map only is a word in one set only."""
-    count = F.bit_count(a.bitwiseXOR(b)) if isinstance(a, Column) else np.bitwise_count(a ^ b).astype(np.int64)
+    """Whether sets of sizes ``n`` and ``m`` can be similar by their maps: no more bits differ than words."""
+    one = lambda x, y: F.bit_count(x.bitwiseXOR(y)) if isinstance(x, Column) else np.bitwise_count(x ^ y).astype(np.int64)
+    count = sum(one(x, y) for x, y in zip(a, b, strict=True))
     return (num + den) * (n + m - count) >= 2 * num * (n + m)
 
 
@@ -162,7 +165,7 @@ def candidates(r: np.ndarray, small: int, heads: int, given: int, num: int, den:
     first, length = runs(r["key"])
     base, size = np.repeat(first, length), np.repeat(length, length)
     pos = np.arange(len(r)) - base
-    bits, n, at = np.ascontiguousarray(r["bits"]), r["n"].astype(np.int64), r["at"].astype(np.int64)
+    low, high, n, at = (np.ascontiguousarray(r["low"]), np.ascontiguousarray(r["high"]), r["n"].astype(np.int64), r["at"].astype(np.int64))
     # the last member that a record is compared with
     last = np.where(size > small, np.minimum(pos, heads), pos)
     found = np.zeros(len(r), np.int64)
@@ -170,9 +173,10 @@ def candidates(r: np.ndarray, small: int, heads: int, given: int, num: int, den:
     i, k = np.flatnonzero(last > 0), 0
     while len(i):
         j = base[i] + k
-        ok = few_differ(n[i], bits[i], n[j], bits[j], num, den)
+        ok = few_differ(n[i], [low[i]], n[j], [low[j]], num, den)
         a, b = i[ok], j[ok]
-        ok = possible(n[a], at[a], n[b], at[b], num, den)
+        ok = few_differ(n[a], [low[a], high[a]], n[b], [low[b], high[b]], num, den)
+        ok &= possible(n[a], at[a], n[b], at[b], num, den)
         a, b = a[ok], b[ok]
         found[a] += 1
         new = found[a] <= given
@@ -185,10 +189,11 @@ def candidates(r: np.ndarray, small: int, heads: int, given: int, num: int, den:
 
 def earlier_partners(r: np.ndarray, wanted: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """All candidates before each of the ``wanted`` classes in one group ordered by place."""
-    bits, n, at = np.ascontiguousarray(r["bits"]), r["n"].astype(np.int64), r["at"].astype(np.int64)
+    maps, n, at = (r["low"], r["high"]), r["n"].astype(np.int64), r["at"].astype(np.int64)
     left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for i in np.flatnonzero(np.isin(r["line"], wanted)):
-        ok = few_differ(n[:i], bits[:i], n[i], bits[i], num, den) & possible(n[:i], at[:i], n[i], at[i], num, den)
+        ok = few_differ(n[:i], [x[:i] for x in maps], n[i], [x[i] for x in maps], num, den)
+        ok &= possible(n[:i], at[:i], n[i], at[i], num, den)
         right.append(r["line"][:i][ok])
         left.append(np.full(len(right[-1]), r["line"][i]))
     return np.concatenate(left), np.concatenate(right)
@@ -229,7 +234,7 @@ def word_maps(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         word, line = word[new], line[new]
         place = hashing.mix(word) >> np.uint64(56)
         bit = np.uint64(1) << (place & np.uint64(63))
-        np.bitwise_or.at(maps, (line, (place >> np.uint64(6)).astype(np.int64)), bit)
+        np.bitwise_xor.at(maps, (line, (place >> np.uint64(6)).astype(np.int64)), bit)
     return np.bincount(line, minlength=len(texts)), maps.view(np.int64)
 
 
@@ -283,7 +288,7 @@ class _Join:
         """What every class meets first, and the groups of classes that may have more candidates.
 
         Distinct pairs ``x, y`` with ``y`` earlier, or ``y = x`` for a class ``x`` that may have more; and the
-        groups: ``key, block`` for a small one, ``key, x, n, at, bits, doc, row`` for each class of a large one.
+        groups: ``key, block`` for a small one, the columns ``GROUP`` for each class of a large one.
         """
         least, num, den, rare = self.least, self.num, self.den, self.rare
         count = max(2 * partitions(self.spark), buckets(self.docs))
@@ -309,10 +314,10 @@ class _Join:
                 keep = np.zeros(len(ids), bool)
                 keep[used] = True
                 used = keep[line]
-                key, own, n, at, bits = keys_of(word[used], line[used], len(ids), rank, rare, num, den)
+                key, own, n, at, low, high = keys_of(word[used], line[used], len(ids), rank, rare, num, den)
                 out = np.empty(len(key), RECORD)
-                out["key"], out["line"], out["bits"], out["n"], out["at"] = key, ids[own], bits[own], n, at
-                out["doc"], out["row"] = doc[own], row[own]
+                out["key"], out["line"], out["n"], out["at"] = key, ids[own], n, at
+                out["low"], out["high"], out["doc"], out["row"] = low[own], high[own], doc[own], row[own]
                 yield from dealer.add(out)
             yield from dealer.rest()
 
@@ -329,7 +334,7 @@ class _Join:
             large = r[np.repeat(stay & (length > SMALL), length)]
             small = np.flatnonzero(stay & (length <= SMALL))
             groups = [r[first[g] : first[g] + length[g]].tobytes() for g in small]
-            columns = {"x": "line", "key": "key", "n": "n", "at": "at", "bits": "bits", "row": "row"}
+            columns = {"x": "line", "key": "key", "n": "n", "at": "at", "low": "low", "high": "high", "row": "row"}
             rows = {k: signed(large[f]) for k, f in columns.items()} | {"doc": signed(large["doc"] ^ SIGN)}
             parts = [pa.table(rows), pa.table({"key": signed(r["key"][first[small]]), "block": pa.array(groups, pa.binary())})]
             none = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), *[(k, pa.int64()) for k in GROUP]])
@@ -373,9 +378,9 @@ class _Join:
         inside = small.join(asked, "key").select("block", "asked").mapInArrow(lean(partners), "x long, y long")
         large = groups.where(F.col("block").isNull()).drop("block")
         mine = large.join(open_, "x").select("key", *[F.col(c).alias(f"my_{c}") for c in GROUP if c != "key"])
-        fits = possible(*[F.col(c) for c in ("my_n", "my_at", "n", "at")], num, den) & few_differ(
-            *[F.col(c) for c in ("my_n", "my_bits", "n", "bits")], num, den
-        )
+        maps, mine_ = [F.col("low"), F.col("high")], [F.col("my_low"), F.col("my_high")]
+        fits = few_differ(F.col("my_n"), mine_, F.col("n"), maps, num, den)
+        fits &= possible(*[F.col(c) for c in ("my_n", "my_at", "n", "at")], num, den)
         earlier = F.struct("doc", "row") < F.struct(F.col("my_doc").alias("doc"), F.col("my_row").alias("row"))
         rows = mine.join(large, "key").where(earlier & fits).select(F.col("my_x").alias("x"), F.col("x").alias("y"))
         return inside.unionByName(rows).distinct()
