@@ -89,6 +89,15 @@ def test_the_wide_depth_row_is_carried_whole(spark):
     assert got == [(0, None, None, None), (100, 5.0, 9.0, None), (200, 7.0, None, None), (300, 7.0, None, None), (400, 7.0, None, None)]
 
 
+def test_of_two_books_at_one_time_the_larger_level_can_count(spark):
+    q = quotes(spark, [(0, 1, 1.0, 1.0, 2.0, 1.0), (100, 2, 1.0, 1.0, 2.0, 1.0)])
+    d = [(50, 1, -0.1, 8.0), (50, 2, -0.1, 6.0), (50, 1, 1.0, 5.0), (50, 2, 1.0, 9.0), (50, 3, 1.0, None)]
+    dep = spark.createDataFrame([("X", day(DAY), DAY + t, s, p, v, 0.0) for t, s, p, v in d], D)
+    cols = ("bid_depth_pct_neg_0_1", "ask_depth_pct_pos_1_0")
+    assert rows(grid.snapshots(q, depth=dep, grid_ms=100, depth_seq="depth"), *cols)[-1] == (100, 8.0, 9.0)
+    assert rows(grid.snapshots(q, depth=dep, grid_ms=100), *cols)[-1] == (100, 6.0, 9.0)
+
+
 def test_absent_streams_give_null_depth_and_rate_and_zero_flow(spark):
     s = grid.snapshots(quotes(spark, [(0, 1, 1.0, 1.0, 2.0, 1.0)]), grid_ms=100).first()
     assert s.trade_count == 0 and s.abs_volume == 0.0 and s.funding_rate is None

@@ -48,7 +48,8 @@ def newest_order(ts: Column, seq: Column, grid_ms: int, label: Column) -> Column
 def pivot_depth(depth: DataFrame, keys=KEYS, ts="ts_ms", seq="seq", level="percentage", value="depth", scale: int = 10):
     """One wide row per timestamp: the last non-null value of every level.
 
-    Levels are matched as scaled integers, never as doubles.
+    Rows of one timestamp and level are ordered by ``seq``; with ``seq=value`` the largest
+    value stays. Levels are matched as scaled integers, never as doubles.
     """
     lvl = F.round(F.col(level) * scale).cast("int")
     exact = F.abs(F.col(level) * scale - lvl) < 1e-6
@@ -85,7 +86,7 @@ def trade_buckets(trades: DataFrame, grid_ms: int, keys=KEYS, ts="ts_ms", qty="q
     )
 
 
-def sparse_ticks(quotes, trades=None, depth=None, funding=None, *, grid_ms, keys=KEYS, ts="ts_ms", seq="seq"):
+def sparse_ticks(quotes, trades=None, depth=None, funding=None, *, grid_ms, keys=KEYS, ts="ts_ms", seq="seq", depth_seq=None):
     """All streams reduced to one row per tick in a single aggregation."""
     keys = list(keys)
     t, s = F.col(ts), F.col(seq)
@@ -108,7 +109,7 @@ def sparse_ticks(quotes, trades=None, depth=None, funding=None, *, grid_ms, keys
         )
     depth_cols = list(schemas.DEPTH_LEVELS.values()) if depth is not None else []
     if depth is not None:
-        wide = pivot_depth(depth, keys, ts, seq)
+        wide = pivot_depth(depth, keys, ts, depth_seq or seq)
         parts.append(wide.select(*keys, up.alias("tick"), t.alias("_od"), *depth_cols))
     if funding is not None:
         parts.append(funding.select(*keys, up.alias("tick"), t.alias("_of"), "funding_rate"))
@@ -136,17 +137,20 @@ def sparse_ticks(quotes, trades=None, depth=None, funding=None, *, grid_ms, keys
     return rows.groupBy(*keys, "tick").agg(*aggs)
 
 
-def snapshots(quotes, trades=None, depth=None, funding=None, *, grid_ms, keys=KEYS, ts="ts_ms", seq="seq") -> DataFrame:
+def snapshots(
+    quotes, trades=None, depth=None, funding=None, *, grid_ms, keys=KEYS, ts="ts_ms", seq="seq", depth_seq: str | None = None
+) -> DataFrame:
     """Uniform grid per ``(symbol, day)`` with as-of quotes, depth, rate and bucketed flow.
 
     The grid runs from the first tick that sees a quote to the last tick at or
-    before the newest quote or trade. The newest row by ``(ts, seq)`` wins. The
+    before the newest quote or trade. The newest row by ``(ts, seq)`` wins; a depth
+    level reported twice at one time goes by ``depth_seq``, by default ``seq``. The
     whole wide depth row is carried, so a level missing in the newest row stays
     missing. Absent streams give null depth and rate and zero flow.
     """
     keys = list(keys)
     g = F.lit(grid_ms)
-    sparse = sparse_ticks(quotes, trades, depth, funding, grid_ms=grid_ms, keys=keys, ts=ts, seq=seq)
+    sparse = sparse_ticks(quotes, trades, depth, funding, grid_ms=grid_ms, keys=keys, ts=ts, seq=seq, depth_seq=depth_seq)
     group = Window.partitionBy(*keys)
     upto = group.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
 
