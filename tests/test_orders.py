@@ -50,6 +50,13 @@ def test_walk_book_edges(spark):
     assert thick.price < thin.price
 
 
+def test_a_best_price_of_zero_can_be_walked(spark):
+    depth = [L(float(x)) for x in (1, 2, 3, 4)]
+    for flag, price in ((False, 0.0), (True, 0.02 * 0.999 / 2)):
+        w = X.walk_book(L(-1), L(0.01), L(0.02), L(0.0), depth, zero_top_is_price=flag)
+        assert spark.range(1).select(w.alias("w")).first().w.price == pytest.approx(price)
+
+
 def test_rounding(spark):
     def up(p, t, how):
         return spark.range(1).select(X.round_to_tick(L(p), L(t), how)).first()[0]

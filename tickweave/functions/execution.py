@@ -27,6 +27,7 @@ class CostConfig:
     slippage_noise: float = 0.0
     walk_book: bool = True
     zero_depth_is_book: bool = False
+    zero_top_is_price: bool = False
     trade_through: bool = True
     limit_threshold_bps: float = 1.0
     limit_max_age: int = 10
@@ -63,25 +64,27 @@ def with_tick_size(df: DataFrame, sizes: dict | DataFrame, default: float = 0.0,
     )
 
 
-def walk_book(side: Column, notional: Column, mid: Column, top: Column, depth: list[Column], levels=LEVELS_PCT) -> Column:
+def walk_book(
+    side: Column, notional: Column, mid: Column, top: Column, depth: list[Column], levels=LEVELS_PCT, zero_top_is_price: bool = False
+) -> Column:
     """Struct ``(price, slippage, exhausted)`` of filling ``notional`` through the levels.
 
-    Each bucket's share is closed form: what is left of the target after the
-    sizes of the nearer buckets, at most the bucket's own size.
+    Bucket by bucket, so that rounding errors are those of the steps: each takes at most its
+    own size off what is left. An order without a best price above zero is not walked;
+    with ``zero_top_is_price`` a best price of zero is one like any other.
     """
     target = notional / mid
     edges = [mid] + [mid * (1 + side * (p / 100.0)) for p in levels]
     zero = F.lit(0.0)
     sizes = [F.greatest(depth[0], zero)] + [F.greatest(b - a, zero) for a, b in zip(depth, depth[1:])]
-    spent, used = zero, zero
+    spent, rest = zero, target
     for i, size in enumerate(sizes):
         near = F.when(side > 0, F.greatest(edges[i], top)).otherwise(F.least(edges[i], top))
-        take = F.least(size, F.greatest(target - used, zero))
-        spent = spent + take * (near + edges[i + 1]) * 0.5
-        used = used + size
-    rest = F.greatest(target - used, zero)
+        spent = spent + F.least(rest, size) * (near + edges[i + 1]) * 0.5
+        # the same as rest less the smaller of both, but names rest once
+        rest = F.greatest(rest - size, zero)
     vwap = (spent + rest * edges[-1]) / target
-    valid = (notional > 0) & (mid > 0) & (top > 0)
+    valid = (notional > 0) & (mid > 0) & (top >= 0 if zero_top_is_price else top > 0)
     return F.when(
         valid,
         F.struct(
@@ -111,7 +114,7 @@ def market_fill(
     if not cfg.zero_depth_is_book:
         shown = shown & reduce(lambda a, b: a | b, [F.coalesce(x > 0, F.lit(False)) for x in depth])
     use = shown & F.lit(cfg.walk_book)
-    book = walk_book(side, notional, mid, top, depth)
+    book = walk_book(side, notional, mid, top, depth, zero_top_is_price=cfg.zero_top_is_price)
     slip = sqrt_impact(notional, volume, cfg.slippage_c, cfg.slippage_noise)
     moved = top * (1 + side * slip)
     bounded = F.when(side > 0, F.greatest(moved, mid)).otherwise(F.least(moved, mid))
@@ -144,7 +147,9 @@ def with_market_fill(
     df = df.withColumns(
         {
             "_use": F.coalesce(shown, F.lit(False)) & F.lit(cfg.walk_book),
-            "_book": walk_book(c(side), c(notional), c(mid), c("_top"), [c(d) for d in depth]),
+            "_book": walk_book(
+                c(side), c(notional), c(mid), c("_top"), [c(d) for d in depth], zero_top_is_price=cfg.zero_top_is_price
+            ),
             "_slip": sqrt_impact(c(notional), volume, cfg.slippage_c, cfg.slippage_noise),
         }
     )
