@@ -193,8 +193,12 @@ def is_liquidated(pnl_on_notional: Column, leverage: float, margin: float) -> Co
     return pnl_on_notional <= F.lit(margin - 1.0 / leverage)
 
 
-def gross_pnl(side: Column, mark: Column, entry: Column, leverage: float) -> Column:
-    return F.when(entry > 0, side * (mark - entry) / entry * float(leverage)).otherwise(0.0)
+def gross_pnl(side: Column, mark: Column, entry: Column, leverage: float, zero_entry_is_price: bool = False) -> Column:
+    """Zero without an entry price above zero; with ``zero_entry_is_price`` the division by it, infinite or NaN."""
+    move = side * (mark - entry)
+    if zero_entry_is_price:
+        return F.when(entry == 0, move * F.lit(float("inf"))).otherwise(F.try_divide(move, entry) * float(leverage))
+    return F.when(entry > 0, move / entry * float(leverage)).otherwise(0.0)
 
 
 def net_pnl(gross: Column, fees: Column, slippage: Column, funding: Column) -> Column:

@@ -164,7 +164,9 @@ def superseded(orders: DataFrame, keys=("symbol",), order=("issue_tick", "order_
     )
 
 
-def position_pnl(legs: DataFrame, keys, leverage: float = 6.0, include_slippage: bool = True) -> DataFrame:
+def position_pnl(
+    legs: DataFrame, keys, leverage: float = 6.0, include_slippage: bool = True, zero_entry_is_price: bool = False
+) -> DataFrame:
     """Open and close legs of each position folded into one row with its pnl terms and ``status``.
 
     A position without one of its legs stays, as ``open`` or ``orphan``, with null pnl.
@@ -182,7 +184,7 @@ def position_pnl(legs: DataFrame, keys, leverage: float = 6.0, include_slippage:
     )
     status = F.when(F.col("entry_price").isNull(), "orphan").when(F.col("exit_price").isNull(), "open").otherwise("closed")
     rows = rows.withColumn("status", status)
-    gross = X.gross_pnl(F.col("side"), F.col("exit_price"), F.col("entry_price"), leverage)
+    gross = X.gross_pnl(F.col("side"), F.col("exit_price"), F.col("entry_price"), leverage, zero_entry_is_price)
     slip = F.col("slippage") if include_slippage else F.lit(0.0)
     return rows.withColumn("gross_pnl", gross).withColumn(
         "net_pnl", X.net_pnl(F.col("gross_pnl"), F.col("fees"), slip, F.col("funding"))
