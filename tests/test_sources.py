@@ -227,3 +227,18 @@ def test_raw_files_by_header_and_width(spark, tmp_path):
     report = {r.path: (r.status, r.n_rows, r.n_kept) for r in raw.parse_report(spark, "trades", [a, b, c]).collect()}
     assert report == {a: ("ok", 3, 1), b: ("ok", 1, 1), c: ("ok", 1, 1)}
     assert [r.ts_ms for r in raw.parse(spark, "trades", [a, b, c]).orderBy("ts_ms").collect()] == [1000, 1003, 1004]
+
+
+def test_lines_that_are_no_header_are_not_sorted(spark, tmp_path):
+    needed = ("price", "quantity", "transact_time", "is_buyer_maker")
+    a = put(tmp_path / "a.csv", "price,quantity,transact_time,is_buyer_maker\n10,2,5,false\n")
+    b = put(tmp_path / "b.csv", "1,10.0,2.0,1,1,1000,true\n")
+    put(tmp_path / "c.csv", "")
+    groups = raw._headers(spark, str(tmp_path), needed)
+    assert {h: [f.rsplit("/", 1)[-1] for f in fs] for h, fs in groups.items()} == {
+        "price,quantity,transact_time,is_buyer_maker": ["a.csv"], None: ["b.csv"]
+    }
+    lines = spark.read.text([a, b]).select("value", F.col("_metadata.file_path").alias(raw.FILE))
+    plan = raw._header_lines(lines, needed)._jdf.queryExecution().executedPlan().toString()
+    # the lines are counted below every sort
+    assert plan.rindex("HashAggregate") > plan.rindex("Sort")

@@ -42,14 +42,24 @@ def _names(line: Column) -> Column:
     return F.transform(F.split(F.lower(F.translate(line, '"﻿\r', "")), ","), lambda x: F.trim(x))
 
 
-def _headers(spark: SparkSession, paths, needed: tuple[str, ...]) -> dict[str | None, list[str]]:
-    """The files of every distinct header line, those without one under None. One short row per file reaches the driver."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias(FILE))
+def _header_lines(lines: DataFrame, needed: tuple[str, ...]) -> DataFrame:
+    """Every file with its header line, null without one, and its number of lines.
+
+    A least text is grouped by sorting, which no task should do with all of its lines: they
+    are counted by file and header first, so that few rows are left.
+    """
     is_header = F.forall(F.array(*[F.lit(n) for n in needed]), lambda n: F.array_contains(_names(F.col("value")), n))
     # cheap first test, so that most lines are not split for it
     is_header = F.instr(F.lower("value"), needed[0]).cast("boolean") & is_header
+    counted = lines.groupBy(FILE, F.when(is_header, F.col("value")).alias("header")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(FILE).agg(F.min("header").alias("header"), F.sum("n").alias("n"))
+
+
+def _headers(spark: SparkSession, paths, needed: tuple[str, ...]) -> dict[str | None, list[str]]:
+    """The files of every distinct header line, those without one under None. One short row per file reaches the driver."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias(FILE))
     groups: dict[str | None, list[str]] = {}
-    for row in lines.groupBy(FILE).agg(F.min(F.when(is_header, F.col("value"))).alias("header")).collect():
+    for row in _header_lines(lines, needed).collect():
         groups.setdefault(row.header, []).append(unquote(row[FILE]))
     return groups
 
