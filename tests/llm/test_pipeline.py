@@ -1,8 +1,11 @@
+import random
+
 import pytest
 
 import corpus_pipeline
 from tests.llm import brute
 from tests.llm.cases import ROWS
+from tickweave import session
 from tickweave.llm.registry import QUERIES
 from tickweave.llm.shared import documents
 
@@ -79,3 +82,28 @@ def test_run_keeps_what_the_stages_keep(spark):
     got = QUERIES["pipeline"](spark, SF)
     pieces = got.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
     assert pieces and all(r["sum(length)"] == r["max(doc_tokens)"] for r in pieces)
+
+
+def written(spark):
+    """Bytes of shuffles that the session has written so far."""
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+
+
+def test_texts_of_documents_without_copies_are_not_shuffled(spark, docs):
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"{rng.getrandbits(64):x}" for _ in range(1000))) for i in range(200)]
+    # 0 has a copy with another id, and a row of id 5 comes twice
+    rows += [(300, rows[0][1]), rows[5]]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema).repartition(4)
+    table.write.parquet(path := session.new_path(spark, "copies"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = STAGES["ngram_jaccard"](spark, spark.read.parquet(path), SF)
+        start = written(spark)
+        kept = texts(got)
+        moved = written(spark) - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert kept == sorted(rows[:200])
+    assert moved < sum(len(t) for _, t in rows) / 10
