@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 
 import numpy as np
@@ -10,6 +12,8 @@ import pyarrow.compute as pc
 
 from tickweave.llm.hashing import buffer
 
+#: Words of one call of a tokenizer.
+CALL = 4096
 #: A to Z to lower case
 FOLD_CASE = np.arange(256, dtype=np.uint8)
 FOLD_CASE[65:91] += 32
@@ -32,36 +36,64 @@ def apart(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.insert(data, at, 32), borders + np.searchsorted(at, borders, "left")
 
 
+@functools.cache
+def loaded(path: str):
+    """The tokenizer of a file, and which of its tokens end a word; loaded once in a worker.
+
+    A tokenizer that has encoded and is dropped leaves about 4.4 MB that the worker never gets
+    back, so one for each task would fill a reused worker without bound.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    names = tokenizer.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(names.values()) + 1, bool)
+    ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+    return tokenizer, ends
+
+
 class WordIds:
     """Ids by a tokenizer that drops white space and never joins text across it.
 
     Such a text's ids are its words' ids in a row, so each distinct word of a batch is
     encoded once and the ids of the texts are gathered. Words seen before are kept, up
-    to ``keep`` of them; then the store starts anew.
+    to ``keep`` of them; then the store starts anew. It holds them in a few arrays: a
+    reused worker never returns the memory of hundreds of thousands of small objects.
     """
 
     def __init__(self, path: str, keep: int = 300_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
-        names = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(names.values()) + 1, bool)
-        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
-
-    def learn(self, words: list[str]) -> None:
-        """Encode words; those of a to z alone are joined, as each of them ends with a word-end token."""
-        plain = [w for w in words if w.isascii() and w.islower() and w.isalpha()]
-        rows = [plain[i : i + 64] for i in range(0, len(plain), 64)]
-        rows += [[w] for w in words if not (w.isascii() and w.islower() and w.isalpha())]
-        for i in range(0, len(rows), 512):
-            part = rows[i : i + 512]
-            texts = [" ".join(row) for row in part]
-            for row, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, np.uint32)
-                cuts = [0, len(ids)] if len(row) == 1 else [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
-                for w, a, b in zip(row, cuts[:-1], cuts[1:], strict=True):
-                    self.known[w] = ids[a:b].tobytes()
+        self.keep, (self.tokenizer, self.ends) = keep, loaded(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.sizes, self.flat = np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def encoded(self, words: pa.Array, joined: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Sizes and ids of ``words``, of which ``joined`` are one text; a joined word ends with a word-end token."""
+        sizes, flat = [], []
+        for i in range(0, len(words), CALL):
+            part = words.slice(i, CALL).to_pylist()
+            texts = [" ".join(part[k : k + joined]) for k in range(0, len(part), joined)]
+            own = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = np.fromiter(itertools.chain.from_iterable(own), np.uint32)
+            n = np.fromiter(map(len, own), np.int32, len(own))
+            if joined > 1:
+                n = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0).astype(np.int32)
+            if len(n) != len(part) or n.sum() != len(ids):
+                raise ValueError("a word of a to z doesn't end with a word-end token")
+            sizes.append(n)
+            flat.append(ids)
+        return sizes, flat
+
+    def learn(self, words: pa.Array) -> None:
+        """Encode and keep words; those of a to z alone are joined, as each of them ends with a word-end token."""
+        plain = pc.and_(pc.ascii_is_alpha(words), pc.ascii_is_lower(words))
+        one, two = words.filter(plain), words.filter(pc.invert(plain))
+        sizes, flat = zip(([self.sizes], [self.flat]), self.encoded(one, 64), self.encoded(two, 1), strict=True)
+        self.sizes, self.flat = np.concatenate(sum(sizes, [])), np.concatenate(sum(flat, []))
+        self.known = pa.concat_arrays([self.known, one, two])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the borders of the texts; a null text is empty."""
@@ -70,20 +102,18 @@ class WordIds:
             pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(borders), pa.py_buffer(data)), " "
         )
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        known = self.known
-        new = [w for w in distinct if w not in known]
-        if len(known) + len(new) > self.keep:
-            known.clear()
+        distinct = coded.dictionary
+        new = distinct.filter(pc.invert(pc.is_in(distinct, value_set=self.known)))
+        if len(self.known) + len(new) > self.keep:
+            self.forget()
             new = distinct
         self.learn(new)
-        held = [known[w] for w in distinct]
-        flat = np.frombuffer(b"".join(held), np.uint32)
-        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
-        first = np.cumsum(sizes) - sizes
+        place = pc.index_in(distinct, value_set=self.known).to_numpy()
+        sizes = self.sizes[place].astype(np.int64)
+        first = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes)[place]
         code = coded.indices.to_numpy(zero_copy_only=False)
         counts = sizes[code]
         ends = np.cumsum(counts)
-        ids = flat[np.repeat(first[code] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.flat[np.repeat(first[code] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
         word_ends = np.r_[0, ends][np.r_[0, np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]]
         return ids, word_ends
